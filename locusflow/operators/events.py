@@ -112,10 +112,6 @@ def two_sided_reasons(limit: int = 5, read_length: int = 101, bpfreq: float = 3.
 
 
 def unless_dominated(df: DataFrame, candidate: Column, dominated: Column, share: float, least: int, remove: Column) -> DataFrame:
-    """df without the rows to remove, if among candidates more than a share is dominated and they are more than `least`.
-
-    The two counts are one row, joined to every row of df; nothing comes to the driver.
-    """
-    n = df.agg(F.count_if(candidate).alias("__n"), F.count_if(candidate & dominated).alias("__d"))
-    hit = (F.col("__n") > least) & (F.col("__d") > share * F.col("__n"))
-    return df.join(F.broadcast(n)).where(~(hit & holds(remove))).drop("__n", "__d")
+    """df without the rows to remove, if among candidates more than a share is dominated and they are more than `least`."""
+    n = df.agg(F.count_if(candidate).alias("n"), F.count_if(candidate & dominated).alias("d")).first()  # two numbers
+    return df.where(~holds(remove)) if n["n"] > least and n["d"] > share * n["n"] else df

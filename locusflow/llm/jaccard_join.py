@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,16 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
+def _packed_counts(at: np.ndarray, n: np.ndarray) -> bytes:
+    steps = np.diff(at, prepend=0).astype("<u4")
+    return zstandard.compress(np.stack([steps, n.astype("<u4")]).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked_counts(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = np.frombuffer(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T.tobytes(), "<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int64), n
+
+
 def _sets(n: int):
     """A row for each document, and at the end the slot counts of the task."""
 
@@ -99,7 +110,7 @@ def _sets(n: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
         if counts.any():
             at = np.flatnonzero(counts)
-            payload = at.astype("<u4").tobytes() + counts[at].astype("<u4").tobytes()
+            payload = _packed_counts(at, counts[at])
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([payload], pa.binary())], names=names)
 
     return run
@@ -109,11 +120,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SLOTS, np.int64)
     for b in batches:
         for x in b.column(0).to_pylist():
-            at, n = np.split(np.frombuffer(x, "<u4"), 2)
+            at, n = _unpacked_counts(x)
             total[at] += n
     total = np.minimum(total, (1 << 32) - 1)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array([at.astype("<u4").tobytes() + total[at].astype("<u4").tobytes()], pa.binary())], names=["counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([_packed_counts(at, total[at])], pa.binary())], names=["counts"])
 
 
 def order_classes(tables: DataFrame) -> np.ndarray:
@@ -122,7 +133,7 @@ def order_classes(tables: DataFrame) -> np.ndarray:
     got = tables.repartition(width).mapInArrow(_summed, "counts binary").coalesce(1).mapInArrow(_summed, "counts binary").collect()
     total = np.zeros(1 << SLOTS)
     for r in got:  # one row of 2**SLOTS counters at most
-        at, n = np.split(np.frombuffer(r[0], "<u4"), 2)
+        at, n = _unpacked_counts(r[0])
         total[at] += n
     return np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8)
 
@@ -198,8 +209,7 @@ def _first_pairs(t: int):
 
     def run(group: pa.Table) -> pa.Table:
         e, d, n, p = _unpack(group.column("postings").to_pylist())
-        rank = _mixed(d.astype(np.uint64))
-        by = np.lexsort((rank, e))
+        by = np.lexsort((_mixed(d.astype(np.uint64)), e))
         e, d, n, p = e[by], d[by], n[by], p[by]
         new = np.r_[True, e[1:] != e[:-1]]
         start = np.flatnonzero(new)
@@ -312,19 +322,26 @@ def _verify(t: int):
 
 def _ordered_sets(n: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, order = Shingles(n), classes.value
+        own, order, sent = Shingles(n), classes.value, set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([elements(own.of(t), order).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "elements"])
+                rows = {}  # rows that repeat an identifier are sent once
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if i not in sent:
+                        rows[i] = elements(own.of(t), order).astype("<u8").tobytes()
+                if len(sent) < 500_000:
+                    sent.update(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], names=["id", "elements"])
 
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): id, n_shingles, class for each row; pairs (a, b) of class representatives that are similar.
+def jaccard_join(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, labels): id, n_shingles, class for each row; pairs (a, b) of similar documents; id, component.
 
-    links are those that were needed to find the components; every other similar pair lies within one component.
+    links are those that were needed to find the components; every other similar pair lies within one component. Documents
+    without links have no label.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -342,9 +359,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        own = written(maybe_in(plain, "id", ids, "id").mapInArrow(_ordered_sets(n, classes), "id long, elements binary").dropDuplicates(["id"]), "ordered-sets")
-        b = pairs.join(own.select(F.col("id").alias("b"), F.col("elements").alias("sb")), "b")
-        both = b.join(own.select(F.col("id").alias("a"), F.col("elements").alias("sa")), "a")
+        own = written(maybe_in(plain, "id", ids, "id").mapInArrow(_ordered_sets(n, classes), "id long, elements binary"), "ordered-sets")
+        b = pairs.join(maybe_in(own, "id", pairs, "b").select(F.col("id").alias("b"), F.col("elements").alias("sb")), "b")
+        both = b.join(maybe_in(own, "id", pairs, "a").select(F.col("id").alias("a"), F.col("elements").alias("sa")), "a")
         return written(both.select("a", "b", "sa", "sb").mapInArrow(_verify(t), "a long, b long"), name)
 
     pairs = written(first.where("kind = 0").select("a", "b").distinct(), "pairs")
@@ -360,14 +377,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(more.distinct().join(known, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.unionByName(compared(rest, "links"))
-    return members, links
+        late = compared(rest, "links")
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            labels = written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late)), "labels")
+    return members, links, labels
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id: one row for each row of docs with an identifier."""
-    members, links = jaccard_join(docs, n, t, id_col, text_col)
-    found = written(components(links), "components")
+    members, _, found = jaccard_join(docs, n, t, id_col, text_col)
     out = members.join(found, members["class"] == found["id"], "left").select(members["id"].alias(id_col), "n_shingles", F.coalesce("component", "class").alias("component_id"))
     return out
 

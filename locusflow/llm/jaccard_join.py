@@ -6,7 +6,7 @@ then by hash. An element is its order class and 56 bits of hash.
 
 1. Documents with equal sets are one class. 2. Each class posts the elements of its prefix: two sets of the required
 similarity share an element among the first n - ceil(t n) + 1 of each. 3. In a group of postings of one element, every
-document is compared with one of the group, the same in all groups as far as possible. 4. Links make components; only pairs
+document is compared with the one that has fewest rarer elements, among near copies the least edited. 4. Links make components; only pairs
 of a group that lie in different components are compared next. No pair that may be a link is left out, and within a
 group of near copies few pairs are made.
 
@@ -209,7 +209,7 @@ def _first_pairs(t: int):
 
     def run(group: pa.Table) -> pa.Table:
         e, d, n, p = _unpack(group.column("postings").to_pylist())
-        by = np.lexsort((_mixed(d.astype(np.uint64)), e))
+        by = np.lexsort((_mixed(d.astype(np.uint64)), p, e))  # few rarer elements: least edited, so near most copies
         e, d, n, p = e[by], d[by], n[by], p[by]
         new = np.r_[True, e[1:] != e[:-1]]
         start = np.flatnonzero(new)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -18,12 +19,12 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed3(x: pd.Series) -> pd.Series:
     """Three decimals, ties by the exact binary value (JVM formatting rounds half up)."""
     return x.map(lambda v: None if v is None or v != v else f"{v:.3f}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed5(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else f"{v:.5f}")

@@ -7,6 +7,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def longest_overhang(text: Column) -> Column:
@@ -74,6 +75,6 @@ def masked_ratio(seq: str) -> float:
     return hit / total if total else float("nan")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def dust_ratio(seq: pd.Series) -> pd.Series:
     return seq.map(lambda s: masked_ratio(s or "")).astype("float64")

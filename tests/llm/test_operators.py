@@ -1,0 +1,294 @@
+"""Operators on a small table with hard rows, against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from locusflow.llm import registry
+from locusflow.llm.bpe import byte_pairs
+from locusflow.llm.chunks import library_encoder, tokenizer, vocabulary
+from locusflow.llm.components import components
+from locusflow.llm.exact_dedup import exact_dedup, kept_documents
+from locusflow.llm.jaccard_join import PrefixTree
+from locusflow.llm.packing import plan
+from locusflow.llm.pii import Permutation, Pseudonyms, pseudonymise
+from locusflow.llm.quality import quality_filter
+from locusflow.llm.suffix_dedup import bucket_refine
+from locusflow.llm.token_files import Shard, compress, shard
+
+WS = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def make_rows():
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghé") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    base, passage = prose(180), prose(45)
+    texts = [None, "", " ", "\n\t", "word", "two words", base, base, base.replace(" ", "  "), prose(30_000), "A B C D E", "a b c d e", passage, "x" * 500, "ab" * 300, "<|endoftext|> end", "don't  I'd\t'tis\n\n"]
+    for _ in range(12):  # near copies
+        ws = base.split()
+        for _ in range(r.randint(1, 9)):
+            ws[r.randrange(len(ws))] = r.choice(vocab)
+        texts.append(" ".join(ws))
+    texts += [f"{prose(40)} {passage} {prose(r.randint(5, 90))}" for _ in range(8)]
+    texts += ["\n".join([prose(12)] * 6), "# $ % & " * 40, (prose(60) + "! ").upper(), prose(70) + " 4111 1111 1111 1111 a.b@c.org 10.0.0.1"]
+    return [(i * 3 + 1, t) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    rows = make_rows()
+    r = random.Random(9)
+    r.shuffle(rows)
+    at = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, 1, int("a" in (t or ""))) for i, t in rows], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return dict(make_rows())
+
+
+@pytest.fixture(scope="module")
+def none(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("none"))
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_table(spark, none, name):
+    assert registry.QUERIES[name](spark, none).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql(spark, sf, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
+    want, got = con.execute(registry.SQL[name]).df(), registry.QUERIES[name](spark, sf).toPandas()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(str, got[cols].values.tolist())) == sorted(map(str, want[cols].values.tolist()))
+
+
+def test_dedup_with_colliding_digests(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda x: sorted(map(tuple, x.collect()))
+    assert key(exact_dedup(d, digest_bytes=1)) == key(exact_dedup(d))
+    assert key(exact_dedup(d, memtable_bytes=1000)) == key(exact_dedup(d))
+
+
+def test_dedup_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a", 7), (1, "a", 7), (2, "a", 8), (None, "b", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, keep_id int")
+    assert sorted(map(str, kept_documents(d).collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[3]], d.schema).collect()))
+
+
+def words(t):
+    return [w for w in WS.split(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+
+
+def test_near_duplicates(spark, sf, docs):
+    sets = {}
+    for i, t in docs.items():
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            k = len(sets[a] & sets[b])
+            if a < b and k and 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in registry.QUERIES["op2_jaccard_join"](spark, sf).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_prefix_tree():
+    r = np.random.default_rng(4)
+    pool = np.unique(r.integers(0, 1 << 60, 60, dtype=np.uint64))
+    sets = [np.sort(r.choice(pool, r.integers(3, 40), replace=False)) for _ in range(60)] + [pool, pool[:-3]]
+    for p in sets[::5]:
+        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, p)) >= 60 * len(np.union1d(s, p))]
+        assert sorted(PrefixTree(sets).similar(p, 60)) == want
+
+
+def test_components(spark):
+    r = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 160)] + [(r.randint(0, 90), r.randint(0, 90)) for _ in range(50)] + [(5, 5)]
+    up = {x: x for e in links for x in e}
+    for _ in range(200):
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {x: c for x, c in up.items() if any(a != b and x in (a, b) for a, b in links)}
+
+
+def test_packing(spark, sf, docs):
+    t = tokenizer(vocabulary("word_bpe_49k.json"))
+    got = registry.QUERIES["op3_best_fit_packing"](spark, sf).collect()
+    own = {(r.doc_id, r.piece): r for r in got}
+    total = 0
+    for i, text in docs.items():
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        total += len(ids)
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4")
+            r = own.pop((i, k))
+            assert (r.start, r.length, r.ids_crc32) == (at, len(part), zlib.crc32(part.tobytes()))
+    assert not own
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for v in seqs.values():
+        at = 0
+        for o, n in sorted(v):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert len(seqs) <= math.ceil(total / 4096) + 2
+
+
+def test_plan_places_all():
+    r = random.Random(2)
+    for _ in range(40):
+        cap = r.choice([12, 50, 400])
+        counts = Counter(min(cap, int(r.expovariate(3 / cap)) + 1) for _ in range(r.randint(1, 300)))
+        bins, placed = defaultdict(list), Counter()
+        for n, lo, hi, first, each, off in plan(counts, cap):
+            for k in range(hi - lo):
+                bins[first + k // each].append((off + k % each * n, n))
+            placed[n] += hi - lo
+        assert placed == counts
+        for v in bins.values():
+            at = 0
+            for o, n in sorted(v):
+                assert o == at
+                at += n
+            assert at <= cap
+
+
+def test_suffix_dedup(spark, sf, docs):
+    raw = {i: (t or "").encode() for i, t in docs.items()}
+    seen = Counter(x[k : k + 200] for x in raw.values() for k in range(len(x) - 199))
+    got = {r.doc_id: r for r in registry.QUERIES["op5_suffix_dedup"](spark, sf).collect()}
+    for i, x in raw.items():
+        gone = bytearray(len(x))
+        for k in range(len(x) - 199):
+            if seen[x[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        kept = bytes(c for c, g in zip(x, gone) if not g)
+        runs = sum(1 for k in range(len(x)) if gone[k] and not (k and gone[k - 1]))
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(x), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_bucket_refine():
+    r = np.random.default_rng(6)
+    for width in (1, 2, 3, 5, 8, 25):
+        w = r.integers(0, 3, (200, width)).astype(np.uint64)
+        rank = bucket_refine(w)
+        order = sorted(range(200), key=lambda i: w[i].tolist())
+        assert all((rank[a] < rank[b]) == (w[a].tolist() < w[b].tolist()) for a, b in zip(order, order[1:]))
+
+
+def test_token_files(spark, sf, docs):
+    t = tokenizer(vocabulary("byte_bpe_50k.json"))
+    got, start = registry.QUERIES["op6_token_files"](spark, sf).orderBy("doc_id").collect(), 0
+    for r, i in zip(got, sorted(docs)):
+        ids = t.encode(docs[i] or "", add_special_tokens=False).ids + [0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_grammar_round_trip():
+    r = np.random.default_rng(3)
+    docs = [np.tile(r.integers(0, 50_257, 20), r.integers(0, 60)).astype(np.uint32) for _ in range(40)]
+    s = Shard(shard(list(range(40)), docs))
+    for k in (39, 0, 17):
+        assert s.ids(k).tolist() == [*docs[k].tolist(), 0]
+    x, rules = compress(np.tile(np.arange(20, dtype=np.uint16), 500))
+    assert rules and len(x) < 5000
+
+
+def test_bpe(spark, sf, docs):
+    t = tokenizer(vocabulary("byte_bpe_50k.json"))
+    for r in registry.QUERIES["op8_bpe"](spark, sf).collect():
+        ids = t.encode(docs[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+ODD = ["a  b\n\nc", "x \ny ", "<|endoftext|> a", " ", "\n\n a", "ab\tc d", "İstanbul Σας ὈΔΟΣ x", "é e ́x", "we'll 'S", "１２ ²x", " lead", "a\x1cb c", "don't\nI'd\n'tis", "\x00 a \x00b", "日本語 の"]
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_is_the_library(name, spaced):
+    t, e = tokenizer(vocabulary(name)), library_encoder(vocabulary(name), spaced)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(ODD)] == [t.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
+def test_own_bpe_is_the_library():
+    t, own = tokenizer(vocabulary("byte_bpe_50k.json")), byte_pairs(vocabulary("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.chunks.encode(ODD)] == [t.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
+def test_language_model(spark, sf, docs):
+    toks = {i: [*words(t), None] for i, t in docs.items()}
+    c = Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    total, distinct = sum(c.values()), len(c)
+    got = registry.QUERIES["op9_lm_scoring"](spark, sf).collect()
+    for r in got:
+        ws = toks[r.doc_id]
+        base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), total)
+        assert r.base_score == pytest.approx(base) and r.score < 0
+
+
+def test_toxicity(spark, sf, docs):
+    got = registry.QUERIES["op10_toxicity"](spark, sf).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_permutation():
+    p = Permutation("k")
+    for n in (1, 2, 10, 1000):
+        assert sorted(p(i, n, "t") for i in range(n)) == list(range(n))
+
+
+def test_pseudonyms(spark, sf):
+    p = Pseudonyms("k")
+    a, spans = p.text("card 4111 1111 1111 1111, 4111111111111111 or 4111-1111-1111-1112; on 2001-02-03, 03/02/2001, 31.02.2001; a.b@c.org.")
+    assert [s[0] for s in spans] == ["card", "card", "ymd", "dmy", "email"] and "4111-1111-1111-1112" in a and "31.02.2001" in a
+    one, two = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", a)
+    assert one.replace(" ", "") == two != "4111111111111111"
+    y, m, d = re.search(r"(\d{4})-(\d\d)-(\d\d)", a).groups()
+    assert f"{d}/{m}/{y}" in a
+    before = spark.read.parquet(f"{sf}/documents.parquet")
+    after = pseudonymise(before, "k")
+    assert after.columns == before.columns
+    changed = before.alias("a").join(after.alias("b"), "doc_id").where(~F.col("a.text").eqNullSafe(F.col("b.text"))).select("b.text").collect()
+    assert len(changed) == 1 and "10.0.0.1" not in changed[0].text
+
+
+def test_quality_keeps_columns(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_words", F.lit("x"))
+    assert quality_filter(d).columns == d.columns

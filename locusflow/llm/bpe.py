@@ -48,7 +48,7 @@ class BytePairs:
         self.pretoken = regex.compile(BYTE_LEVEL)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, list[int]] = {}
-        self.chunks = ChunkEncoder(lambda xs: map(self.encode, xs), lambda xs: map(self._plain, xs), True)
+        self.chunks = ChunkEncoder(lambda xs: map(self.encode, xs), lambda xs: (np.array(self._plain(x), "<u4").tobytes() for x in xs), True)
 
     def word(self, pretoken: str) -> list[int]:
         """Ids of one pretoken."""

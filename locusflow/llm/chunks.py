@@ -39,7 +39,7 @@ def plain(text: str) -> list[str] | None:
 class ChunkEncoder:
     """encode(texts) gives the ids of each text as little-endian uint32 bytes, as whole() would.
 
-    whole: ids of a list of texts; parts: the same for a list of chunks. spaced: whether the space before a chunk bears on
+    whole: ids of a list of texts; parts: the same for a list of chunks, as bytes. spaced: whether the space before a chunk bears on
     its ids. A cached chunk is named by its text without the space, after a line feed by that and its text, and after
     nothing by NUL and its text. The cache is emptied when full.
     """
@@ -54,7 +54,7 @@ class ChunkEncoder:
 
     def _learn(self, names: list[str]) -> None:
         for name, ids in zip(names, self.parts([self._text(x) for x in names])):
-            self.cache[name] = np.asarray(ids, "<u4").tobytes()
+            self.cache[name] = ids
 
     def _names(self, text: str) -> list[str] | None:
         words = plain(text)
@@ -91,16 +91,19 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def _joined(t, texts: list[str], group: int = 24) -> list[np.ndarray]:
-    """Ids of many short texts; a special token between them keeps them apart, at less cost than calls for each."""
+def _joined(t, texts: list[str], group: int = 24) -> list[bytes]:
+    """Ids, as bytes, of many short texts; a special token between them keeps them apart, at less cost than calls for each."""
     special = next(((i, a.content) for i, a in t.get_added_tokens_decoder().items() if a.special), None)
     if special is None or any("<|" in x for x in texts):
-        return [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     out = []
     for e in t.encode_batch_fast([special[1].join(texts[i : i + group]) for i in range(0, len(texts), group)], add_special_tokens=False):
-        ids = np.array(e.ids, np.uint32)
-        cuts = np.flatnonzero(ids == special[0])
-        out += [x[1:] if k else x for k, x in enumerate(np.split(ids, cuts))]
+        ids = np.array(e.ids, "<u4")
+        raw, lo = ids.tobytes(), 0
+        for cut in (4 * np.flatnonzero(ids == special[0])).tolist():
+            out.append(raw[lo:cut])
+            lo = cut + 4
+        out.append(raw[lo:])
     return out
 
 

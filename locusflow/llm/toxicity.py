@@ -103,7 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w, w0), pa.float64())], names=["place", "weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInArrow(features, f"id {kind}, y int, at binary").coalesce(1).mapInArrow(learn, "place long, weight double")
+    sample = written(texts.mapInArrow(features, f"id {kind}, y int, at binary"), "toxicity-sample")  # so that all tasks look for it, and one only fits
+    return sample.coalesce(1).mapInArrow(learn, "place long, weight double")
 
 
 def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

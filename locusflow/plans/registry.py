@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions import contigs, loci, numeric, reads, sequence
-from ..operators import consensus, events, intervals, pairs
+from ..operators import consensus, events, intervals, pairs, verdicts
 from .adapters import ED, IV, LO, table
 from .adapters import edges as edge_view
 from .adapters import intervals as interval_view
 from .adapters import loci as locus_view
+from .event_view import EV, EVENT
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -211,20 +212,64 @@ def mate_tier(spark, d):
     return table(spark, d, "orders").select("o_orderkey", tier.alias("t")).select("o_orderkey", "t.*")
 
 
-REASON_COLS = ["susp", "sui", "e", "m", "h", "sup", "sec", "mate", "exp", "fuzzy", "strict", "prone", "comp", "cl", "indel", "brk", "status", "germ", "match"]
+def _events(spark, d):
+    return table(spark, d, "orders").selectExpr("o_orderkey", *(f"{v} AS {k}" for k, v in EVENT.items()))
 
 
-@query(None)
+@query(f"""WITH {EV} SELECT o_orderkey, CASE WHEN susp1 OR susp2 OR (sui1 AND sui2 AND NOT (e1 = 3 AND e2 = 3)) THEN 1 WHEN (exp1 > 0 AND m1 < 0.1) OR (exp2 > 0 AND m2 < 0.1) THEN 2
+ WHEN h1 > 5 AND sui1 AND e1 < 3 AND sup1 <= 9 AND sec1 <= 9 AND mate1 <= 9 AND NOT comp1 THEN 4 WHEN h2 > 5 AND sui2 AND e2 < 3 AND sup2 <= 9 AND sec2 <= 9 AND mate1 <= 9 AND NOT comp2 THEN 5
+ WHEN h1 > 5 AND h2 > 5 AND cl1 < 0.2 AND cl2 < 0.2 THEN 4 WHEN h1 > 5 AND h2 > 5 AND NOT (germ1 AND germ2) AND size BETWEEN 1 AND 50 THEN 5
+ WHEN NOT distant AND ("semi" OR strict1 OR strict2 OR ((h1 > 5 OR h2 > 5) AND (sup1 + sec1 + mate1 < 5 OR sup2 + sec2 + mate2 < 5))) THEN 13
+ WHEN distant AND inter AND m1 = 0 THEN 6 WHEN distant AND inter AND m2 = 0 THEN 7 WHEN distant AND greatest(sup1, sec1, mate2, sup2, sec2) < CASE WHEN "semi" OR prone1 OR prone2 THEN 5 ELSE 3 END THEN 8
+ WHEN distant AND m1 < 0.4 AND m2 < 0.4 THEN 11 WHEN distant AND (m1 < 0.25 OR m2 < 0.25) THEN 12 WHEN distant AND (fuzzy1 OR fuzzy2) AND NOT inter AND (strict1 OR strict2) AND size < 5000 THEN 14
+ WHEN distant AND (fuzzy1 OR fuzzy2) AND (h1 > 5 OR h2 > 5) THEN 173 WHEN distant AND fuzzy1 AND fuzzy2 AND (m1 < 0.5 OR m2 < 0.5) THEN 174
+ WHEN distant AND fuzzy1 AND sup1 + sec1 = 0 AND sui2 THEN 175 WHEN distant AND fuzzy2 AND sup2 + sec2 = 0 AND sui1 THEN 176 WHEN (inter OR size > 150) AND (indel1 > brk1 OR indel2 > brk2) THEN 16
+ WHEN status1 = 'EXTREME_SUBCLONAL' THEN 39 WHEN status2 = 'EXTREME_SUBCLONAL' THEN 40 WHEN artifact = 'ARTIFACT' THEN 41 WHEN (germ1 OR germ2) AND h1 > 5 AND h2 > 5 THEN 42
+ WHEN h1 > 3 AND (germ1 OR germ2 OR h2 > 5) THEN 431 WHEN h1 > 22.5 THEN 431 WHEN h1 > 9 AND (match1 OR e1 < 3 OR e2 <= 1 OR h2 > 0 OR fuzzy1 OR fuzzy2) THEN 431
+ WHEN h2 > 3 AND (germ1 OR germ2 OR h1 > 5) THEN 432 WHEN h2 > 22.5 THEN 432 WHEN h2 > 9 AND (match2 OR e2 < 3 OR e1 <= 1 OR h1 > 0 OR fuzzy1 OR fuzzy2) THEN 432 ELSE 0 END AS reason FROM ev""")
 def reason_codes(spark, d):
-    """Orders as events, with values spread over all rules. Tests only run it; each code still lacks a test of its own."""
-    k = F.xxhash64("o_orderkey", "o_custkey")
-    part = lambda n, m: F.pmod(F.shiftright(k, n), lit(m)).cast("int")
-    cols = {"semi": part(1, 9) == 0, "distant": part(2, 5) > 0, "inter": part(3, 3) == 0, "size": part(4, 9000), "artifact": F.when(part(5, 8) == 0, "ARTIFACT").otherwise("CLEAN")}
-    for i, at in ((1, 6), (2, 30)):
-        flag = lambda n, m, at=at: part(at + n, m) == 0
-        cols |= {f"susp{i}": flag(0, 40), f"sui{i}": flag(1, 9), f"e{i}": part(at + 2, 4), f"m{i}": part(at + 3, 11) / 10.0, f"h{i}": part(at + 4, 12), f"sup{i}": part(at + 5, 14), f"sec{i}": part(at + 6, 12), f"mate{i}": part(at + 7, 15), f"exp{i}": part(at + 8, 12), f"fuzzy{i}": flag(9, 6), f"strict{i}": flag(10, 6), f"prone{i}": flag(11, 10), f"comp{i}": flag(12, 5), f"cl{i}": part(at + 13, 100) / 100.0, f"indel{i}": part(at + 14, 6), f"brk{i}": part(at + 15, 40), f"status{i}": F.when(flag(16, 12), "EXTREME_SUBCLONAL").otherwise("HETERO"), f"germ{i}": flag(17, 4), f"match{i}": flag(18, 3)}
-    rows = table(spark, d, "orders").select("o_orderkey", *(v.alias(n) for n, v in cols.items()))
-    return rows.select("*", events.first_reason(events.two_sided_reasons()).alias("reason"))
+    return _events(spark, d).select("o_orderkey", events.first_reason(events.two_sided_reasons()).alias("reason"))
+
+
+@query(f"""WITH {EV} SELECT o_orderkey, CASE WHEN susp1 OR sui1 THEN 1 WHEN exp1 > 0 AND m1 < 0.1 THEN 2 WHEN (h1 > 5 AND ctg1 < 999) OR (h2 > 5 AND ctg2 < 999) THEN 171 WHEN NOT distant AND inv THEN 22
+ WHEN NOT distant AND (size BETWEEN 1 AND 50 OR type = 'TRA') THEN 23 WHEN NOT distant AND size > 150 AND indel1 > 0.5 * brk1 THEN 20 WHEN NOT distant AND size > 150 AND indel2 > 0.5 * brk2 THEN 21
+ WHEN NOT distant AND (fuzzy1 OR sui1 OR e1 = 1 OR sup1 + sec1 < 3 OR ((h1 > 5 OR h2 > 5) AND ev1 < 5)) THEN 25 WHEN distant AND ((sup1 < 3 AND sec1 < 3 AND mate1 < 3) OR (inter AND mate1 = 0)) THEN 18
+ WHEN distant AND inter AND e1 = 1 AND bpmate2 = 0 THEN 19 WHEN distant AND (mate1 < 3 OR m1 < 0.4) THEN 24 WHEN distant AND NOT inter AND (fuzzy1 OR sup1 + sec1 < 3) AND size < 5000 THEN 26
+ WHEN distant AND NOT inter AND (fuzzy1 OR sup1 + sec1 < 3) AND inv AND size < 10000 THEN 27 WHEN distant AND fuzzy1 AND sup1 + sec1 = 0 THEN 271 WHEN indel1 > brk1 OR indel2 > brk2 THEN 28
+ WHEN status1 = 'EXTREME_SUBCLONAL' THEN 39 WHEN status2 = 'EXTREME_SUBCLONAL' THEN 40 WHEN artifact = 'ARTIFACT' THEN 41 WHEN (germ1 OR germ2) AND h1 > 5 AND h2 > 5 THEN 42
+ WHEN h1 > 3 AND (ctg1 <> 999 OR ctg2 = 999 OR h2 > 3) THEN 431 WHEN h1 > 3 AND (h1 > 9 OR germ1 OR germ2 OR h2 > 5) THEN 431
+ WHEN h2 > 3 AND (ctg1 = 999 OR ctg2 <> 999 OR h1 > 3) THEN 432 WHEN h2 > 3 AND (h2 > 9 OR germ1 OR germ2 OR h1 > 5) THEN 432 ELSE 0 END AS reason FROM ev""")
+def reason_codes_one_sided(spark, d):
+    return _events(spark, d).select("o_orderkey", events.first_reason(verdicts.one_sided_reasons()).alias("reason"))
+
+
+@query(f"""WITH {EV} SELECT o_orderkey, CASE WHEN susp1 OR sui1 THEN 1 WHEN exp1 > 0 AND m1 < 0.1 THEN 2 WHEN brk1 + mate1 + span1 < 10 THEN 29 WHEN h1 > 5 AND ctg1 < 999 THEN 301 WHEN h2 > 5 AND ctg2 < 999 THEN 302
+ WHEN NOT distant AND (inv OR ev1 < 5 OR e1 = 1) THEN 30 WHEN NOT distant AND (size BETWEEN 1 AND 50 OR type = 'TRA' OR fuzzy1 OR sui1 OR cand1) THEN 31 WHEN distant AND sup1 < 3 AND sec1 < 3 AND mate1 < 3 THEN 18
+ WHEN distant AND mate1 < 3 AND ((h1 > 5 AND h2 > 5) OR (e1 < 3 AND sup1 < 5)) THEN 32 WHEN distant AND m1 < 0.33 THEN 33 WHEN distant AND e1 <> 3 AND ev1 < 5 AND m1 < 0.5 THEN 33
+ WHEN distant AND (fuzzy1 OR cand1) AND sup1 = 0 AND sec1 = 0 THEN 36 WHEN indel1 > brk1 THEN 38 WHEN status1 = 'EXTREME_SUBCLONAL' THEN 44 WHEN artifact = 'ARTIFACT' THEN 45
+ WHEN (germ1 OR germ2) AND (h1 > 5 OR h2 > 5) THEN 47 WHEN h1 > 3 AND (ctg1 <> 999 OR ctg2 = 999 OR h2 > 3 OR h1 > 9 OR germ1 OR germ2) THEN 471 WHEN h2 > 3 THEN 472 ELSE 0 END AS reason FROM ev""")
+def reason_codes_unknown(spark, d):
+    return _events(spark, d).select("o_orderkey", events.first_reason(verdicts.unknown_reasons()).alias("reason"))
+
+
+UNKNOWN_SCORE = """CASE WHEN NOT distant THEN 1 WHEN h1 > 5 AND sec1 < 10 AND ((mate1 < 10 AND sup1 > CASE WHEN h2 > 5 THEN 30 ELSE 50 END) OR (sup1 > 100 AND mate1 < 20)) THEN 1
+ WHEN (fuzzy1 OR cand1) THEN CASE WHEN (e1 = 3 OR NOT cand1) AND ((mate1 > 9 AND m1 >= 0.5) OR (mate1 > 5 AND exp1 - mate1 < 3)) AND least(h1, h2) = 0 THEN 4 ELSE 1 END
+ WHEN NOT (sup1 = 0 AND sec1 > 0 AND mate1 <= sec1 + 4) AND (sup1 > 4 OR e1 = 3 OR mate1 > 9) THEN 4 ELSE 1 END"""
+SCORED = EV.replace("ev AS", "ev0 AS") + ", ev AS (SELECT * REPLACE (sup1 * sup1 AS sup1, sup2 * sup2 AS sup2) FROM ev0), u AS (SELECT *, " + UNKNOWN_SCORE + " AS unknown FROM ev)"
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT *, distant AND (h1 > 5 AND sec1 < 10 AND ((mate1 < 10 AND sup1 > CASE WHEN h2 > 5 THEN 30 ELSE 50 END) OR (sup1 > 100 AND mate1 < 20))) AS c1,
+ distant AND (h2 > 5 AND sec2 < 10 AND ((mate2 < 10 AND sup2 > CASE WHEN h1 > 5 THEN 30 ELSE 50 END) OR (sup2 > 100 AND mate2 < 20))) AS c2, CASE WHEN unknown > 2 THEN unknown ELSE 2 END AS alone, m1 >= 0.8 AND m2 >= 0.8 AND mate1 > 4 AND mate2 > 4 AS strong FROM u)
+ SELECT o_orderkey, unknown, CASE WHEN c1 THEN 1 WHEN distant AND (fuzzy1 OR cand1) THEN CASE WHEN e1 = 3 THEN 3 ELSE 0 END WHEN NOT distant AND (ev1 < 5 OR least(sup1, sec1) < 2) THEN 1
+ WHEN NOT cand1 AND NOT (sup1 = 0 AND sec1 > 0 AND mate1 <= sec1 + 4) THEN CASE WHEN e1 = 3 THEN 3 ELSE 1 END ELSE 0 END AS one_sided,
+ CASE WHEN NOT distant THEN CASE WHEN ev1 >= 5 OR ev2 >= 5 THEN 5 WHEN h1 > 5 OR h2 > 5 THEN 1 ELSE 3 END WHEN c1 OR c2 THEN 2 WHEN sui1 AND e1 < 3 THEN 2 WHEN sui1 AND (sec1 = 0 OR sup1 = 0) AND e2 = 0 THEN 2 WHEN sui2 AND e1 < 3 THEN alone
+ WHEN fuzzy1 AND fuzzy2 AND NOT "semi" AND h1 = 0 AND h2 = 0 AND NOT prone1 AND NOT prone2 AND greatest(e1, e2) > 1 AND m1 > 0.5 AND m2 > 0.5 THEN 3 WHEN fuzzy1 AND fuzzy2 AND least(e1, e2) < 3 THEN 2
+ WHEN fuzzy1 <> fuzzy2 AND greatest(e1, e2) < 2 THEN 2 WHEN greatest(e1, e2) = 3 THEN 5 WHEN (mate1 < 10 AND m1 < 0.5) OR (mate2 < 10 AND m2 < 0.5) OR (least(mate1, mate2) < 10 AND m1 + m2 < 1.1) THEN 2
+ WHEN greatest(e1, e2) <= 1 THEN CASE WHEN NOT "semi" AND h1 = 0 AND h2 = 0 AND NOT prone1 AND NOT prone2 AND strong AND greatest(mate1, mate2) > 9 THEN 3 ELSE 2 END WHEN e2 = 1 THEN CASE WHEN m2 >= 0.8 AND mate2 > 9 THEN alone ELSE 2 END
+ WHEN e1 = 1 THEN CASE WHEN m1 >= 0.8 AND mate1 > 9 AND m2 >= 0.6 THEN 5 ELSE 2 END WHEN NOT "semi" AND h1 < 5 AND h2 < 5 AND NOT prone1 AND NOT prone2 AND strong THEN 5 ELSE 2 END AS two_sided FROM c""")
+def event_scores(spark, d):
+    rows = _events(spark, d).withColumns({k: c(k) * c(k) for k in ("sup1", "sup2")})
+    return rows.select("o_orderkey", verdicts.unknown_score().alias("unknown"), verdicts.one_sided_score().alias("one_sided"), verdicts.two_sided_score().alias("two_sided"))
 
 
 @query(f"""WITH {ED}, n AS (SELECT count(*) FILTER (a_contig = b_contig) AS n, count(*) FILTER (a_contig = b_contig AND NOT a_right) AS k FROM ed)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions import contigs, loci, numeric, reads, sequence
-from ..operators import consensus, events, intervals, pairs, verdicts
+from ..operators import consensus, events, intervals, lookups, pairs, verdicts
 from .adapters import ED, IV, LO, table
 from .adapters import edges as edge_view
 from .adapters import intervals as interval_view
@@ -111,6 +111,38 @@ def partner_status(spark, d):
     return pairs.partner_status(e, e.select(c("a_contig").alias("contig"), c("a_pos").alias("pos")).distinct(), 20)
 
 
+PANEL = "pa AS (SELECT contig, pos, count(*) AS hits FROM lo WHERE kind >= 'm' GROUP BY ALL)"
+
+
+def _panel(spark, d):
+    return locus_view(spark, d).where("kind >= 'm'").groupBy("contig", "pos").agg(F.count(lit(1)).alias("hits"))
+
+
+@query(f"""WITH {LO}, {PANEL}, a AS (SELECT ord, contig, pos FROM lo WHERE kind < 'm'), j AS (SELECT a.ord, pa.hits, pa.pos - a.pos AS off FROM a JOIN pa ON a.contig = pa.contig AND abs(pa.pos - a.pos) < 600),
+ b AS (SELECT ord, hits, off FROM j QUALIFY row_number() OVER (PARTITION BY ord ORDER BY hits DESC, abs(off), off) = 1), k AS (SELECT ord, max(hits) AS close_hits FROM j WHERE abs(off) <= 50 GROUP BY ord)
+ SELECT a.ord, coalesce(b.hits, 0) AS hits, coalesce(k.close_hits, 0) AS close_hits, coalesce(b.off, -9999) AS gap FROM a LEFT JOIN b USING (ord) LEFT JOIN k USING (ord)""")
+def panel_hits(spark, d):
+    rows = locus_view(spark, d).where("kind < 'm'").select("ord", "contig", "pos")
+    return lookups.nearby_hits(rows, _panel(spark, d), "ord", 600, 50).withColumn("gap", F.coalesce("gap", lit(-9999)))
+
+
+@query(f"""WITH {LO}, {PANEL}, a AS (SELECT ord AS id, contig, pos AS lo, pos + CASE WHEN ord % 2 = 0 THEN 400 ELSE 10 END AS hi FROM lo WHERE kind < 'm'), c AS (SELECT id, contig, lo AS pos FROM a UNION ALL SELECT id, contig, hi FROM a WHERE hi - lo > 30),
+ h AS (SELECT c.id, c.pos, coalesce(max(pa.hits), 0) AS hits FROM c LEFT JOIN pa ON c.contig = pa.contig AND abs(pa.pos - c.pos) < 200 GROUP BY c.id, c.pos)
+ SELECT id, pos, hits FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY hits DESC, pos) = 1""")
+def unmatched_place(spark, d):
+    links = locus_view(spark, d).where("kind < 'm'").select(c("ord").alias("id"), "contig", c("pos").alias("lo"), (c("pos") + F.when(c("ord") % 2 == 0, 400).otherwise(10)).alias("hi"))
+    return lookups.better_place(links, _panel(spark, d), 200, 20, 30)
+
+
+@query(f"""WITH {ED}, n AS (SELECT DISTINCT a_contig AS contig, a_pos AS pos FROM ed WHERE a_pos % 16 = 0)
+ SELECT ed.id, n.pos AS partner_pos, abs(n.pos - ed.b_pos) > 5 AS widened FROM ed JOIN n ON n.contig = ed.b_contig AND abs(n.pos - ed.b_pos) <= 15
+ QUALIFY row_number() OVER (PARTITION BY ed.id ORDER BY abs(n.pos - ed.b_pos), n.pos) = 1""")
+def nearest_partner(spark, d):
+    e = edge_view(spark, d)
+    nodes = e.where("a_pos % 16 = 0").select(c("a_contig").alias("contig"), c("a_pos").alias("pos")).distinct()
+    return lookups.nearest_partner(e, nodes, 5)
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def unvisited_anti(spark, d):
     return pairs.unvisited(table(spark, d, "orders"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey").select("o_orderkey")

@@ -1,11 +1,12 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, and a word-count baseline.
 
 The model's symbols are the HEAD most frequent words, TAIL classes of all other words (by their last two bytes) and the
-end of a text. Pairs of neighbouring symbols are counted over every training text. In the model the vector of the symbol
-before, through a matrix, predicts the vector of the next: log p is their product and a bias, up to a constant. Noise-
-contrastive estimation draws pairs in proportion to their counts, so its cost doesn't follow the corpus. A matrix
-product over all symbols then normalises every row. A word of a tail class has the class's probability times its smoothed
-share of the class.
+end of a text. In the model the vector of the symbol before, through a matrix, predicts the vector of the next: log p is
+their product and a bias, up to a constant. Noise-contrastive estimation learns from every pair of neighbouring symbols
+of every training text, ROUNDS times; a small corpus is gone through more often, until LEAST_PAIRS are seen. Each task
+learns from its own texts, and after each round the tasks' arrays are averaged, so that the cost follows the corpus and no
+task sees it all. A matrix product over all symbols then normalises every row. A word of a tail class has the class's
+probability times its smoothed share of the class.
 
 Word counts are a distributed table. The KNOWN most frequent words, a fixed number, go to every task; a text's other words are
 joined with the table, and since they are rare no key of that join is hot.
@@ -33,6 +34,7 @@ from .common import documents, partitions, written
 from .toxicity import in_fold
 
 HEAD, TAIL, KNOWN = 1500, 500, 100_000
+ROUNDS, LEAST_PAIRS = 2, 600 * 4096
 SYMBOLS = HEAD + TAIL + 1
 END = SYMBOLS - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -82,85 +84,59 @@ class Symbols:
             return np.fromiter(map(self.seen.__getitem__, words), np.int32, len(words))
 
 
-def _pairs(head):
-    """Counts of neighbouring symbols, as one sparse row for each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total, held, size = Symbols(head.value), np.zeros(SYMBOLS * SYMBOLS, np.int64), [], 0
-
-        def add():
-            s = np.concatenate([np.array([END], np.int32), *held]).astype(np.int64)
-            np.add(total, np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=len(total)), out=total)
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held += [own.of(tokens(t)), np.array([END], np.int32)]
-                size += len(held[-2]) + 1
-                if size > 2_000_000:
-                    add()
-                    held, size = [], 0
-        if held:
-            add()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<u4").tobytes() + np.minimum(total[at], (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())], names=["counts"])
-
-    return run
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            at, n = np.split(np.frombuffer(x, "<u4"), 2)
-            total[at] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array([at.astype("<u4").tobytes() + np.minimum(total[at], (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())], names=["counts"])
-
-
 class LogBilinear:
     """q = R[before] @ C; log p(next | before) = q . Q[next] + b[next] - log Z(before)."""
 
-    def __init__(self, symbols: int, width: int = 24, seed: int = 7):
-        r = np.random.default_rng(seed)
-        self.R = r.normal(0, 0.1, (symbols, width)).astype(np.float32)
-        self.C = np.eye(width, dtype=np.float32)
-        self.Q = r.normal(0, 0.1, (symbols, width)).astype(np.float32)
-        self.b = np.full(symbols, -math.log(symbols), np.float32)
-
-    def fit(self, before: np.ndarray, after: np.ndarray, count: np.ndarray, steps: int = 600, batch: int = 4096, noise: int = 12, pool: int = 256, rate: float = 0.15, seed: int = 11) -> None:
-        """Noise-contrastive estimation with AdaGrad on pairs drawn by count."""
-        r = np.random.default_rng(seed)
-        unigram = np.bincount(after, count, len(self.b)) + 0.5
-        p = (unigram / unigram.sum()).astype(np.float64)
-        self.b[:] = np.log(p)
-        log_kp = (np.log(noise) + np.log(p)).astype(np.float32)
-        by_pair, by_word = np.cumsum(count, dtype=np.float64), np.cumsum(p)
-        sums = [np.full_like(x, 1e-3) for x in (self.R, self.C, self.Q, self.b)]
-
-        def step(x: np.ndarray, total: np.ndarray, g: np.ndarray) -> None:
-            total += g * g
-            x += rate * g / np.sqrt(total)
-
-        for _ in range(steps):
-            k = np.minimum(np.searchsorted(by_pair, r.random(batch) * by_pair[-1], "right"), len(count) - 1)
-            c, w = before[k], after[k]
-            drawn = np.minimum(np.searchsorted(by_word, r.random(pool)), len(p) - 1)  # shared by the batch, weighted to noise for each pair
-            own = self.R[c]
+    def __init__(self, unigram: np.ndarray, arrays: tuple | None = None, width: int = 24, seed: int = 7, noise: int = 12):
+        """unigram: how often each symbol occurs. arrays: R, C, Q, b as far as they are learned, else random ones."""
+        n = len(unigram)
+        p = (unigram + 0.5) / (unigram + 0.5).sum()
+        self.log_kp, self.by_word = (math.log(noise) + np.log(p)).astype(np.float32), np.cumsum(p)
+        if arrays is None:
+            r = np.random.default_rng(seed)
+            arrays = r.normal(0, 0.1, (n, width)), np.eye(width), r.normal(0, 0.1, (n, width)), np.log(p)
+        self.R, self.C, self.Q, self.b = (np.array(x, np.float32) for x in arrays)
+
+    def arrays(self) -> tuple:
+        return self.R, self.C, self.Q, self.b
+
+    def begin(self, seed: int) -> None:
+        """Before learning: the sums of AdaGrad, and how often each symbol was learned from as the one before."""
+        self.random, self.sums, self.seen = np.random.default_rng(seed), [np.full_like(x, 1e-3) for x in self.arrays()], np.zeros(len(self.b), np.int64)
+
+    def fit(self, before: np.ndarray, after: np.ndarray, batch: int = 4096, noise: int = 12, pool: int = 256, rate: float = 0.15) -> None:
+        """Noise-contrastive estimation with AdaGrad: every pair is learned from once, in random order."""
+        np.add.at(self.seen, before, 1)
+        order = self.random.permutation(len(before))
+
+        def step(k: int, rows, g: np.ndarray) -> None:
+            x, total, g = self.arrays()[k], self.sums[k], g / 128
+            t = total[rows] + g * g
+            total[rows] = t
+            x[rows] += rate * g / np.sqrt(t)
+
+        def by_row(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            by = np.argsort(rows, kind="stable")
+            at = np.flatnonzero(np.diff(rows[by], prepend=-1))
+            return rows[by[at]], np.add.reduceat(g[by], at)
+
+        for lo in range(0, len(order), batch):
+            c, w = before[order[lo : lo + batch]], after[order[lo : lo + batch]]
+            drawn = np.minimum(np.searchsorted(self.by_word, self.random.random(pool)), len(self.b) - 1)  # shared by the batch, weighted to noise for each pair
+            own, to, apart = self.R[c], self.Q[w], self.Q[drawn]
             q = own @ self.C
-            good = np.einsum("ij,ij->i", q, self.Q[w]) + self.b[w]
-            bad = q @ self.Q[drawn].T + self.b[drawn]
-            g1 = 1 / (1 + np.exp(good - log_kp[w]))
-            g0 = -noise / pool / (1 + np.exp(log_kp[drawn] - bad))
-            gq = g1[:, None] * self.Q[w] + g0 @ self.Q[drawn]
-            gQ, gb, gR = np.zeros_like(self.Q), np.zeros_like(self.b), np.zeros_like(self.R)
-            np.add.at(gQ, w, g1[:, None] * q)
-            np.add.at(gQ, drawn, g0.T @ q)
-            np.add.at(gb, w, g1)
-            np.add.at(gb, drawn, g0.sum(0))
-            np.add.at(gR, c, gq @ self.C.T)
+            good = np.einsum("ij,ij->i", q, to) + self.b[w]
+            bad = q @ apart.T + (self.b[drawn] - self.log_kp[drawn])
+            g1 = 1 / (1 + np.exp(np.clip(good - self.log_kp[w], -60, 60)))
+            g0 = np.float32(-noise / pool) / (1 + np.exp(np.clip(-bad, -60, 60)))
+            gq = g1[:, None] * to + g0 @ apart
+            both = np.concatenate([w, drawn])
+            rows, g = by_row(both, np.column_stack([np.concatenate([g1[:, None] * q, g0.T @ q]), np.concatenate([g1, g0.sum(0)])]))
             gC = own.T @ gq
-            for x, total, g in zip((self.R, self.C, self.Q, self.b), sums, (gR, gC, gQ, gb)):
-                step(x, total, g / 128)
+            step(2, rows, g[:, :-1])
+            step(3, rows, g[:, -1])
+            step(0, *by_row(c, gq @ self.C.T))
+            step(1, slice(None), gC)
 
     def table(self) -> np.ndarray:
         """log p of every symbol after every symbol, by matrix products in batches of rows."""
@@ -172,19 +148,78 @@ class LogBilinear:
         return out
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _summed(batches):
-        at, n = np.split(np.frombuffer(b.column(0)[0].as_py(), "<u4"), 2)
-        model = LogBilinear(SYMBOLS)
-        if len(at):
-            model.fit(at // SYMBOLS, at % SYMBOLS, n.astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.R, model.C, model.Q, model.b)], names=["R", "C", "Q", "b"])
+BLOCK = 1024
+_PART = "block long, pairs long, seen binary, R binary, Q binary, b binary"
+
+
+def _learned(shared):
+    """What a task learns from its texts, every pair once: rows of R, Q and b in blocks of symbols, C as block -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, unigram, arrays, turn, passes = shared.value
+        own, model, held, size, pairs = Symbols(head), LogBilinear(unigram, arrays), [], 0, 0
+        task = TaskContext.get()
+        model.begin(1000 * (task.partitionId() if task else 0) + turn)
+
+        def learn():
+            s = np.concatenate([np.array([END], np.int32), *held])
+            for _ in range(passes):
+                model.fit(s[:-1], s[1:])
+            return len(s) - 1
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held += [own.of(tokens(t)), np.array([END], np.int32)]
+                size += len(held[-2]) + 1
+                if size > 1_000_000:
+                    pairs += learn()
+                    held, size = [], 0
+        if held:
+            pairs += learn()
+        if not pairs:
+            return
+        rows = [(-1, pairs, b"", model.C.tobytes(), b"", b"")]
+        for k in range(0, len(unigram), BLOCK):
+            at = slice(k, k + BLOCK)
+            rows.append((k // BLOCK, pairs, *(x[at].tobytes() for x in (model.seen, model.R, model.Q, model.b))))
+        for lo in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64]), (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["block", "pairs", "seen", "R", "Q", "b"])
+
+    return run
 
 
-def train_model(texts: DataFrame, head) -> DataFrame:
-    """One row with the model's arrays; texts has one column. Counts are added up in streams, at last in one array."""
-    width = max(1, partitions(texts.sparkSession) // 4)
-    return texts.mapInArrow(_pairs(head), "counts binary").repartition(width).mapInArrow(_summed, "counts binary").coalesce(1).mapInArrow(_train, "R binary, C binary, Q binary, b binary")
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means over tasks, by block: C, Q and b weighted by a task's pairs, a row of R by how often its symbol came before."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            n, k = row["pairs"], row["block"]
+            R, Q, b = (np.frombuffer(row[x], np.float32).astype(np.float64) for x in ("R", "Q", "b"))
+            seen = np.frombuffer(row["seen"], np.int64) if k >= 0 else np.array([n])
+            # a row no task saw as the one before is the same everywhere; so little weight counts nowhere else
+            new = [n, seen + 1e-9 * n, (R.reshape(len(seen), -1) * (seen + 1e-9 * n)[:, None]), Q * n, b * n]
+            sums[k] = [x + y for x, y in zip(sums[k], new)] if k in sums else new
+    for k, (n, seen, R, Q, b) in sums.items():
+        out = [np.float32(x).tobytes() for x in (R / seen[:, None], Q / n, b / n)]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=["block", "R", "Q", "b"])
+
+
+def train_model(texts: DataFrame, head: list[bytes], unigram: np.ndarray, rounds: int = ROUNDS) -> tuple:
+    """R, C, Q, b; texts has one column. In each round every task learns from all pairs of its texts, starting with the mean of the last round."""
+    spark, model = texts.sparkSession, LogBilinear(unigram)
+    passes = max(1, math.ceil(LEAST_PAIRS / (rounds * max(1, unigram.sum()))))  # more than one on a small corpus
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((head, unigram, model.arrays() if turn else None, turn, passes))
+        parts = texts.mapInArrow(_learned(shared), _PART).repartition(partitions(spark), "block").mapInArrow(_averaged, "block long, R binary, Q binary, b binary")
+        for row in written(parts, "language-model").toLocalIterator():
+            R, Q, b = (np.frombuffer(row[x], np.float32) for x in ("R", "Q", "b"))
+            if row["block"] < 0:
+                model.C = R.reshape(model.C.shape).copy()
+            else:
+                at = slice(row["block"] * BLOCK, row["block"] * BLOCK + len(b))
+                model.R[at], model.Q[at], model.b[at] = R.reshape(len(b), -1), Q.reshape(len(b), -1), b
+        shared.unpersist()
+    return model.arrays()
 
 
 _READY: dict[str, tuple] = {}
@@ -196,8 +231,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, known, base, share, arrays, end_base, run_id = shared.value
         if run_id not in _READY:  # once for each Python worker
-            model = LogBilinear(SYMBOLS)
-            model.R, model.C, model.Q, model.b = (np.frombuffer(x, np.float32).reshape(s) for x, s in zip(arrays, (model.R.shape, model.C.shape, model.Q.shape, model.b.shape)))
+            model = LogBilinear(np.zeros(SYMBOLS), arrays)
             _READY.clear()
             _READY[run_id] = model.table().ravel() / np.float32(math.log(10)), Symbols(head), {w: i for i, w in enumerate(known)}
         logp, own, place = _READY[run_id]
@@ -237,20 +271,19 @@ def score_texts(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_
     below = math.log10(total + 0.5 * (distinct + 1))
     top = [(bytes(r["word"]), r["c"]) for r in counts.where(in_words).orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
     head = [w for w, _ in top[:HEAD]]
-    heads = spark.sparkContext.broadcast(head)
-    model = written(train_model(learned, heads), "language-model").first()
 
     class_of = F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(TAIL)).cast("int")
     head_words = spark.createDataFrame([(w,) for w in head], "word binary")
     tail = counts.where(in_words).join(F.broadcast(head_words), "word", "left_anti")  # HEAD rows at most
-    mass = np.zeros(TAIL)
+    mass, classes = np.zeros(TAIL), np.zeros(TAIL)
     for r in tail.groupBy(class_of.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # TAIL rows at most
-        mass[r["k"]] = r["c"] + 0.5 * (r["v"] + 1)
+        mass[r["k"]], classes[r["k"]] = r["c"] + 0.5 * (r["v"] + 1), r["c"]
     mass = np.where(mass > 0, mass, 0.5)
     c = np.array([x for _, x in top], np.float64)
+    model = train_model(learned, head, np.concatenate([c[:HEAD], np.zeros(HEAD - len(head)), classes, [all_["ends"]]]))
     base = np.log10(c + 0.5) - below
     share = np.array([0.0 if i < HEAD else math.log10((n + 0.5) / mass[tail_class(w) - HEAD]) for i, (w, n) in enumerate(top)])
-    shared = spark.sparkContext.broadcast((head, [w for w, _ in top], base, share, [bytes(x) for x in model], math.log10(all_["ends"] + 0.5) - below, uuid.uuid4().hex))
+    shared = spark.sparkContext.broadcast((head, [w for w, _ in top], base, share, model, math.log10(all_["ends"] + 0.5) - below, uuid.uuid4().hex))
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(plain.mapInArrow(_score(shared), "key long, id long, word binary, n long, known long, base double, score double"), "scored")

@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from locusflow.llm.chunks import library_encoder, tokenizer, vocabulary
 from locusflow.llm.components import components
 from locusflow.llm.exact_dedup import exact_dedup, kept_documents
 from locusflow.llm.jaccard_join import PrefixTree
+from locusflow.llm.language_model import SYMBOLS, LogBilinear, _learned
 from locusflow.llm.packing import plan
 from locusflow.llm.pii import Permutation, Pseudonyms, pseudonymise
 from locusflow.llm.quality import quality_filter
@@ -262,6 +265,25 @@ def test_language_model(spark, sf, docs):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
+def test_model_learns_from_every_pair():
+    r = np.random.default_rng(1)
+    before, after = r.permutation(np.arange(9000) % 3000), np.full(9000, 2999)
+    m = LogBilinear(np.bincount(after, minlength=3000))
+    m.begin(1)
+    first = m.R.copy()
+    m.fit(before, after)
+    assert m.seen.tolist() == [3] * 3000 and (m.R != first).any(1).all()
+    shared = SimpleNamespace(value=([b"a", b"b"], np.ones(SYMBOLS), None, 0, 1))
+    texts = [pa.RecordBatch.from_arrays([pa.array(["a b", None, "b a a zz"] * 400_000)], names=["text"])]
+    parts = [row for b in _learned(shared)(iter(texts)) for row in b.to_pylist()]
+    assert {row["pairs"] for row in parts} == {400_000 * 9} == {sum(np.frombuffer(row["seen"], np.int64).sum() for row in parts if row["block"] >= 0)}
+
+
+def test_held_out_score_beats_word_counts(spark):
+    got = registry.QUERIES["op9_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.25
+
+
 def test_toxicity(spark, sf, docs):
     got = registry.QUERIES["op10_toxicity"](spark, sf).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)

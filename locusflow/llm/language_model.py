@@ -1,15 +1,17 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, and a word-count baseline.
 
-The model's symbols are the HEAD most frequent words, TAIL classes of all other words (by their last two bytes) and the
-end of a text. In the model the vector of the symbol before, through a matrix, predicts the vector of the next: log p is
-their product and a bias, up to a constant. Noise-contrastive estimation learns from every pair of neighbouring symbols
-of every training text, ROUNDS times; a small corpus is gone through more often, until LEAST_PAIRS are seen. Each task
-learns from its own texts, and after each round the tasks' arrays are averaged, so that the cost follows the corpus and no
-task sees it all. A matrix product over all symbols then normalises every row. A word of a tail class has the class's
-probability times its smoothed share of the class.
-
-Word counts are a distributed table. The KNOWN most frequent words, a fixed number, go to every task; a text's other words are
-joined with the table, and since they are rare no key of that join is hot.
+The model's symbols are the words seen at least OFTEN times in the training texts (at least the HEAD most frequent ones),
+so that they follow the corpus, TAIL classes of all other words (by their last two bytes) and the end of a text. In the
+model the vector of the symbol before, through a matrix, predicts the vector of the next: log p is their product and a
+bias, up to a constant. Noise-contrastive estimation learns from every pair of neighbouring symbols of every training
+text, ROUNDS times; a small corpus is gone through more often, until LEAST_PAIRS are seen. Each task learns from its own
+texts, and after each round the tasks' moves are averaged, so that the cost follows the corpus and no task sees it all.
+Matrix products over all symbols, shared out by row, then normalise; their cost is the square of the modelled words. A
+word of a tail class has the class's probability times its smoothed share of the class.
+
+Word counts are a distributed table. The modelled words, and at least the KNOWN most frequent ones, go to every task, with
+200 bytes of vectors each; a text's other words are joined with the table, and since they are rare no key of that join
+is hot.
 
 Null and empty texts are the end token alone. Texts without identifier are scored and not learned from. Rows that repeat
 are scored alike and learned from as often as they occur. Only identifier and text are read. Without training texts,
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, written
 from .toxicity import in_fold
 
-HEAD, TAIL, KNOWN = 1500, 500, 100_000
+HEAD, OFTEN, TAIL, KNOWN = 1500, 50, 500, 100_000
 ROUNDS, LEAST_PAIRS = 2, 600 * 4096
-SYMBOLS = HEAD + TAIL + 1
-END = SYMBOLS - 1
+END = TAIL
+WORDS = TAIL + 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -45,7 +47,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def tail_class(word: bytes) -> int:
-    return HEAD + zlib.crc32(word[-2:]) % TAIL
+    return zlib.crc32(word[-2:]) % TAIL
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +72,7 @@ class Symbols:
     """Symbols of words; those seen are kept."""
 
     def __init__(self, head: list[bytes]):
-        self.head, self.seen = {w: i for i, w in enumerate(head)}, {}
+        self.head, self.seen = {w: i for i, w in enumerate(head, WORDS)}, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
         try:
@@ -138,22 +140,22 @@ class LogBilinear:
             step(0, *by_row(c, gq @ self.C.T))
             step(1, slice(None), gC)
 
-    def table(self) -> np.ndarray:
-        """log p of every symbol after every symbol, by matrix products in batches of rows."""
-        out = np.empty((len(self.b), len(self.b)), np.float32)
-        for lo in range(0, len(out), 512):
-            x = self.R[lo : lo + 512] @ self.C @ self.Q.T + self.b
-            top = x.max(1, keepdims=True)
-            out[lo : lo + 512] = x - top - np.log(np.exp(x - top).sum(1, keepdims=True))
-        return out
+    def log_z(self, lo: int, hi: int) -> np.ndarray:
+        """log Z of the symbols before from lo to hi, by matrix products over all symbols in batches of columns."""
+        q, z = self.R[lo:hi] @ self.C, np.full(min(hi, len(self.b)) - lo, -np.inf)
+        for k in range(0, len(self.b), 4096):
+            x = q @ self.Q[k : k + 4096].T + self.b[k : k + 4096]
+            top = x.max(1)
+            z = np.logaddexp(z, top + np.log(np.exp(x - top[:, None]).sum(1)))
+        return z.astype(np.float32)
 
 
 BLOCK = 1024
-_PART = "block long, pairs long, seen binary, R binary, Q binary, b binary"
+_PART = "block long, pairs long, at binary, seen binary, R binary, Q binary, b binary"
 
 
 def _learned(shared):
-    """What a task learns from its texts, every pair once: rows of R, Q and b in blocks of symbols, C as block -1."""
+    """How far a task moves the model by its texts: the rows of R, Q and b that it changes, in blocks of symbols; C as block -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, unigram, arrays, turn, passes = shared.value
@@ -178,30 +180,41 @@ def _learned(shared):
             pairs += learn()
         if not pairs:
             return
-        rows = [(-1, pairs, b"", model.C.tobytes(), b"", b"")]
+        old = LogBilinear(unigram, arrays)
+        moved = [x - y for x, y in zip(model.arrays(), old.arrays())]
+        rows = [(-1, pairs, b"", b"", moved[1].tobytes(), b"", b"")]
         for k in range(0, len(unigram), BLOCK):
-            at = slice(k, k + BLOCK)
-            rows.append((k // BLOCK, pairs, *(x[at].tobytes() for x in (model.seen, model.R, model.Q, model.b))))
+            at = k + np.flatnonzero((model.seen[k : k + BLOCK] > 0) | (moved[2][k : k + BLOCK] != 0).any(1))
+            if len(at):
+                rows.append((k // BLOCK, pairs, (at - k).astype(np.int32).tobytes(), *(x[at].tobytes() for x in (model.seen, moved[0], moved[2], moved[3]))))
         for lo in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64]), (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["block", "pairs", "seen", "R", "Q", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64]), (pa.int64(), pa.int64(), *[pa.binary()] * 5))], names=["block", "pairs", "at", "seen", "R", "Q", "b"])
 
     return run
 
 
-def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Means over tasks, by block: C, Q and b weighted by a task's pairs, a row of R by how often its symbol came before."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over tasks by block: moves of C, Q and b times a task's pairs; for R the mean, weighted by how often a symbol came before."""
     sums: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
             n, k = row["pairs"], row["block"]
             R, Q, b = (np.frombuffer(row[x], np.float32).astype(np.float64) for x in ("R", "Q", "b"))
-            seen = np.frombuffer(row["seen"], np.int64) if k >= 0 else np.array([n])
-            # a row no task saw as the one before is the same everywhere; so little weight counts nowhere else
-            new = [n, seen + 1e-9 * n, (R.reshape(len(seen), -1) * (seen + 1e-9 * n)[:, None]), Q * n, b * n]
-            sums[k] = [x + y for x, y in zip(sums[k], new)] if k in sums else new
-    for k, (n, seen, R, Q, b) in sums.items():
-        out = [np.float32(x).tobytes() for x in (R / seen[:, None], Q / n, b / n)]
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=["block", "R", "Q", "b"])
+            if k < 0:
+                own = sums.setdefault(k, [0, np.zeros((1, len(R))), np.zeros((0, 1)), np.zeros(0), np.ones(1)])
+                own[0] += n
+                own[1] += n * R
+                continue
+            at, seen = np.frombuffer(row["at"], np.int32), np.frombuffer(row["seen"], np.int64)
+            width = len(R) // len(at)
+            own = sums.setdefault(k, [0, np.zeros((BLOCK, width)), np.zeros((BLOCK, width)), np.zeros(BLOCK), np.zeros(BLOCK)])
+            own[1][at] += R.reshape(-1, width) * seen[:, None]
+            own[2][at] += Q.reshape(-1, width) * n
+            own[3][at] += b * n
+            own[4][at] += seen
+    for k, (n, R, Q, b, seen) in sums.items():
+        out = [x.tobytes() for x in (R / np.maximum(seen, 1)[:, None], Q, b)]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=["block", "pairs", "R", "Q", "b"])
 
 
 def train_model(texts: DataFrame, head: list[bytes], unigram: np.ndarray, rounds: int = ROUNDS) -> tuple:
@@ -210,18 +223,39 @@ def train_model(texts: DataFrame, head: list[bytes], unigram: np.ndarray, rounds
     passes = max(1, math.ceil(LEAST_PAIRS / (rounds * max(1, unigram.sum()))))  # more than one on a small corpus
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((head, unigram, model.arrays() if turn else None, turn, passes))
-        parts = texts.mapInArrow(_learned(shared), _PART).repartition(partitions(spark), "block").mapInArrow(_averaged, "block long, R binary, Q binary, b binary")
-        for row in written(parts, "language-model").toLocalIterator():
-            R, Q, b = (np.frombuffer(row[x], np.float32) for x in ("R", "Q", "b"))
+        parts = texts.mapInArrow(_learned(shared), _PART).repartition(partitions(spark), "block").mapInArrow(_summed, "block long, pairs long, R binary, Q binary, b binary")
+        moves = written(parts, "language-model")
+        pairs = moves.agg(F.sum("pairs")).first()[0]
+        for row in moves.toLocalIterator():
+            R, Q, b = (np.frombuffer(row[x]) for x in ("R", "Q", "b"))
             if row["block"] < 0:
-                model.C = R.reshape(model.C.shape).copy()
+                model.C += (R / pairs).reshape(model.C.shape)
             else:
-                at = slice(row["block"] * BLOCK, row["block"] * BLOCK + len(b))
-                model.R[at], model.Q[at], model.b[at] = R.reshape(len(b), -1), Q.reshape(len(b), -1), b
+                lo = row["block"] * BLOCK
+                n = min(BLOCK, len(unigram) - lo)
+                model.R[lo : lo + n] += R.reshape(BLOCK, -1)[:n]
+                model.Q[lo : lo + n] += Q.reshape(BLOCK, -1)[:n] / pairs
+                model.b[lo : lo + n] += b[:n] / pairs
         shared.unpersist()
     return model.arrays()
 
 
+def normalisers(spark: SparkSession, unigram: np.ndarray, arrays: tuple) -> np.ndarray:
+    """log Z of every symbol; the tasks share the symbols out."""
+    shared, n = spark.sparkContext.broadcast((unigram, arrays)), len(unigram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LogBilinear(*shared.value)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([model.log_z(256 * k, 256 * k + 256).tobytes()], pa.binary())], names=["k", "z"])
+
+    blocks = -(-n // 256)
+    rows = spark.range(0, blocks, 1, min(blocks, 4 * partitions(spark))).mapInArrow(run, "k long, z binary").collect()  # 4 bytes a symbol
+    shared.unpersist()
+    return np.concatenate([np.frombuffer(r["z"], np.float32) for r in sorted(rows, key=lambda r: r["k"])])
+
+
 _READY: dict[str, tuple] = {}
 
 
@@ -229,12 +263,20 @@ def _score(shared):
     """A row for each text with what its known words give, then a row for each other word of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, known, base, share, arrays, end_base, run_id = shared.value
+        n_head, known, base, share, (q, Q, b_z), end_base, run_id = shared.value
         if run_id not in _READY:  # once for each Python worker
-            model = LogBilinear(np.zeros(SYMBOLS), arrays)
             _READY.clear()
-            _READY[run_id] = model.table().ravel() / np.float32(math.log(10)), Symbols(head), {w: i for i, w in enumerate(known)}
-        logp, own, place = _READY[run_id]
+            _READY[run_id] = Symbols(known[:n_head]), {w: i for i, w in enumerate(known)}
+        own, place = _READY[run_id]
+
+        def log_p(s: np.ndarray) -> float:
+            total = 0.0
+            for lo in range(0, len(s) - 1, 65_536):
+                c, w = s[lo : lo + 65_536], s[lo + 1 : lo + 65_537]
+                c = c[: len(w)]
+                total += float(np.einsum("ij,ij->", q[c], Q[w], dtype=np.float64) + b_z[0][w].sum(dtype=np.float64) - b_z[1][c].sum(dtype=np.float64))
+            return total / math.log(10)
+
         first = TaskContext.get().partitionId() << 36
         names = ["key", "id", "word", "n", "known", "base", "score"]
         types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -247,7 +289,7 @@ def _score(shared):
                     s = np.empty(len(ws) + 2, np.int64)
                     s[0] = s[-1] = END
                     s[1:-1] = own.of(ws)
-                    model_part = float(logp[s[:-1] * SYMBOLS + s[1:]].sum(dtype=np.float64))
+                    model_part = log_p(s)
                     at = np.fromiter((place.get(w, -1) for w in ws), np.int64, len(ws))
                     rest = Counter(ws[k] for k in np.flatnonzero(at < 0).tolist())
                     at = at[at >= 0]
@@ -269,21 +311,26 @@ def score_texts(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(~in_words, F.col("c"))), F.lit(0)).alias("ends")).first()
     total, distinct = all_["n"], all_["v"]
     below = math.log10(total + 0.5 * (distinct + 1))
-    top = [(bytes(r["word"]), r["c"]) for r in counts.where(in_words).orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
-    head = [w for w, _ in top[:HEAD]]
+    often = max(HEAD, counts.where(in_words & (F.col("c") >= OFTEN)).count())
+    top = counts.where(in_words).orderBy(F.desc("c"), "word").limit(max(KNOWN, often)).select("word", "c").toArrow()
+    known, c = top.column(0).to_pylist(), top.column(1).to_numpy().astype(np.float64)
+    n_head = min(often, len(known))
 
     class_of = F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(TAIL)).cast("int")
-    head_words = spark.createDataFrame([(w,) for w in head], "word binary")
-    tail = counts.where(in_words).join(F.broadcast(head_words), "word", "left_anti")  # HEAD rows at most
+    tail = counts.where(in_words)
+    if n_head:  # what comes after the last modelled word
+        tail = tail.where((F.col("c") < int(c[n_head - 1])) | ((F.col("c") == int(c[n_head - 1])) & (F.col("word") > F.lit(bytearray(known[n_head - 1])))))
     mass, classes = np.zeros(TAIL), np.zeros(TAIL)
     for r in tail.groupBy(class_of.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # TAIL rows at most
         mass[r["k"]], classes[r["k"]] = r["c"] + 0.5 * (r["v"] + 1), r["c"]
     mass = np.where(mass > 0, mass, 0.5)
-    c = np.array([x for _, x in top], np.float64)
-    model = train_model(learned, head, np.concatenate([c[:HEAD], np.zeros(HEAD - len(head)), classes, [all_["ends"]]]))
+    unigram = np.concatenate([classes, [all_["ends"]], c[:n_head]])
+    R, C, Q, b = model = train_model(learned, known[:n_head], unigram)
+    log_z = normalisers(spark, unigram, model)
     base = np.log10(c + 0.5) - below
-    share = np.array([0.0 if i < HEAD else math.log10((n + 0.5) / mass[tail_class(w) - HEAD]) for i, (w, n) in enumerate(top)])
-    shared = spark.sparkContext.broadcast((head, [w for w, _ in top], base, share, model, math.log10(all_["ends"] + 0.5) - below, uuid.uuid4().hex))
+    of_class = np.fromiter(map(tail_class, known), np.int64, len(known))
+    share = np.where(np.arange(len(c)) < n_head, 0.0, np.log10((c + 0.5) / mass[of_class]))
+    shared = spark.sparkContext.broadcast((n_head, known, base, share, (R @ C, Q, (b, log_z)), math.log10(all_["ends"] + 0.5) - below, uuid.uuid4().hex))
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(plain.mapInArrow(_score(shared), "key long, id long, word binary, n long, known long, base double, score double"), "scored")

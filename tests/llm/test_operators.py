@@ -20,7 +20,7 @@ from locusflow.llm.chunks import library_encoder, tokenizer, vocabulary
 from locusflow.llm.components import components
 from locusflow.llm.exact_dedup import exact_dedup, kept_documents
 from locusflow.llm.jaccard_join import PrefixTree
-from locusflow.llm.language_model import SYMBOLS, LogBilinear, _learned
+from locusflow.llm.language_model import END, WORDS, LogBilinear, Symbols, _learned, score_texts, tail_class
 from locusflow.llm.packing import plan
 from locusflow.llm.pii import Permutation, Pseudonyms, pseudonymise
 from locusflow.llm.quality import quality_filter
@@ -273,12 +273,29 @@ def test_model_learns_from_every_pair():
     first = m.R.copy()
     m.fit(before, after)
     assert m.seen.tolist() == [3] * 3000 and (m.R != first).any(1).all()
-    shared = SimpleNamespace(value=([b"a", b"b"], np.ones(SYMBOLS), None, 0, 1))
+    shared = SimpleNamespace(value=([b"a", b"b"], np.ones(WORDS + 2), None, 0, 1))
     texts = [pa.RecordBatch.from_arrays([pa.array(["a b", None, "b a a zz"] * 400_000)], names=["text"])]
     parts = [row for b in _learned(shared)(iter(texts)) for row in b.to_pylist()]
     assert {row["pairs"] for row in parts} == {400_000 * 9} == {sum(np.frombuffer(row["seen"], np.int64).sum() for row in parts if row["block"] >= 0)}
 
 
+def test_modelled_words_follow_the_corpus(spark):
+    r = np.random.default_rng(2)
+    pairs = [(f"left{k}ab", f"right{k}ab") for k in range(2000)]  # all words have one ending, each comes 60 times
+    texts = [(i, " ".join(w for k in r.permutation(2000)[:250] for w in pairs[k])) for i in range(480)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    odd = spark.createDataFrame([(-1, "left7ab right7ab"), (-2, "left7ab right8ab")], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in score_texts(odd, rows).collect()}
+    assert got[-1] > got[-2] + 1 and tail_class(b"left7ab") == tail_class(b"right8ab") < END
+    assert Symbols([b"left7ab"]).of([b"left7ab", b"right8ab"]).tolist() == [WORDS, tail_class(b"ab")]
+
+
+def test_normalisers_are_exact():
+    m = LogBilinear(np.arange(5000.0))
+    x = (m.R @ m.C @ m.Q.T + m.b).astype(np.float64)
+    assert np.concatenate([m.log_z(0, 3000), m.log_z(3000, 6000)]) == pytest.approx(np.log(np.exp(x).sum(1)), abs=1e-4)
+
+
 def test_held_out_score_beats_word_counts(spark):
     got = registry.QUERIES["op9_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (got[0] - got[1]) / got[2] > 0.25

@@ -143,6 +143,15 @@ def nearest_partner(spark, d):
     return lookups.nearest_partner(e, nodes, 5)
 
 
+@query(f"""WITH {ED}, n AS (SELECT DISTINCT a_contig AS contig, a_pos AS pos FROM ed)
+ SELECT ed.id, n.pos AS partner_pos, abs(n.pos - ed.b_pos) > 5 AS widened FROM ed JOIN n ON n.contig = ed.b_contig AND abs(n.pos - ed.b_pos) <= 15
+ QUALIFY row_number() OVER (PARTITION BY ed.id ORDER BY abs(n.pos - ed.b_pos), n.pos) = 1""")
+def nearest_partner_all(spark, d):
+    """As nearest_partner, among all nodes."""
+    e = edge_view(spark, d)
+    return lookups.nearest_partner(e, e.select(c("a_contig").alias("contig"), c("a_pos").alias("pos")).distinct(), 5)
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def unvisited_anti(spark, d):
     return pairs.unvisited(table(spark, d, "orders"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey").select("o_orderkey")

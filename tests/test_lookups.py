@@ -1,6 +1,7 @@
 """Lookups at their edges: distances that just count, ties, nothing to find, empty tables."""
 
 from locusflow.operators import lookups
+from locusflow.plans import adapters, registry
 
 ROWS, PANEL, LINKS = "id long, contig int, pos int", "contig int, pos int, hits long", "id long, contig int, lo int, hi int"
 
@@ -29,3 +30,14 @@ def test_nearest_partner(spark):
     edges = spark.createDataFrame([(1, 1, 100), (2, 1, 200), (3, 1, 300), (4, 2, 100)], "id long, b_contig int, b_pos int")
     nodes = spark.createDataFrame([(1, 95), (1, 105), (1, 215), (1, 316)], "contig int, pos int")
     assert sorted(map(tuple, lookups.nearest_partner(edges, nodes, 5).collect())) == [(1, 95, False), (2, 215, True)]
+
+
+def test_nearest_partner_of_all_nodes(spark):
+    sf = "/root/testdata/sf0.001"
+    edges = adapters.edges(spark, sf).select("id", "a_contig", "a_pos", "b_contig", "b_pos").collect()
+    nodes = {(e.a_contig, e.a_pos) for e in edges}
+    near = sorted(range(-15, 16), key=lambda x: (abs(x), x))
+    want = {e.id: next((e.b_pos + x for x in near if (e.b_contig, e.b_pos + x) in nodes), None) for e in edges}
+    got = {r.id: (r.partner_pos, r.widened) for r in registry.QUERIES["nearest_partner_all"](spark, sf).collect()}
+    assert got == {e.id: (want[e.id], abs(want[e.id] - e.b_pos) > 5) for e in edges if want[e.id] is not None}
+    assert any(p % 16 for p, _ in got.values())

@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel permutation.
 
-Values are found by pattern and then validated: card numbers by their check digit, account numbers by remainder 97,
+Values are found by pattern and then validated: card numbers by their check digit, account numbers, with or without single spaces, by remainder 97,
 addresses by octet range, dates by the calendar. A valid value becomes a number below the count of values of its format,
 is permuted by a Feistel network walked until it is within that count, and written back in the same format with check
 digits made anew. The permutation depends on the key and the kind of value alone, so equal values stay linked across
@@ -31,7 +31,7 @@ _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[\w+%-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)
     |(?P<key>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))
     |(?P<secret>(?:(?<=password=)|(?<=token\ =\ ")|(?<=token=)|(?<=secret=)|(?<=api_key=))[A-Za-z0-9]{8,})
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9]))
+    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
     |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w(])\(\d{3}\)[ ]?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-]))
     |(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<ymd>(?<![\w./-])(?:19|20)\d\d([-/.])\d\d\8\d\d(?![\w/-]))
@@ -40,7 +40,8 @@ _PATTERN = re.compile(
     |(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d))""",
     re.VERBOSE,
 )
-_LIKELY = re.compile(r"[0-9@]|password=|secret=|token")
+#: Every text with a match of _PATTERN has one of these.
+_LIKELY = re.compile(r"[\d@]|AKIA|password=|secret=|token|api_key=")
 
 
 class Permutation:
@@ -73,6 +74,16 @@ def _remainder(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _account(text: str) -> str | None:
+    """The account number that a text of groups begins with: in groups of four before any other, then the longest."""
+    groups, found = text.split(" "), []
+    for k in range(len(groups), 0, -1):
+        own = "".join(groups[:k])
+        if 15 <= len(own) <= 34 and _remainder(own) == 1:
+            found.append((k > 1 and any(len(g) != 4 for g in groups[: k - 1]) or len(groups[k - 1]) > 4 and k > 1, -k))
+    return " ".join(groups[: -min(found)[1]]) if found else None
+
+
 class Pseudonyms:
     """Pseudonyms of values found in texts; those given before are kept by value."""
 
@@ -153,10 +164,10 @@ class Pseudonyms:
             it = iter(body + str(-luhn(body + "0") % 10))
             return re.sub(r"\d", lambda _: next(it), text)
         if kind == "iban":
-            if _remainder(text) != 1:
-                return None
-            new = text[:2] + "00" + self._classes(text[4:], "iban")
-            return new[:2] + f"{98 - _remainder(new):02d}" + new[4:]
+            own = text.replace(" ", "")
+            new = own[:2] + "00" + self._classes(own[4:], "iban")
+            it = iter(new[:2] + f"{98 - _remainder(new):02d}" + new[4:])
+            return "".join(c if c == " " else next(it) for c in text)
         raise ValueError(kind)
 
     @staticmethod
@@ -168,19 +179,25 @@ class Pseudonyms:
         """The text with pseudonyms and (kind, start, end) of what was replaced, in the text given."""
         if not _LIKELY.search(text):
             return text, []
-        spans, out, at = [], [], 0
-        for m in _PATTERN.finditer(text):
-            kind, value = m.lastgroup, m[0]
+        spans, out, at, begin = [], [], 0, 0
+        while m := _PATTERN.search(text, begin):
+            value, begin = m[0], m.end()
             kind = next(k for k, v in m.groupdict().items() if v is not None)
+            if kind == "iban":
+                own = _account(value)
+                begin = m.start() + len(own or value.split(" ")[0])  # what follows is searched by itself
+                if own is None:
+                    continue
+                value = own
             new = self.known.get((kind, value), "")
             if new == "":
                 if len(self.known) > 200_000:
                     self.known.clear()
                 new = self.known[kind, value] = self.make(kind, value)
             if new is not None:
-                spans.append((kind, m.start(), m.end()))
+                spans.append((kind, m.start(), begin))
                 out += [text[at : m.start()], new]
-                at = m.end()
+                at = begin
         return "".join([*out, text[at:]]), spans
 
 

@@ -25,7 +25,7 @@ from locusflow.llm.packing import plan
 from locusflow.llm.pii import _PATTERN, Permutation, Pseudonyms, pseudonymise
 from locusflow.llm.quality import quality_filter
 from locusflow.llm.suffix_dedup import bucket_refine
-from locusflow.llm.token_files import Shard, compress, shard
+from locusflow.llm.token_files import BASE, Shard, compress, shard
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -231,6 +231,26 @@ def test_grammar_round_trip():
     assert rules and len(x) < 5000
 
 
+def test_grammar_goes_on_to_the_end():
+    r = np.random.default_rng(5)
+    docs = [np.full(5000, 9, np.uint32), np.array([9], np.uint32), *[np.tile(r.integers(0, 50_257, 300), 60).astype(np.uint32) for _ in range(2)], np.repeat(r.integers(0, 40, 900), r.integers(1, 9, 900)).astype(np.uint32)]
+    whole = np.concatenate([y for d in docs for y in (d.astype(np.uint16), np.array([BASE], np.uint16))])
+    x, rules = compress(whole)
+    left = Counter()
+    last = None  # of a run of one symbol every other pair counts
+    for k, pair in enumerate(zip(x[:-1].tolist(), x[1:].tolist())):
+        if BASE not in pair and not (pair[0] == pair[1] and last == k - 1):
+            left[pair] += 1
+            last = k if pair[0] == pair[1] else None
+        else:
+            last = None
+    assert max(left.values()) < 7 and sum(u == v for u, v in rules) >= 5
+    s = Shard(shard(list(range(len(docs))), docs))
+    assert all(s.ids(k).tolist() == [*d.tolist(), 0] for k, d in enumerate(docs))
+    assert len(compress(np.full(1 << 14, 9, np.uint16))[0]) <= 8
+    assert len(compress(np.tile(np.arange(20, dtype=np.uint16), 20))[1]) > 0
+
+
 def test_bpe(spark, sf, docs):
     t = tokenizer(vocabulary("byte_bpe_50k.json"))
     for r in registry.QUERIES["op8_bpe"](spark, sf).collect():

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import BYTE_LEVEL, ChunkEncoder, vocabulary
+from .chunks import BYTE_LEVEL, ChunkEncoder, slices, vocabulary
 from .common import documents
 
 
@@ -48,7 +48,7 @@ class BytePairs:
         self.pretoken = regex.compile(BYTE_LEVEL)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, list[int]] = {}
-        self.chunks = ChunkEncoder(lambda xs: map(self.encode, xs), lambda xs: (np.array(self._plain(x), "<u4").tobytes() for x in xs), True)
+        self.chunks = ChunkEncoder(lambda xs: map(self.encode, xs), lambda xs: map(self._plain, xs), True)
 
     def word(self, pretoken: str) -> list[int]:
         """Ids of one pretoken."""
@@ -119,9 +119,8 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_pairs(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ids = model.chunks.encode([t or "" for t in part.column(1).to_pylist()])
+            for part in slices(batch):
+                ids = model.chunks.encode(part.column(1))
                 cols = [part.column(0), pa.array(ids, pa.binary())]
                 if with_text:
                     cols.append(pa.array([model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import library_encoder, vocabulary
+from .chunks import library_encoder, slices, vocabulary
 from .common import documents, written
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, within long"
@@ -90,10 +90,9 @@ def _cut(path: str, capacity: int, end: int | None):
         seen: dict[int, int] = defaultdict(int)
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                own = batch.slice(lo, 1024)
+            for own in slices(batch):
                 rows = []
-                for id_, ids in zip(own.column(0).to_pylist(), encoder.encode([t or "" for t in own.column(1).to_pylist()])):
+                for id_, ids in zip(own.column(0).to_pylist(), encoder.encode(own.column(1))):
                     ids += tail
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]

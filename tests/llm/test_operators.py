@@ -25,7 +25,7 @@ from locusflow.llm.packing import plan
 from locusflow.llm.pii import _PATTERN, Permutation, Pseudonyms, pseudonymise
 from locusflow.llm.quality import quality_filter
 from locusflow.llm.suffix_dedup import bucket_refine
-from locusflow.llm.token_files import BASE, Shard, compress, shard
+from locusflow.llm.token_files import Grammar, Shard, _apart, base_of, read_shards, shard, write_shards
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -221,34 +221,62 @@ def test_token_files(spark, sf, docs):
         start += len(ids)
 
 
-def test_grammar_round_trip():
-    r = np.random.default_rng(3)
-    docs = [np.tile(r.integers(0, 50_257, 20), r.integers(0, 60)).astype(np.uint32) for _ in range(40)]
-    s = Shard(shard(list(range(40)), docs))
-    for k in (39, 0, 17):
-        assert s.ids(k).tolist() == [*docs[k].tolist(), 0]
-    x, rules = compress(np.tile(np.arange(20, dtype=np.uint16), 500))
-    assert rules and len(x) < 5000
+def grammar_docs():
+    r = np.random.default_rng(5)
+    docs = [np.full(5000, 9, np.uint32), np.array([9], np.uint32), np.zeros(0, np.uint32), *[np.tile(r.integers(0, 50_257, 300), 60).astype(np.uint32) for _ in range(2)]]
+    return [*docs, np.repeat(r.integers(0, 40, 900), r.integers(1, 9, 900)).astype(np.uint32), *[np.tile(r.integers(0, 50_257, 20), r.integers(0, 60)).astype(np.uint32) for _ in range(40)]]
+
+
+@pytest.mark.parametrize("base", [50_300, 63_000, 1 << 17])
+def test_grammar_round_trip(base):
+    docs = grammar_docs()
+    s = Shard(shard([None, *range(1, len(docs))], docs, base))
+    assert all(s.ids(k).tolist() == [*d.tolist(), 0] for k, d in enumerate(docs)) and s.null.tolist() == [True] + [False] * (len(docs) - 1)
+    r = random.Random(3)
+    for _ in range(300):  # any place within a document
+        k = r.randrange(len(docs))
+        lo, hi = r.randint(0, len(docs[k])), r.randint(0, len(docs[k]) + 3)
+        assert s.part(k, lo, hi).tolist() == [*docs[k].tolist(), 0][lo:hi]
+
+
+def test_grammar_refuses_other_ids():
+    for bad in (50_300, 60_000, 70_000):
+        with pytest.raises(ValueError):
+            shard([1], [np.array([5, bad], np.uint32)], 50_300)
+    assert base_of(vocabulary("byte_bpe_50k.json")) == 50_257
 
 
 def test_grammar_goes_on_to_the_end():
-    r = np.random.default_rng(5)
-    docs = [np.full(5000, 9, np.uint32), np.array([9], np.uint32), *[np.tile(r.integers(0, 50_257, 300), 60).astype(np.uint32) for _ in range(2)], np.repeat(r.integers(0, 40, 900), r.integers(1, 9, 900)).astype(np.uint32)]
-    whole = np.concatenate([y for d in docs for y in (d.astype(np.uint16), np.array([BASE], np.uint16))])
-    x, rules = compress(whole)
+    base, docs = 50_300, grammar_docs()
+    g = Grammar(base)
+    x = g.compress(np.concatenate([y for d in docs for y in (d, np.array([base], np.uint32))]))
     left = Counter()
     last = None  # of a run of one symbol every other pair counts
     for k, pair in enumerate(zip(x[:-1].tolist(), x[1:].tolist())):
-        if BASE not in pair and not (pair[0] == pair[1] and last == k - 1):
+        if base not in pair and not (pair[0] == pair[1] and last == k - 1):
             left[pair] += 1
             last = k if pair[0] == pair[1] else None
         else:
             last = None
-    assert max(left.values()) < 7 and sum(u == v for u, v in rules) >= 5
-    s = Shard(shard(list(range(len(docs))), docs))
-    assert all(s.ids(k).tolist() == [*d.tolist(), 0] for k, d in enumerate(docs))
-    assert len(compress(np.full(1 << 14, 9, np.uint16))[0]) <= 8
-    assert len(compress(np.tile(np.arange(20, dtype=np.uint16), 20))[1]) > 0
+    assert max(left.values()) < 7 and (g.left == g.right).sum() >= 5
+    assert len(Grammar(base).compress(np.full(1 << 14, 9))) <= 8
+    assert len(Grammar(base).compress(np.tile(np.arange(20), 500))) < 50
+
+
+def test_pairs_kept_apart():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        at = np.unique(r.integers(0, 60, 40))
+        kept, ranks = _apart(at, r.permutation(len(at)))
+        assert (np.diff(kept) > 1).all() and len(kept) == len(ranks) and all({p - 1, p, p + 1} & set(kept.tolist()) for p in at)
+
+
+def test_token_files_of_hard_rows(spark, tmp_path):
+    rows = [(None, "a b"), (None, None), (5, "x"), (5, "x"), (-(1 << 63), "lowest"), (7, "")]
+    write_shards(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")), vocabulary("byte_bpe_50k.json"), str(tmp_path / "s"))
+    got = read_shards(spark, str(tmp_path / "s")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert sorted(r.start for r in got) == [0, *np.cumsum([r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1].tolist()]
 
 
 def test_bpe(spark, sf, docs):

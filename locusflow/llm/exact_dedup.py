@@ -1,15 +1,16 @@
 """Exact deduplication by a log-structured merge index.
 
 Each task holds a memtable from digest to text. A hit on a digest is compared byte for byte with the text held; a full
-memtable is flushed as a run of rows sorted by digest. Compaction merges the runs of a digest bucket, a Bloom filter of
-what has been merged sparing most look-ups, and keeps the smallest identifier. Digests found in several runs are hits
+memtable is flushed as a run of rows sorted by digest, with a Bloom filter for each bucket of digests. Compaction merges the runs
+of a bucket two by two, level by level: a digest that the filter of the other run does not have is new there, the others are
+looked up, and the smallest identifier is kept. Digests found in several runs are hits
 too: the texts that stand for them are read again and compared, and if they differ, the full SHA-256 takes the place of the key.
 
 A hot text is one row per run before anything is shuffled. A row finds its result through its entry (a run's slot), so a
 join key never has more rows than a memtable holds.
 
-Null texts count as empty. Null identifiers sort last. Of rows that repeat identifier and text, one stays. Other columns
-are not read, so their names cannot clash. An empty table gives an empty result.
+Null texts count as empty. Null identifiers sort last. Of rows that repeat identifier and text, one stays. A very long text fills a
+memtable alone. Other columns are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, maybe_in, partitions, written
+from .common import SPACE, documents, maybe_in, partitions, split_by, trimmed, written
 
-RUN_SCHEMA = "id long, digest binary, text_sha256 string, entry long, rep_id long, is_rep boolean, n long"
+RUN_SCHEMA = "id long, bucket int, run long, digest binary, text_sha256 binary, entry long, rep_id long, is_rep boolean, n long, filter binary"
 COMPACTED = "entry long, digest binary, rep_id long, keep_entry long, keep_id long, group_size long, hit boolean"
 
 
@@ -46,28 +47,64 @@ def normalised(col):
     return F.regexp_replace(F.coalesce(col, F.lit("")), SPACE, " ")
 
 
-def _flush(digest_bytes: int, memtable_bytes: int):
+def _numbers(digests: list[bytes]) -> np.ndarray:
+    """Digests as rows of two numbers that sort as they do."""
+    return np.frombuffer(b"".join(d.ljust(16, b"\0") for d in digests), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+class DigestFilter:
+    """Bloom filter of digests: two probes into a bitmap of about ten bits a digest."""
+
+    def __init__(self, digests: np.ndarray | None = None, packed: bytes | None = None):
+        if packed is not None:
+            self.bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+            return
+        self.bits = np.zeros(1 << max(6, (10 * len(digests)).bit_length()), bool)
+        for at in self._places(digests):
+            self.bits[at] = True
+
+    def _places(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.uint64(len(self.bits))
+        return digests[:, 0] % size, (digests[:, 1] ^ digests[:, 0] >> np.uint64(17)) % size
+
+    def maybe(self, digests: np.ndarray) -> np.ndarray:
+        a, b = self._places(digests)
+        return self.bits[a] & self.bits[b]
+
+    def packed(self) -> bytes:
+        return np.packbits(self.bits).tobytes()
+
+
+def _flush(digest_bytes: int, memtable_bytes: int, buckets: int):
+    names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        first = part << 36
+        first, number = part << 36, part << 24
         table: dict[bytes, list[int]] = {}
         texts, best, counts, rows, held = [], [], [], [], 0
 
         def flushed():
-            order = sorted(range(len(rows)), key=lambda i: (rows[i][1], rows[i][3]))
-            cols = [[], [], [], [], [], [], []]
+            bucket = [int.from_bytes(r[1][:8], "big") % buckets for r in rows]
+            order = sorted(range(len(rows)), key=lambda i: (bucket[i], rows[i][1], rows[i][3]))
+            out: list[tuple] = []
+            own: dict[int, list[bytes]] = {}
             for i in order:
                 id_, digest, sha, slot = rows[i]
                 rep = best[slot] == i
-                for c, v in zip(cols, (id_, digest, sha, first + slot, rows[best[slot]][0], rep, counts[slot] if rep else 0)):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["id", "digest", "text_sha256", "entry", "rep_id", "is_rep", "n"])
+                if rep:
+                    own.setdefault(bucket[i], []).append(digest)
+                out.append((id_, bucket[i], number, digest if rep else None, sha, first + slot, rows[best[slot]][0], rep, counts[slot] if rep else 0, None))
+            out += [(None, k, number, None, None, None, None, False, 0, DigestFilter(_numbers(ds)).packed()) for k, ds in own.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
         for batch in batches:
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 norm = normalise(text)
-                sha = hashlib.sha256(norm)
-                digest = sha.digest()[:digest_bytes]
+                sha = hashlib.sha256(norm).digest()
+                digest = sha[:digest_bytes]
                 slots = table.setdefault(digest, [])
                 slot = next((s for s in slots if texts[s] == norm), None)
                 if slot is None:
@@ -80,11 +117,11 @@ def _flush(digest_bytes: int, memtable_bytes: int):
                 elif id_ is not None and (rows[best[slot]][0] is None or id_ < rows[best[slot]][0]):
                     best[slot] = len(rows)
                 counts[slot] += 1
-                rows.append((id_, digest, sha.hexdigest(), slot))
+                rows.append((id_, digest, sha, slot))
                 held += 150
                 if held > memtable_bytes:
                     yield flushed()
-                    first += len(texts)
+                    first, number = first + len(texts), number + 1
                     table, texts, best, counts, rows, held = {}, [], [], [], [], 0
         if rows:
             yield flushed()
@@ -92,52 +129,66 @@ def _flush(digest_bytes: int, memtable_bytes: int):
     return run
 
 
-class DigestFilter:
-    """Bloom filter of digests: two probes into a bitmap of about ten bits per digest."""
-
-    def __init__(self, n: int):
-        self.size = 1 << max(10, (10 * n).bit_length())
-        self.bits = np.zeros(self.size, bool)
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.bits[a % self.size] = True
-        self.bits[b % self.size] = True
-
-    def maybe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.bits[a % self.size] & self.bits[b % self.size]
+class Run:
+    """Sorted digests with the best entry, rows and entries of each, and a filter."""
+
+    def __init__(self, digest: np.ndarray, last: np.ndarray, rep: np.ndarray, entry: np.ndarray, n: np.ndarray, entries: np.ndarray, filter_: DigestFilter | None = None):
+        order = np.lexsort((entry, rep, last, digest[:, 1], digest[:, 0]))
+        d = digest[order]
+        at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]).any(1)])
+        best = order[at]  # a smaller identifier first, then the entry
+        self.digest, self.last, self.rep, self.entry = d[at], last[best], rep[best], entry[best]
+        self.n, self.entries = np.add.reduceat(n[order], at), np.add.reduceat(entries[order], at)
+        self.filter = filter_ or DigestFilter(self.digest)
+
+    def find(self, digest: np.ndarray) -> np.ndarray:
+        """Place of each digest, -1 where it isn't."""
+        at = np.searchsorted(self.digest[:, 0], digest[:, 0])
+        out = np.full(len(digest), -1)
+        open_ = np.arange(len(digest))
+        while len(open_):  # more than once only where first halves agree
+            k = at[open_]
+            inside = k < len(self.digest)
+            open_, k = open_[inside], k[inside]
+            same = self.digest[k, 0] == digest[open_, 0]
+            open_, k = open_[same], k[same]
+            hit = self.digest[k, 1] == digest[open_, 1]
+            out[open_[hit]] = k[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+        return out
+
+    def with_(self, other: Run) -> Run:
+        """Both runs as one. Only digests that this run's filter may have are looked up."""
+        maybe = np.flatnonzero(self.filter.maybe(other.digest))
+        at = self.find(other.digest[maybe])
+        mine, theirs = at[at >= 0], maybe[at >= 0]
+        better = np.array([(a, b, c) > (d, e, f) for a, b, c, d, e, f in zip(self.last[mine], self.rep[mine], self.entry[mine], other.last[theirs], other.rep[theirs], other.entry[theirs])], bool)
+        for name in ("last", "rep", "entry"):
+            getattr(self, name)[mine[better]] = getattr(other, name)[theirs[better]]
+        self.n[mine] += other.n[theirs]
+        self.entries[mine] += other.entries[theirs]
+        new = np.ones(len(other.digest), bool)
+        new[theirs] = False
+        join = lambda name: np.concatenate([getattr(self, name), getattr(other, name)[new]])
+        return Run(*map(join, ("digest", "last", "rep", "entry", "n", "entries")))
 
 
 def _compact(group: pa.Table) -> pa.Table:
     """Merge the runs of one digest bucket; a row for each entry."""
-    digest = group.column("digest").to_pylist()
-    entry = group.column("entry").to_pylist()
-    rep = group.column("rep_id").to_pylist()
-    n = group.column("n").to_pylist()
-    run = [e >> 36 for e in entry]
-    words = np.array([(int.from_bytes((d + bytes(16))[:8], "little"), int.from_bytes((d + bytes(16))[8:16], "little") ^ int.from_bytes(d[:4], "big")) for d in digest], np.uint64).reshape(-1, 2)
-    seen = DigestFilter(len(digest))
-    merged: dict[bytes, list] = {}
-    order = sorted(range(len(digest)), key=lambda i: (run[i], digest[i], entry[i]))
-    at = 0
-    while at < len(order):  # one run after the other
-        end = at
-        while end < len(order) and run[order[end]] == run[order[at]]:
-            end += 1
-        idx = order[at:end]
-        maybe = seen.maybe(words[idx, 0], words[idx, 1])
-        for i, old in zip(idx, maybe.tolist()):
-            key = (rep[i] is None, rep[i], entry[i])
-            hit = merged.get(digest[i]) if old or (i != idx[0]) else None
-            if hit is None:
-                merged[digest[i]] = [key, n[i], 1]
-            else:
-                hit[0] = min(hit[0], key, key=lambda k: (k[0], k[1] or 0, k[2]))
-                hit[1] += n[i]
-                hit[2] += 1
-        seen.add(words[idx, 0], words[idx, 1])
-        at = end
-    out = [merged[d] for d in digest]
-    return pa.table([pa.array(entry, pa.int64()), pa.array(digest, pa.binary()), pa.array(rep, pa.int64()), pa.array([o[0][2] for o in out], pa.int64()), pa.array([o[0][1] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] > 1 for o in out], pa.bool_())], names=["entry", "digest", "rep_id", "keep_entry", "keep_id", "group_size", "hit"])
+    filters = {r: f for r, f in zip(group.column("run").to_pylist(), group.column("filter").to_pylist()) if f is not None}
+    rows = group.filter(group.column("filter").is_null()).sort_by("run")
+    digests = rows.column("digest").to_pylist()
+    digest, entry, n, number = _numbers(digests), *(rows.column(k).to_numpy() for k in ("entry", "n", "run"))
+    last, rep = rows.column("rep_id").is_null().to_numpy(), rows.column("rep_id").fill_null(0).to_numpy()
+    runs = []
+    for k, lo, hi in zip(names := np.unique(number), np.searchsorted(number, names), np.searchsorted(number, names, "right")):
+        runs.append(Run(digest[lo:hi], last[lo:hi], rep[lo:hi], entry[lo:hi], n[lo:hi], np.ones(hi - lo, np.int64), DigestFilter(packed=filters[k])))
+    while len(runs) > 1:
+        runs = [a.with_(b) for a, b in zip(runs[::2], runs[1::2])] + ([runs[-1]] if len(runs) % 2 else [])
+    at = runs[0].find(digest)
+    keep, of, many, hits = runs[0].entry[at], runs[0].rep[at], runs[0].n[at], runs[0].entries[at]
+    return pa.table([pa.array(entry), pa.array(digests, pa.binary()), rows.column("rep_id").combine_chunks(), pa.array(keep), pa.array(of, mask=runs[0].last[at]), pa.array(many), pa.array(hits > 1)], names=["entry", "digest", "rep_id", "keep_entry", "keep_id", "group_size", "hit"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16, memtable_bytes: int = 48 << 20) -> DataFrame:
@@ -147,10 +198,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = written(plain.mapInArrow(_flush(digest_bytes, memtable_bytes), RUN_SCHEMA), "runs")
-    reps = runs.where("is_rep").select("digest", "entry", "rep_id", "n")
     buckets = 4 * partitions(spark)
-    index = written(reps.groupBy(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")).applyInArrow(_compact, COMPACTED), "index")
+    made = written(plain.mapInArrow(_flush(digest_bytes, memtable_bytes, buckets), RUN_SCHEMA), "runs")
+    runs = made.where("filter is null")
+    reps = made.where("is_rep or filter is not null").select("bucket", "run", "digest", "entry", "rep_id", "n", "filter")
+    index = written(reps.groupBy("bucket").applyInArrow(_compact, COMPACTED), "index")
 
     hits = index.where("hit")
     ids = hits.select(F.explode(F.array("rep_id")).alias("id")).where("id is not null")
@@ -160,7 +212,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not differ.isEmpty():
         index = written(_by_text(plain, runs, index, differ, digest_bytes), "index")
     found = index.select("entry", "keep_entry", "keep_id", "group_size")
-    return runs.join(found, "entry").select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("is_rep") & (F.col("entry") == F.col("keep_entry"))).alias("kept"), "text_sha256")
+    return runs.join(found, "entry").select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("is_rep") & (F.col("entry") == F.col("keep_entry"))).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
 
 
 def _by_text(plain: DataFrame, runs: DataFrame, index: DataFrame, differ: DataFrame, digest_bytes: int) -> DataFrame:
@@ -173,11 +225,20 @@ def _by_text(plain: DataFrame, runs: DataFrame, index: DataFrame, differ: DataFr
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without copies, with all its columns."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    tagged = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": F.sha2(normalised(F.col(text_col)), 256)})
-    same = tagged.join(stay, tagged["__id"].eqNullSafe(stay["__id"]) & (tagged["__sha"] == stay["__sha"]), "left_semi")
-    return same.dropDuplicates(["__id", "__sha"]).select(docs.columns)
+    """docs without copies, with all its columns.
+
+    Rows whose identifier is surely not among those of copies pass where they are; only the others are joined by identifier
+    and text. Where copies are too many for a filter of bounded size, all rows are.
+    """
+    sha = lambda: F.sha2(normalised(F.col(text_col)), 256)
+    key = lambda id_, text: F.concat_ws("/", id_, text).alias("__key")
+    found = written(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), "kept", F.col("text_sha256").alias("sha")), "kept")
+    gone = found.where("not kept").select("id")
+    sure, rest = split_by(docs.withColumn("__id", F.col(id_col).cast("long")), "__id", gone, "id")
+    _, stay = split_by(found.where("kept").select("id", "sha"), "id", gone, "id")
+    rest = rest.withColumn("__key", key(F.col("__id"), sha())).dropDuplicates(["__key"])
+    rest = rest.join(stay.select(key(F.col("id"), F.col("sha"))), "__key", "left_semi").select(docs.columns)
+    return rest if sure is None else sure.select(docs.columns).unionByName(rest)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

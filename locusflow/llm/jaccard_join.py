@@ -6,37 +6,47 @@ then by hash. An element is its order class and 56 bits of hash.
 
 1. Documents with equal sets are one class. 2. Each class posts the elements of its prefix: two sets of the required
 similarity share an element among the first n - ceil(t n) + 1 of each. 3. In a group of postings of one element, every
-document is compared with the one that has fewest rarer elements, among near copies the least edited. 4. Links make components; only pairs
-of a group that lie in different components are compared next. No pair that may be a link is left out, and within a
-group of near copies few pairs are made.
+document is paired with the one that has fewest rarer elements, among near copies the least edited, the hub. A task first does so
+with its own postings and sends on the hub alone, so that a common element is one posting a task. 4. Links make components; of a
+group whose documents lie in different ones, those pairs are compared next. A large group is dealt out as pairs of its blocks. No
+pair that may be a link is left out, and within a group of near copies few pairs are made.
 
-Pairs are compared in a prefix tree: for one document, the sets to compare with it are put in order; runs that begin alike
-are walked as one branch, whose overlap so far is shared, and a branch is left when what remains of it or of the document
-cannot reach the overlap required.
+Pairs are compared by the prefix tree join: texts go to their hub, where their sets, in global order, are stored in one tree; runs that
+begin alike are one branch. The hub's set walks the tree with the overlap of a branch so far, shared by all sets below it, and leaves a
+branch when what remains of it or of the hub cannot reach the overlap required. A hub of many partners is dealt out over several trees.
 
 With fewer words than n, the whole sequence is the one element; without words the set is empty, n_shingles is 0 and the
-component is the document's own. Null texts count as empty. Null identifiers are left out. Rows that repeat an identifier
-are one document if their texts agree. Only identifier and text are read.
+component is the document's own. Null texts count as empty; a very long text is one set like any other. Rows without identifier come back
+with n_shingles and no component. Rows that repeat an identifier are one document: each has its own n_shingles, and the document is linked
+where one of its texts is. Only identifier and text are read, so that other columns may be named as they like. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, maybe_in, partitions, written
+from .chunks import slices
+from .common import documents, dropped, maybe_in, partitions, split_by, trimmed, written
 from .components import components
 
 SLOTS = 20
+#: Partners of a hub in one tree, and documents of an element's group in one block.
+TREE, BLOCK = 256, 256
 _LOW = np.uint64((1 << 56) - 1)
-_UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "big") | 1) for k in range(64)]
+_BYTES = np.frombuffer(hashlib.shake_256(b"words").digest(8 * 256), "<u8")
+_BASE = int.from_bytes(hashlib.blake2b(b"base", digest_size=8).digest(), "big") & ~7 | 3
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,44 +55,75 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+class WordHashes:
+    """64-bit hashes of words: a polynomial in random numbers of their bytes, long words by blake2b."""
+
+    def __init__(self, longest: int = 64):
+        self.longest, self.powers, self.inverses = longest, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        words = words.cast(pa.binary())
+        ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        at = ends - ends[0]
+        if len(self.powers) <= len(raw):
+            m = 1 << len(raw).bit_length()
+            for name, b in (("powers", _BASE), ("inverses", _INVERSE)):
+                x = np.full(m, b, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.multiply.accumulate(x))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * self.powers[: len(raw)], out=sums[1:])
+        h = _mixed((sums[at[1:]] - sums[at[:-1]]) * self.inverses[at[:-1]])
+        for k in np.flatnonzero(np.diff(at) > self.longest).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(words[k].as_py(), digest_size=8).digest(), "little")
+        return h
+
+
 class Shingles:
     """Sets of n-gram hashes of texts; A-Z are lower-cased, words are runs without ASCII white space."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def _word(self, w: bytes) -> int:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        h = self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        ws = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER).split()
-        try:
-            h = np.fromiter(map(self.known.__getitem__, ws), np.uint64, len(ws))
-        except KeyError:
-            h = np.array([self.known.get(w) or self._word(w) for w in ws], np.uint64)
-        n = self.n
-        if len(ws) < n:
-            if not ws:
-                return h
-            total = np.uint64(len(ws))
-            for k, x in enumerate(h):
-                total = _mixed(np.array([total ^ x * _MIX[2 + k]], np.uint64))[0]
-            return np.array([total], np.uint64)
-        m = len(h) - n + 1
+        self.n, self.hashes = n, WordHashes()
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The distinct n-grams of each text, sorted."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        named = words.values.dictionary_encode()
+        codes = named.indices.to_numpy()
+        real = pc.binary_length(named.dictionary).to_numpy(zero_copy_only=False) > 0  # white space at the ends leaves empty words
+        ends = words.offsets.to_numpy()
+        keep = real[codes]
+        before = np.concatenate([[0], np.cumsum(keep)])
+        ends, h = before[ends], self.hashes.of(named.dictionary)[codes[keep]]
+        n, out = self.n, []
+        m = max(0, len(h) - n + 1)
         total = np.zeros(m, np.uint64)
         for k in range(n):
             total = (total ^ h[k : k + m]) * _MIX[2 + k]
             total ^= total >> np.uint64(30)
-        return np.unique(_mixed(total))
+        total = _mixed(total)
+        for lo, hi in itertools.pairwise(ends.tolist()):
+            if hi - lo >= n:
+                out.append(np.unique(total[lo : hi - n + 1]))
+            elif lo == hi:
+                out.append(total[:0])
+            else:
+                one = np.array([hi - lo], np.uint64)
+                for k in range(lo, hi):
+                    one = _mixed(one ^ h[k : k + 1] * _MIX[2 + k - lo])
+                out.append(one)
+        return out
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _packed_counts(at: np.ndarray, n: np.ndarray) -> bytes:
     steps = np.diff(at, prepend=0).astype("<u4")
     return zstandard.compress(np.stack([steps, n.astype("<u4")]).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
@@ -93,29 +134,48 @@ def _unpacked_counts(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.int64), n
 
 
-def _sets(n: int):
-    """A row for each document, and at the end the slot counts of the task."""
+_SETS = "id long, n long, entry long, d1 long, d2 long, counts binary"
 
+
+def _sets(n: int, held: int = 500_000):
+    """A row for each document, and at the end the slot counts of the task. An entry stands for equal sets that a task has seen;
+    its digest is in the first of its rows. Empty sets have none."""
+    names = [x.split()[0] for x in _SETS.split(", ")]
+    types = (*[pa.int64()] * 5, pa.binary())
+
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts, names = Shingles(n), np.zeros(1 << SLOTS, np.uint32), ["id", "n", "digest", "counts"]
-        for b in batches:
-            ids, sizes, digests, waiting = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = own.of(t)
-                ids.append(i)
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                waiting.append(s)
-            counts += np.bincount(_slots(np.concatenate(waiting)), minlength=1 << SLOTS).astype(np.uint32) if waiting else 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        own, counts = Shingles(n), np.zeros(1 << SLOTS, np.int64)
+        entries: dict[bytes, int] = {}
+        first = TaskContext.get().partitionId() << 36
+        for whole in batches:
+            for b in slices(whole, 1, 2 << 20):
+                sets = own.of(b.column(1))
+                rows = []
+                for i, s in zip(b.column(0).to_pylist(), sets):
+                    if not len(s):
+                        rows.append((i, 0, None, None, None, None))
+                        continue
+                    digest = _digest(s)
+                    entry = entries.get(digest)
+                    if entry is None:
+                        if len(entries) == held:
+                            entries.clear()
+                        entry = entries[digest] = first
+                        first += 1
+                        rows.append((i, len(s), entry, *np.frombuffer(digest, "<i8").tolist(), None))
+                    else:
+                        rows.append((i, len(s), entry, None, None, None))
+                counts += np.bincount(_slots(np.concatenate(sets)), minlength=1 << SLOTS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         if counts.any():
             at = np.flatnonzero(counts)
-            payload = _packed_counts(at, counts[at])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([payload], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, t) if k < 5 else pa.array([_packed_counts(at, np.minimum(counts[at], (1 << 32) - 1))], t) for k, t in enumerate(types)], names=names)
 
     return run
 
 
+@trimmed
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SLOTS, np.int64)
     for b in batches:
@@ -148,102 +208,158 @@ def required(n: np.ndarray, m: np.ndarray, t: int) -> np.ndarray:
     return -(-t * (n + m) // (100 + t))
 
 
-def _postings(n: int, t: int, parts: int, classes):
-    """Packed postings by part of the element: element, document, set size, place in order."""
+def _may_link(n, p, m, q, t: int) -> np.ndarray:
+    """Whether sets of sizes n and m that share the elements at places p and q, as the first they share, may be similar."""
+    need = required(n, m, t)
+    short = np.minimum(n, m)
+    return (100 * short >= t * np.maximum(n, m)) & (1 + np.minimum(n - p, m - q) - 1 >= need)
+
+
+def _ranks(e: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start, size): postings by element, few rarer elements first, which is the least edited, so near most copies."""
+    by = np.lexsort((_mixed(d.astype(np.uint64)), p, e))
+    start = np.flatnonzero(np.r_[True, e[by][1:] != e[by][:-1]]) if len(e) else np.zeros(0, np.int64)
+    return by, start, np.diff(np.r_[start, len(e)])
+
+
+def _star(d: np.ndarray, n: np.ndarray, p: np.ndarray, start: np.ndarray, size: np.ndarray, t: int) -> np.ndarray:
+    """Pairs of the documents of ordered groups with the first of their group."""
+    hub = np.repeat(start, size)
+    at = np.flatnonzero(hub != np.arange(len(d)))
+    h = hub[at]
+    ok = _may_link(n[at], p[at], n[h], p[h], t) & (d[at] != d[h])
+    return np.unique(np.stack([d[h][ok], d[at][ok]], 1), axis=0)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Numbers of one length, byte by byte of significance, compressed."""
+    return zstandard.compress(np.int64(len(columns[0])).tobytes() + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 1)
+
+
+def _unpack(payload: list[bytes], kinds: str) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds.split()]
+    for x in payload:
+        raw = zstandard.decompress(x)
+        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+        for c, kind in zip(out, kinds.split()):
+            width = np.dtype(kind).itemsize
+            c.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).ravel())
+            at += n * width
+    return [np.concatenate(c) for c in out]
+
+
+#: element (as steps), document, set size, twice the place in order and whether the task kept others of the group to itself
+_POSTED = "u8 i8 u4 u4"
+_PAIRS = "i8 i8"
+#: document, set size, element, place: the documents of groups of three and more
+_GROUPED = "i8 u4 u8 u4"
+
+
+def _postings(n: int, t: int, parts: int, classes, flush: int = 400_000):
+    """Packed by part: postings by their element, and by document what the task could pair itself."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, order, seen = Shingles(n), classes.value, set()
         held: list[tuple] = []
 
+        def dealt(kind: int, part: np.ndarray, columns: list[np.ndarray], rows: list[tuple]) -> None:
+            by = np.argsort(part, kind="stable")
+            part = part[by]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for lo, hi in itertools.pairwise(cuts):
+                if lo < hi:
+                    cs = [c[by[lo:hi]] for c in columns]
+                    if not kind:
+                        cs[0] = np.diff(cs[0], prepend=np.uint64(0))
+                    rows.append((int(part[lo]), kind, _pack(*cs)))
+
         def out():
             e, d, s, p = (np.concatenate(x) for x in zip(*held))
-            part = (_mixed(e) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[by])) + 1
-            rows = np.split(by, cuts)
-            pack = [e[i].astype("<u8").tobytes() + d[i].astype("<i8").tobytes() + s[i].astype("<u4").tobytes() + p[i].astype("<u4").tobytes() for i in rows]
-            return pa.RecordBatch.from_arrays([pa.array([int(part[i[0]]) for i in rows], pa.int32()), pa.array(pack, pa.binary())], names=["part", "postings"])
+            by, start, size = _ranks(e, d, p)
+            e, d, s, p = e[by], d[by], s[by], p[by]
+            big = np.repeat(size, size) > 2
+            first = np.zeros(len(e), bool)
+            first[start] = True
+            pairs = _star(d[big], s[big], p[big], np.flatnonzero(first[big]), size[size > 2], t)
+            sent = first | ~big
+            rows: list[tuple] = []
+            dealt(0, (_mixed(e[sent]) % np.uint64(parts)).astype(np.int64), [e[sent], d[sent], s[sent].astype("u4"), (2 * p[sent] + big[sent]).astype("u4")], rows)
+            of = lambda d: (_mixed(d.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            dealt(1, of(pairs[:, 1]), [pairs[:, 0].copy(), pairs[:, 1].copy()], rows)
+            dealt(2, of(d[big]), [d[big], s[big].astype("u4"), e[big], p[big].astype("u4")], rows)
+            for lo in range(0, len(rows), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 500]), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "kind", "payload"])
 
         size = 0
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = own.of(text)
-                if not len(h):
-                    continue
-                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-                if digest in seen:  # the same set has been posted; its class has both
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(digest)
-                e = elements(h, order)
-                k = len(e) + (-t * len(e)) // 100 + 1
-                held.append((e[:k], np.full(k, i, np.int64), np.full(k, len(e), np.int64), np.arange(k)))
-                size += k
-            if size > 2_000_000:
-                yield out()
-                held, size = [], 0
+        for whole in batches:
+            for b in slices(whole, 1, 2 << 20):
+                for i, h in zip(b.column(0).to_pylist(), own.of(b.column(1))):
+                    if not len(h):
+                        continue
+                    digest = _digest(h)
+                    if digest in seen:  # the same set has been posted; its class has both
+                        continue
+                    if len(seen) < 500_000:
+                        seen.add(digest)
+                    e = elements(h, order)
+                    k = len(e) + (-t * len(e)) // 100 + 1
+                    held.append((e[:k].copy(), np.full(k, i, np.int64), np.full(k, len(e), np.int64), np.arange(k)))
+                    size += k
+                    if size > flush:
+                        yield from out()
+                        held, size = [], 0
         if held:
-            yield out()
+            yield from out()
 
     return run
 
 
-def _unpack(payload: list[bytes]) -> tuple[np.ndarray, ...]:
-    cols = [[], [], [], []]
-    for x in payload:
-        n = len(x) // 24
-        for c, kind, at in zip(cols, ("<u8", "<i8", "<u4", "<u4"), (0, 8 * n, 16 * n, 20 * n)):
-            c.append(np.frombuffer(x, kind, n, at).astype(np.uint64 if kind == "<u8" else np.int64))
-    return tuple(np.concatenate(c) for c in cols)
-
-
-def _may_link(n, p, m, q, t: int) -> np.ndarray:
-    """Whether sets of sizes n and m that share the elements at places p and q, as the first they share, may be similar."""
-    need = required(n, m, t)
-    short = np.minimum(n, m)
-    return (100 * short >= t * np.maximum(n, m)) & (1 + np.minimum(n - p, m - q) - 1 >= need)
-
-
 def _first_pairs(t: int):
     """Pairs of a group's documents with its hub, and the groups of three or more."""
 
     def run(group: pa.Table) -> pa.Table:
-        e, d, n, p = _unpack(group.column("postings").to_pylist())
-        by = np.lexsort((_mixed(d.astype(np.uint64)), p, e))  # few rarer elements: least edited, so near most copies
-        e, d, n, p = e[by], d[by], n[by], p[by]
-        new = np.r_[True, e[1:] != e[:-1]]
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, len(e)])
-        group_of = np.repeat(np.arange(len(start)), size)
-        hub = start[group_of]
-        at = np.flatnonzero(~new)
-        h = hub[at]
-        ok = _may_link(n[at], p[at], n[h], p[h], t) & (d[at] != d[h])
-        pairs = np.unique(np.stack([d[h][ok], d[at][ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
-        big = np.flatnonzero(size[group_of] > 2)
-        a = np.r_[pairs[:, 0], d[big]]
-        b = np.r_[pairs[:, 1], n[big]]
+        kind = group.column("kind").to_numpy()
+        payload = group.column("payload").to_pylist()
+        of = lambda k: [payload[i] for i in np.flatnonzero(kind == k).tolist()]
+        steps, d, n, p = ([], [], [], [])
+        for x in of(0):
+            for to, c in zip((steps, d, n, p), _unpack([x], _POSTED)):
+                to.append(np.cumsum(c, dtype=np.uint64) if to is steps else c.astype(np.int64))
+        e, d, n, p = (np.concatenate([np.zeros(0, np.uint64 if c is steps else np.int64), *c]) for c in (steps, d, n, p))
+        p, more = p >> 1, p & 1
+        by, start, size = _ranks(e, d, p)
+        e, d, n, p, more = e[by], d[by], n[by], p[by], more[by]
+        pairs = _star(d, n, p, start, size, t)
+        all_ = np.add.reduceat(more, start) if len(start) else start
+        big = (np.repeat(size, size) > 2) | (np.repeat(all_, size) > 0)
+        own = np.flatnonzero(big & (more == 0))
+        gd, gn, ge, gp = _unpack(of(2), _GROUPED)
+        pairs = np.unique(np.concatenate([pairs, np.stack(_unpack(of(1), _PAIRS), 1)]), axis=0)
+        a, b = np.concatenate([pairs[:, 0], d[own], gd]), np.concatenate([pairs[:, 1], n[own], gn.astype(np.int64)])
         zero = np.zeros(len(pairs), np.int64)
-        key = np.r_[zero, e[big].view(np.int64)]
-        return pa.table([pa.array(np.r_[zero, zero[:0], np.ones(len(big), np.int64)].astype(np.int32)), pa.array(a), pa.array(b), pa.array(key), pa.array(np.r_[zero, p[big]].astype(np.int32))], names=["kind", "a", "b", "element", "place"])
+        element = np.concatenate([zero, e[own].view(np.int64), ge.view(np.int64)])
+        place = np.concatenate([zero, p[own], gp.astype(np.int64)])
+        return pa.table([pa.array((np.arange(len(a)) >= len(pairs)).astype(np.int32)), pa.array(a), pa.array(b), pa.array(element), pa.array(place.astype(np.int32))], names=["kind", "a", "b", "element", "place"])
 
     return run
 
 
 def _next_pairs(t: int):
-    """Of one element's part, pairs that may link and lie in different components, nearest ranks first."""
+    """Of the cells of one part, pairs that may link, lie in different components and in the blocks of the cell."""
 
     def run(group: pa.Table) -> pa.Table:
-        e, d, n, p, c = (group.column(x).to_numpy() for x in ("element", "a", "b", "place", "component"))
-        by = np.lexsort((_mixed(d.astype(np.uint64)), e))
-        e, d, n, p, c = e[by], d[by], n[by], p[by], c[by]
+        e, lo, hi, block, d, n, p, c = (group.column(x).to_numpy() for x in ("element", "lo", "hi", "block", "a", "b", "place", "component"))
+        by = np.lexsort((_mixed(d.astype(np.uint64)), n, hi, lo, e))
+        e, lo, hi, block, d, n, p, c = (x[by] for x in (e, lo, hi, block, d, n, p, c))
+        cell = np.cumsum(np.r_[False, (e[1:] != e[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         found = [np.zeros((0, 2), np.int64)]
         at, k = np.arange(len(e) - 1), 1
         while len(at):
             at = at[at + k < len(e)]
-            at = at[e[at] == e[at + k]]
+            at = at[(cell[at] == cell[at + k]) & (100 * n[at] >= t * n[at + k])]  # sizes rise, so that none farther on fits either
             j = at + k
-            ok = at[(c[at] != c[j]) & _may_link(n[at], p[at], n[j], p[j], t)]
+            ok = at[(c[at] != c[j]) & ((lo[at] == hi[at]) | (block[at] != block[j])) & _may_link(n[at], p[at], n[j], p[j], t)]
             found.append(np.stack([np.minimum(d[ok], d[ok + k]), np.maximum(d[ok], d[ok + k])], 1))
             k += 1
             if k % 64 == 0:
@@ -296,105 +412,143 @@ class PrefixTree:
         return found
 
 
-def _verify(t: int):
-    """Rows of a hub that follow each other are one tree, which the hub's set probes."""
+def _verify(n: int, t: int, classes, most: int = 32 << 20):
+    """Rows that follow each other by hub, its own text first: the partners' sets make trees, which the hub's set walks."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, order, unzip = Shingles(n), classes.value, zstandard.ZstdDecompressor()
+        key, probes, ids, sets, size = None, [], [], [], 0
+
+        def walked() -> list[tuple[int, int]]:
+            tree = PrefixTree(sets) if sets else None
+            return list({(key[0], ids[k]) for p in probes for k in tree.similar(p, t)}) if tree else []
+
         for whole in batches:
-            out_a, out_b = [], []
             for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                a, b, sa, sb = (batch.column(i).to_pylist() for i in range(4))
-                at = 0
-                while at < len(a):
-                    end = at
-                    while end < len(a) and a[end] == a[at]:
-                        end += 1
-                    tree = PrefixTree([np.frombuffer(x, "<u8") for x in sb[at:end]])
-                    for k in tree.similar(np.frombuffer(sa[at], "<u8"), t):
-                        out_a.append(a[at])
-                        out_b.append(b[at + k])
-                    at = end
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                b = whole.slice(lo, 512)
+                texts = [unzip.decompress(x).decode("utf-8", "replace") for x in b.column(4).to_pylist()]
+                found: list[tuple[int, int]] = []
+                for hub, salt, role, id_, h in zip(*(b.column(k).to_pylist() for k in range(4)), own.of(pa.array(texts, pa.string()))):
+                    if (hub, salt) != key:
+                        found += walked()
+                        key, probes, ids, sets, size = (hub, salt), [], [], [], 0
+                    s = elements(h, order)
+                    if not role:
+                        probes.append(s)
+                        continue
+                    if len(sets) == TREE or size > most:
+                        found += walked()
+                        ids, sets, size = [], [], 0
+                    ids.append(id_)
+                    sets.append(s)
+                    size += s.nbytes
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if found := walked():
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _ordered_sets(n: int, classes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, order, sent = Shingles(n), classes.value, set()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
-                rows = {}  # rows that repeat an identifier are sent once
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if i not in sent:
-                        rows[i] = elements(own.of(t), order).astype("<u8").tobytes()
-                if len(sent) < 500_000:
-                    sent.update(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], names=["id", "elements"])
+@trimmed
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed; of rows that repeat identifier and text a task sends one."""
+    z, sent = zstandard.ZstdCompressor(level=1), set()
+    for whole in batches:
+        for b in slices(whole):
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                mark = (i, hash(raw))
+                if mark not in sent:
+                    rows.append((i, z.compress(raw)))
+                    if len(sent) < 500_000:
+                        sent.add(mark)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "text"])
 
-    return run
+
+def _linked(plain: DataFrame, pairs: DataFrame, n: int, t: int, classes, name: str) -> DataFrame:
+    """The pairs (a, b) that are similar. Each text goes once to its identifier's routes, and from there to each hub it is compared with.
+
+    Texts are many whatever the size of the input, so the join is declared as one that shuffles both sides.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).cast("int").alias("trees"))
+    sizes = written(sizes, "hubs")
+    crowded = sizes.where("trees > 1")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("trees", F.lit(1))).cast("int")
+    to_hub = pairs.join(crowded, "a", "left").select(F.col("b").alias("id"), F.col("a").alias("hub"), salt.alias("salt"), F.lit(1).alias("role"))
+    hubs = sizes.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("salt"), F.lit(0).alias("role"))
+    routes = written(to_hub.unionByName(hubs), "routes")
+    texts = maybe_in(plain, "id", routes.select("id").distinct(), "id").mapInArrow(_zipped, "id long, text binary")
+    sent = texts.join(routes.hint("merge"), "id").select("hub", "salt", "role", "id", "text")
+    rows = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id")
+    out = written(rows.mapInArrow(_verify(n, t, classes), "a long, b long").distinct(), name)
+    dropped(sizes, routes)
+    return out
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, labels): id, n_shingles, class for each row; pairs (a, b) of similar documents; id, component.
+    """(members, links, entries): id, n_shingles, entry for each row; pairs (a, b) of similar documents; entry, class, component.
 
-    links are those that were needed to find the components; every other similar pair lies within one component. Documents
-    without links have no label.
+    links are those that were needed to find the components; every other similar pair lies within one component. A class is the
+    smallest identifier of equal sets; rows with an empty set have no entry.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sets = written(plain.mapInArrow(_sets(n), "id long, n long, digest binary, counts binary"), "sets")
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    plain = every.where("id is not null")
+    sets = written(every.mapInArrow(_sets(n), _SETS), "sets")
     classes = spark.sparkContext.broadcast(order_classes(sets.where("counts is not null").select("counts")))
-    rows = sets.where("counts is null").select("id", "n", "digest")
-    reps = written(rows.groupBy("digest").agg(F.min("id").alias("class")), "classes")
-    members = written(rows.join(reps, "digest").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class")).alias("class")), "members")
+    members = sets.where("counts is null").select("id", F.col("n").alias("n_shingles"), "entry")
+    entries = sets.where("entry is not null").groupBy("entry").agg(F.min("id").alias("id"), F.max("d1").alias("d1"), F.max("d2").alias("d2"))
+    entries = written(entries, "entries")
+    reps = entries.groupBy("d1", "d2").agg(F.min("id").alias("class"))
+    of_entry = written(entries.join(reps, ["d1", "d2"]).select("entry", "class"), "classes")
 
     parts = 2 * partitions(spark)
-    near = maybe_in(plain, "id", reps, "class")
-    postings = near.mapInArrow(_postings(n, t, parts, classes), "part int, postings binary")
-    kinds = "kind int, a long, b long, element long, place int"
-    first = written(postings.groupBy("part").applyInArrow(_first_pairs(t), kinds), "groups")
-
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        own = written(maybe_in(plain, "id", ids, "id").mapInArrow(_ordered_sets(n, classes), "id long, elements binary"), "ordered-sets")
-        b = pairs.join(maybe_in(own, "id", pairs, "b").select(F.col("id").alias("b"), F.col("elements").alias("sb")), "b")
-        both = b.join(maybe_in(own, "id", pairs, "a").select(F.col("id").alias("a"), F.col("elements").alias("sa")), "a")
-        return written(both.select("a", "b", "sa", "sb").mapInArrow(_verify(t), "a long, b long"), name)
+    near = maybe_in(plain, "id", of_entry.select("class").distinct(), "class")
+    postings = near.mapInArrow(_postings(n, t, parts, classes), "part int, kind int, payload binary")
+    first = written(postings.groupBy("part").applyInArrow(_first_pairs(t), "kind int, a long, b long, element long, place int"), "groups")
 
     pairs = written(first.where("kind = 0").select("a", "b").distinct(), "pairs")
-    posted = members.select(F.col("id").alias("a"), F.col("class").alias("b")).where("a <> b")  # copies that tasks posted each
-    links = compared(pairs, "links").unionByName(posted)
+    posted = members.join(of_entry, "entry").where("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b"))  # copies that tasks posted each, texts of one identifier
+    links = _linked(plain, pairs, n, t, classes, "links").unionByName(posted)
     labels = written(components(links), "labels")
     groups = first.where("kind = 1").select("element", "a", "b", "place")
     split = groups.join(labels.select(F.col("id").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     split = written(split, "split")
-    mixed = split.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("element")
-    open_ = split.join(written(mixed, "mixed"), "element")
-    more = open_.groupBy(F.pmod(F.xxhash64("element"), F.lit(parts)).alias("part")).applyInArrow(_next_pairs(t), "a long, b long")
+    mixed = split.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("element", "blocks")
+    open_ = split.join(written(mixed, "mixed"), "element").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("element", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "b", F.col("place").cast("long").alias("place"), "component")
+    more = cells.groupBy(F.pmod(F.xxhash64("element", "lo", "hi"), F.lit(parts)).alias("part")).applyInArrow(_next_pairs(t), "a long, b long")
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(more.distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+    dropped(first, split)
     if not rest.isEmpty():
-        late = compared(rest, "links")
+        late = _linked(plain, rest, n, t, classes, "links")
         if not late.isEmpty():
             links = links.unionByName(late)
             labels = written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late)), "labels")
-    return members, links, labels
+    found = of_entry.join(labels, of_entry["class"] == labels["id"], "left").select("entry", "class", F.coalesce("component", "class").alias("component"))
+    return members, links, found
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id: one row for each row of docs with an identifier."""
+    """id_col, n_shingles, component_id: one row for each row of docs."""
     members, _, found = jaccard_join(docs, n, t, id_col, text_col)
-    out = members.join(found, members["class"] == found["id"], "left").select(members["id"].alias(id_col), "n_shingles", F.coalesce("component", "class").alias("component_id"))
-    return out
+    own = F.when(members["id"].isNotNull(), F.coalesce("component", "id"))
+    return members.join(found, "entry", "left").select(members["id"].alias(id_col), "n_shingles", own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that are in the component of a smaller identifier; rows without identifier stay."""
-    gone = near_duplicates(docs, n, t, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone"))
-    return docs.join(written(gone, "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs without those that are in the component of a smaller identifier; rows without identifier stay.
+
+    Rows whose identifier is surely not among those pass where they are; only the others are joined.
+    """
+    gone = written(near_duplicates(docs, n, t, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")), "gone")
+    sure, rest = split_by(docs, id_col, gone, "__gone")
+    rest = rest.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return rest if sure is None else sure.unionByName(rest)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batch: pa.RecordBatch, col: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, col: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most about so many bytes of text each; a longer text is a part of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cut = np.flatnonzero(np.diff(np.cumsum(size + 1) // most, prepend=0)).tolist()
@@ -66,7 +66,7 @@ class ChunkEncoder:
     nothing by NUL and its text. Beyond `size` known chunks, those that the batch in hand doesn't have are forgotten.
     """
 
-    def __init__(self, whole: Callable[[list[str]], Iterable], parts: Callable[[list[str]], Iterable[list[int]]], spaced: bool, size: int = 1_200_000):
+    def __init__(self, whole: Callable[[list[str]], Iterable], parts: Callable[[list[str]], Iterable[list[int]]], spaced: bool, size: int = 800_000):
         self.whole, self.parts, self.spaced, self.size = whole, parts, spaced, size
         self.known = pa.array([], pa.string())
         self.ids, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -86,19 +86,23 @@ class ChunkEncoder:
         missing = np.flatnonzero(at < 0)
         if not len(missing):
             return at
-        new = names.take(pa.array(missing))
+        new, ids, counts = names.take(pa.array(missing)), [], []
         if len(self.known) + len(new) > self.size:
             met = np.flatnonzero(at >= 0)
-            ids, count = self.ids[ragged(self.start[at[met]], self.count[at[met]])], self.count[at[met]]
+            kept, count = self.ids[ragged(self.start[at[met]], self.count[at[met]])], self.count[at[met]]
             self.known, self.ids, self.start, self.count = self.known[:0], self.ids[:0], self.start[:0], self.count[:0]
-            self._add(names.take(pa.array(met)), ids, count)
+            self._add(names.take(pa.array(met)), kept, count)
             at = at.copy()
             at[met] = np.arange(len(met))
-        got = list(self.parts([self._text(x) for x in new.to_pylist()]))
         at = at.copy()
         at[missing] = len(self.known) + np.arange(len(missing))
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        self._add(new, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(count.sum())), count)
+        for lo in range(0, len(new), 30_000):  # lists of ids are large, so few at a time
+            some = new.slice(lo, 30_000)
+            got = list(self.parts([self._text(x) for x in some.to_pylist()]))
+            count = np.fromiter(map(len, got), np.int64, len(got))
+            ids.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(count.sum())))
+            counts.append(count)
+        self._add(new, np.concatenate(ids), np.concatenate(counts))
         return at
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:

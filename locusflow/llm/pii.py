@@ -6,7 +6,11 @@ is permuted by a Feistel network walked until it is within that count, and writt
 digits made anew. The permutation depends on the key and the kind of value alone, so equal values stay linked across
 documents. Text outside valid values stays as it is.
 
-Null texts stay null. Rows that repeat and other columns come back as they are; pseudonymise() replaces the text column.
+Mail addresses keep their domain in clear. Values of more than PIECE letters and digits (secrets, names of mail boxes) are permuted piece by
+piece, so that a value's length bounds neither the mask nor the time. Whoever has the key can go back; so there is no default one.
+
+Null texts stay null, empty and very long ones are texts like any other. Rows that repeat and other columns come back as they are;
+pseudonymise() replaces the text column. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import documents
+from .common import documents, trimmed
 
-#: Key where spark.locusflow.pii.key is unset; set a secret one in production.
-DEFAULT_KEY = "locusflow"
+#: Key for the synthetic tables alone, on which nothing is secret.
+SAMPLE_KEY = "synthetic tables"
+PIECE = 64
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
 
 _PATTERN = re.compile(
@@ -55,6 +60,8 @@ class Permutation:
             return value
         half = max(1, ((n - 1).bit_length() + 1) // 2)
         mask, width = (1 << half) - 1, (half + 7) // 8
+        if width > 64:
+            raise ValueError("permute a value of so many places in pieces")
         while True:
             a, b = value >> half, value & mask
             for r in range(self.rounds):
@@ -100,6 +107,8 @@ class Pseudonyms:
 
     def _classes(self, text: str, kind: str) -> str:
         """ASCII letters and digits permuted within their classes."""
+        if len(text) > PIECE:
+            return "".join(self._classes(text[k : k + PIECE], f"{kind}{k}.") for k in range(0, len(text), PIECE))
         sets = ["0123456789", "abcdef" if re.fullmatch(r"[0-9a-f]+", text) else "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
         of = [next((s for s in sets if c in s), "") for c in text]
         value, n = 0, 1
@@ -191,7 +200,7 @@ class Pseudonyms:
                 value = own
             new = self.known.get((kind, value), "")
             if new == "":
-                if len(self.known) > 200_000:
+                if len(self.known) > 50_000:
                     self.known.clear()
                 new = self.known[kind, value] = self.make(kind, value)
             if new is not None:
@@ -212,6 +221,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", spans_col: s
         raise ValueError(f"there is a column {spans_col} already")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _BY_KEY.setdefault(key, Pseudonyms(key))
         for batch in batches:
@@ -229,10 +239,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", spans_col: s
     return docs.mapInArrow(run, schema)
 
 
-def key_of(spark: SparkSession) -> str:
-    return spark.conf.get("spark.locusflow.pii.key", None) or DEFAULT_KEY
+def key_of(spark: SparkSession, otherwise: str | None = None) -> str:
+    """spark.locusflow.pii.key; without it, pseudonyms are not made unless the caller names a key."""
+    key = spark.conf.get("spark.locusflow.pii.key", None) or otherwise
+    if not key:
+        raise ValueError("set spark.locusflow.pii.key to a secret")
+    return key
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pseudonymise(docs, key_of(spark), spans_col="spans").select("doc_id", "text", F.size("spans").alias("n_found"), F.array_sort(F.array_distinct(F.col("spans.kind"))).alias("kinds"))
+    return pseudonymise(docs, key_of(spark, SAMPLE_KEY), spans_col="spans").select("doc_id", "text", F.size("spans").alias("n_found"), F.array_sort(F.array_distinct(F.col("spans.kind"))).alias("kinds"))

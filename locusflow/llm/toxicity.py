@@ -4,9 +4,11 @@ Features of a text are its distinct words, pairs of neighbours and pairs with on
 2**BITS places. Each place has its own learning rate; the L1 term leaves most weights at zero, so that the model is a short
 list of (place, weight), broadcast as a sparse table of at most 2**BITS rows.
 
-The model is fitted on at most TRAIN_ROWS labelled rows, those with the smallest hash of their identifier; everything
-else reads every row. Null labels are left out; where no row is labelled, every score is the neutral prior. Null and empty
-texts score by the intercept alone. Rows that repeat score alike; other columns are not read.
+The model is fitted on at most TRAIN_ROWS labelled documents, those with the smallest hash of their identifier; everything
+else reads every row. One task fits; it holds four bytes for each different feature of those documents, of which a very long text has
+2**BITS at most. Null labels are left out; an identifier with several labels has the largest, one with several texts the least.
+Where no row is labelled, every score is the neutral prior; where all labels are equal, every score leans to that label. Null and empty
+texts score by the intercept alone. Rows that repeat score alike; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,9 +88,9 @@ def in_fold(id_col: Column, folds: int, fold: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
     """place, weight; the intercept at place -1. labels must hold training rows only."""
-    named = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(rows)  # at most rows rows: their broadcast is bounded
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Hashed()

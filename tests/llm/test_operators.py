@@ -22,10 +22,11 @@ from locusflow.llm.exact_dedup import exact_dedup, kept_documents
 from locusflow.llm.jaccard_join import PrefixTree
 from locusflow.llm.language_model import END, WORDS, LogBilinear, Symbols, _learned, score_texts, tail_class
 from locusflow.llm.packing import plan
-from locusflow.llm.pii import _PATTERN, Permutation, Pseudonyms, pseudonymise
-from locusflow.llm.quality import quality_filter
+from locusflow.llm.pii import _PATTERN, Permutation, Pseudonyms, key_of, pseudonymise
+from locusflow.llm.quality import conditions, ordered, quality_filter
 from locusflow.llm.suffix_dedup import bucket_refine
 from locusflow.llm.token_files import Grammar, Shard, _apart, base_of, read_shards, shard, write_shards
+from locusflow.llm.toxicity import fit, score, train
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -403,6 +404,107 @@ def test_account_numbers_in_groups():
     assert [s[0] for s in spans] == ["card"] and new.startswith("XX12 NOT AN ACCOUNT ")
 
 
+def test_values_of_any_length():
+    r, p = random.Random(4), Pseudonyms("k")
+    for n in (8, 63, 64, 65, 128, 129, 220, 300, 1000, 10_000):
+        value = "".join(r.choice("abcXYZ0189") for _ in range(n))
+        for text in (f"secret={value}", f"{value}@c.org"):
+            new, spans = p.text(text)
+            assert len(spans) == 1 and new != text and len(new) == len(text)
+            assert [(c.isdigit(), c.isupper(), c.islower()) for c in new] == [(c.isdigit(), c.isupper(), c.islower()) for c in text]
+    assert len({p.make("secret", f"a{k:090d}") for k in range(500)}) == 500
+
+
+def test_no_key_no_pseudonyms(spark):
+    with pytest.raises(ValueError):
+        key_of(spark)
+    assert key_of(spark, "own") == "own"
+
+
+def test_pii_of_a_table(spark, tmp_path):
+    """What is planted is found, nothing else; equal values have equal pseudonyms over all documents, different ones different ones."""
+    r = random.Random(8)
+
+    def card():
+        body = "4" + "".join(r.choice("0123456789") for _ in range(14))
+        return next(body + str(d) for d in range(10) if sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(body + str(d))) % 10 == 0)
+
+    values = [("card", card()) for _ in range(6)] + [("ip", f"10.{k}.7.9") for k in range(6)] + [("email", f"anna{k}@c.org") for k in range(6)] + [("ymd", f"19{70 + k}-0{k + 1}-11") for k in range(6)]
+    plain = ["order 1234 of 99", "31.02.2001", "4111-1111-1111-1112", "300.1.1.1", "a@b", "no secret here"]
+    docs, planted = [], {}
+    for i in range(200):
+        own = [r.choice(values) for _ in range(r.randint(0, 4))]
+        docs.append((i, " , ".join([r.choice(plain)] + [f"{v} , {r.choice(plain)}" for _, v in own])))
+        planted[i] = own
+    docs += [(200, None), (201, ""), (202, "x" * 200_000), (202, "x" * 200_000)]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumns({"spans": F.lit(1), "kinds": F.lit(2)}).write.parquet(str(tmp_path / "documents.parquet"))
+    got, old, to = registry.QUERIES["op4_pii"](spark, str(tmp_path)).collect(), dict(docs), {}
+    assert len(got) == len(docs)
+    for x in got:
+        own = planted.get(x.doc_id, [])
+        assert x.n_found == len(own) if x.text is not None else x.n_found in (0, -1)
+        if x.text is None:
+            continue
+        assert x.kinds == sorted({k for k, _ in own})
+        left, right = old[x.doc_id].split(" , "), x.text.split(" , ")
+        assert [a for a, b in zip(left, right) if a == b] == [a for a in left if a not in {v for _, v in own}]
+        for a, b in zip(left, right):
+            if a != b:
+                assert to.setdefault(a, b) == b and (len(a) == len(b) or a.startswith("10."))
+    assert len(set(to.values())) == len(to) == len({v for own in planted.values() for _, v in own})
+
+
+def test_quality_order(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    made = conditions() | {"never": F.lit(False), "always": F.col("text").isNull() | F.col("text").isNotNull()}
+    got = ordered(d, made, 1000, 1)
+    share = {name: x for name, x, _ in got}
+    assert share["always"] == 1 and share["never"] == got[-1][1] == 0 and sorted(share) == sorted(made) and all(x[2] > 0 for x in got)
+    assert [a / b for _, a, b in got] == sorted((a / b for _, a, b in got), reverse=True)
+
+
+def plain_ftrl(rows, labels, bits, alpha, beta, l1, l2, epochs):
+    z, n = defaultdict(float), defaultdict(float)
+    z0 = n0 = 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for at, y in zip(rows, labels):
+            w, w0 = {i: weight(i) for i in at}, -z0 / ((beta + math.sqrt(n0)) / alpha)
+            g = 1 / (1 + math.exp(-(w0 + sum(w.values())))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+            z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / alpha * w0
+            n0 += g * g
+    return -z0 / ((beta + math.sqrt(n0)) / alpha), {i: weight(i) for i in list(z) if weight(i)}
+
+
+def test_ftrl_is_the_published_one():
+    r = np.random.default_rng(2)
+    rows = [np.unique(r.integers(0, 64, 12)) for _ in range(80)]
+    labels = [int(5 in x or 9 in x) for x in rows]
+    w0, at, w = fit(rows, labels, bits=6, l1=0.5)
+    want0, want = plain_ftrl([x.tolist() for x in rows], labels, 6, 1.0, 1.0, 0.5, 1.0, 6)
+    assert w0 == pytest.approx(want0) and dict(zip(at.tolist(), w.tolist())) == pytest.approx(want)
+
+
+def test_toxicity_without_two_classes(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (2, "d"), (3, "")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    for labels, ok in (([], lambda x: x == 0.5), ([(1, 0), (2, 0), (3, 0)], lambda x: x < 0.5), ([(1, 1), (2, 1), (2, 1), (2, 0), (3, 1), (None, 0)], lambda x: x > 0.5)):
+        model = train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic")
+        got = score(docs, model).collect()
+        assert len(got) == 4 and all(ok(r.score) for r in got)
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.QUERIES["op10_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic is not null").select("score", "toxic").toPandas()
+    rank = got["score"].rank()
+    pos = got["toxic"] == 1
+    area = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert area > 0.9
+
+
 def test_quality_keeps_columns(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_words", F.lit("x"))
     assert quality_filter(d).columns == d.columns

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from locusflow.llm.chunks import tokenizer, vocabulary
-from locusflow.llm.pii import DEFAULT_KEY, Pseudonyms
+from locusflow.llm.pii import SAMPLE_KEY, Pseudonyms
 from tests.llm.test_operators import WS, make_rows, words
 
 
@@ -49,7 +49,7 @@ def test_pipeline(spark, sf):
                     up[a] = up[b] = min(up[a], up[b])
         if all(up[up[i]] == up[i] for i in up):
             break
-    p, t = Pseudonyms(DEFAULT_KEY), tokenizer(vocabulary("word_bpe_49k.json"))
+    p, t = Pseudonyms(SAMPLE_KEY), tokenizer(vocabulary("word_bpe_49k.json"))
     want = set()
     for i in left:
         if up[i] == i:
@@ -57,3 +57,24 @@ def test_pipeline(spark, sf):
             want |= {(i, k, zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))}
     got = corpus_pipeline.run(spark, at).collect()
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    filled = {}
+    for r in got:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_hard_rows(spark, tmp_path):
+    prose = " ".join(f"word{k * 7919 % 997}x" for k in range(120))
+    rows = [(None, prose), (None, None), (1, prose), (1, prose), (2, prose + " "), (3, ""), (4, prose + " more words here")]
+    spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [1]  # rows without identifier sort last

@@ -58,6 +58,18 @@ def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat((start - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, place of each word of the texts among them, where each text's words end, 0 first).
+
+    A-Z are lower-cased; words are runs without ASCII white space.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    named = words.values.dictionary_encode()
+    codes = named.indices.to_numpy()
+    keep = (pc.binary_length(named.dictionary).to_numpy(zero_copy_only=False) > 0)[codes]  # white space at the ends leaves empty words
+    return named.dictionary, codes[keep], np.concatenate([[0], np.cumsum(keep)])[words.offsets.to_numpy()]
+
+
 class ChunkEncoder:
     """encode(texts) gives the ids of each text as little-endian uint32 bytes, as whole() would.
 

@@ -29,13 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import slices
+from .chunks import slices, split_words
 from .common import documents, dropped, maybe_in, partitions, split_by, trimmed, written
 from .components import components
 
@@ -88,14 +87,8 @@ class Shingles:
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         """The distinct n-grams of each text, sorted."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
-        named = words.values.dictionary_encode()
-        codes = named.indices.to_numpy()
-        real = pc.binary_length(named.dictionary).to_numpy(zero_copy_only=False) > 0  # white space at the ends leaves empty words
-        ends = words.offsets.to_numpy()
-        keep = real[codes]
-        before = np.concatenate([[0], np.cumsum(keep)])
-        ends, h = before[ends], self.hashes.of(named.dictionary)[codes[keep]]
+        named, codes, ends = split_words(texts)
+        h = self.hashes.of(named)[codes]
         n, out = self.n, []
         m = max(0, len(h) - n + 1)
         total = np.zeros(m, np.uint64)

@@ -1,89 +1,107 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, and a word-count baseline.
 
-The model's symbols are the words seen at least OFTEN times in the training texts (at least the HEAD most frequent ones),
-so that they follow the corpus, TAIL classes of all other words (by their last two bytes) and the end of a text. In the
+The model's symbols are frequent words, TAIL classes of all other words (by their last two bytes) and the end of a text. Frequent
+are words seen at least OFTEN times in the training texts, but no more of them than SPREAD times the root of the number of different words, so that
+their number follows the corpus while the cost of normalising, the square of it, follows the corpus too. In the
 model the vector of the symbol before, through a matrix, predicts the vector of the next: log p is their product and a
-bias, up to a constant. Noise-contrastive estimation learns from every pair of neighbouring symbols of every training
-text, ROUNDS times; a small corpus is gone through more often, until LEAST_PAIRS are seen. Each task learns from its own
-texts, and after each round the tasks' moves are averaged, so that the cost follows the corpus and no task sees it all.
-Matrix products over all symbols, shared out by row, then normalise; their cost is the square of the modelled words. A
+bias, up to a constant. There is one symbol of context, since the constant of each context is made exactly. Noise-contrastive estimation learns from every pair of
+neighbouring symbols of every training text once, half of the texts in each of ROUNDS rounds; a small corpus is gone through more often, until LEAST_PAIRS
+are seen. Each task learns from its own texts, and after each round the tasks' moves are averaged, so that the cost follows the corpus
+and no task sees it all. Matrix products over all symbols, shared out by row, then normalise. A
 word of a tail class has the class's probability times its smoothed share of the class.
 
-Word counts are a distributed table. The modelled words, and at least the KNOWN most frequent ones, go to every task, with
-200 bytes of vectors each; a text's other words are joined with the table, and since they are rare no key of that join
-is hot.
+Word counts are a distributed table. The modelled words and others, KNOWN at most, go to every task; a text's other words are joined
+with the table, and since they are rare no key of that join is hot.
 
-Null and empty texts are the end token alone. Texts without identifier are scored and not learned from. Rows that repeat
-are scored alike and learned from as often as they occur. Only identifier and text are read. Without training texts,
-counts are zero and the model is flat.
+Null and empty texts are the end token alone; a very long text is learned from and scored whole. Texts without identifier are scored and not learned from. Rows that repeat
+are scored alike and learned from as often as they occur. Only identifier and text are read, so that other columns may be named as they like. Without training texts,
+counts are zero and the model is flat. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, written
+from .chunks import slices, split_words
+from .common import documents, dropped, partitions, trimmed, written
 from .toxicity import in_fold
 
-HEAD, OFTEN, TAIL, KNOWN = 1500, 50, 500, 100_000
+HEAD, OFTEN, SPREAD, TAIL, KNOWN = 1500, 50, 10, 500, 400_000
 ROUNDS, LEAST_PAIRS = 2, 600 * 4096
 END = TAIL
 WORDS = TAIL + 1
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
 def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
+def modelled(often: int, distinct: int) -> int:
+    """How many words are modelled, of as many that come often and so many different ones."""
+    return max(HEAD, min(often, SPREAD * math.isqrt(distinct)))
+
+
+@trimmed
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their counts, added up within the task while they fit; the end token is the null word."""
-    total, ends = Counter(), 0
+    held, size, ends = [], 0, 0
+    kind = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
     def out():
-        yield pa.RecordBatch.from_arrays([pa.array([*total.keys(), None], pa.binary()), pa.array([*total.values(), ends], pa.int64())], names=["word", "c"])
-
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            total.update(tokens(t))
-            ends += 1
-        if len(total) > 700_000:
-            yield from out()
-            total.clear()
-            ends = 0
+        held.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([ends], pa.int64())], schema=kind))
+        total = pa.Table.from_batches(held, kind).group_by("word").aggregate([("c", "sum")])
+        yield from pa.table([total.column("word"), total.column("c_sum")], schema=kind).to_batches(100_000)
+
+    for whole in batches:
+        for b in slices(whole, 0):
+            named, codes, _ = split_words(b.column(0))
+            n = np.bincount(codes, minlength=len(named))
+            met = np.flatnonzero(n)
+            held.append(pa.RecordBatch.from_arrays([named.take(pa.array(met)).cast(pa.binary()), pa.array(n[met])], schema=kind))
+            size, ends = size + len(met), ends + b.num_rows
+            if size > 1_500_000:
+                yield from out()
+                held, size, ends = [], 0, 0
     yield from out()
 
 
 class Symbols:
-    """Symbols of words; those seen are kept."""
-
-    def __init__(self, head: list[bytes]):
-        self.head, self.seen = {w: i for i, w in enumerate(head, WORDS)}, {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.seen.__getitem__, words), np.int32, len(words))
-        except KeyError:
-            if len(self.seen) > 600_000:
-                self.seen.clear()
-            for w in set(words).difference(self.seen):
-                k = self.head.get(w)
-                self.seen[w] = tail_class(w) if k is None else k
-            return np.fromiter(map(self.seen.__getitem__, words), np.int32, len(words))
+    """Symbols of words given once each."""
+
+    def __init__(self, head: pa.Array):
+        self.head = head
+        two = np.array([zlib.crc32(bytes([a, b])) % TAIL for a in range(256) for b in range(256)], np.int32)
+        self.classes = two, np.array([zlib.crc32(bytes([a])) % TAIL for a in range(256)], np.int32)
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        words = words.cast(pa.binary())
+        ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+        raw = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), np.uint8(0)).astype(np.int32)
+        last, n = raw[np.maximum(ends[1:] - 1, 0)], np.diff(ends)
+        tail = np.where(n > 1, self.classes[0][raw[np.maximum(ends[1:] - 2, 0)] * 256 + last], np.where(n > 0, self.classes[1][last], zlib.crc32(b"") % TAIL))
+        at = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False)
+        return np.where(at >= 0, WORDS + at, tail).astype(np.int32)
+
+
+def chained(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after): the pairs of each text's symbols with an end at both sides, one text after the other."""
+    n = len(ends) - 1
+    at = np.arange(len(symbols)) + np.repeat(np.arange(n), np.diff(ends))
+    before, after = np.full(len(symbols) + n, END, np.int32), np.full(len(symbols) + n, END, np.int32)
+    after[at] = symbols
+    before[at + 1] = symbols  # a text's last symbol comes before its end
+    before[ends[:-1] + np.arange(n)] = END
+    return before, after
 
 
 class LogBilinear:
@@ -157,55 +175,50 @@ _PART = "block long, pairs long, at binary, seen binary, R binary, Q binary, b b
 def _learned(shared):
     """How far a task moves the model by its texts: the rows of R, Q and b that it changes, in blocks of symbols; C as block -1."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, unigram, arrays, turn, passes = shared.value
-        own, model, held, size, pairs = Symbols(head), LogBilinear(unigram, arrays), [], 0, 0
+        own, model, pairs = Symbols(head), LogBilinear(unigram, arrays), 0
         task = TaskContext.get()
         model.begin(1000 * (task.partitionId() if task else 0) + turn)
-
-        def learn():
-            s = np.concatenate([np.array([END], np.int32), *held])
-            for _ in range(passes):
-                model.fit(s[:-1], s[1:])
-            return len(s) - 1
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held += [own.of(tokens(t)), np.array([END], np.int32)]
-                size += len(held[-2]) + 1
-                if size > 1_000_000:
-                    pairs += learn()
-                    held, size = [], 0
-        if held:
-            pairs += learn()
+        for whole in batches:
+            for b in slices(whole, 0):
+                named, codes, ends = split_words(b.column(0))
+                before, after = chained(own.of(named)[codes], ends)
+                for _ in range(passes):
+                    model.fit(before, after)
+                pairs += len(before)
         if not pairs:
             return
         old = LogBilinear(unigram, arrays)
         moved = [x - y for x, y in zip(model.arrays(), old.arrays())]
         rows = [(-1, pairs, b"", b"", moved[1].tobytes(), b"", b"")]
+        half = lambda x: np.clip(x, -6e4, 6e4).astype(np.float16).tobytes()
         for k in range(0, len(unigram), BLOCK):
             at = k + np.flatnonzero((model.seen[k : k + BLOCK] > 0) | (moved[2][k : k + BLOCK] != 0).any(1))
             if len(at):
-                rows.append((k // BLOCK, pairs, (at - k).astype(np.int32).tobytes(), *(x[at].tobytes() for x in (model.seen, moved[0], moved[2], moved[3]))))
+                rows.append((k // BLOCK, pairs, (at - k).astype(np.int16).tobytes(), model.seen[at].astype("<u4").tobytes(), *(half(x[at]) for x in (moved[0], moved[2], moved[3]))))
         for lo in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64]), (pa.int64(), pa.int64(), *[pa.binary()] * 5))], names=["block", "pairs", "at", "seen", "R", "Q", "b"])
 
     return run
 
 
+@trimmed
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over tasks by block: moves of C, Q and b times a task's pairs; for R the mean, weighted by how often a symbol came before."""
     sums: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
             n, k = row["pairs"], row["block"]
-            R, Q, b = (np.frombuffer(row[x], np.float32).astype(np.float64) for x in ("R", "Q", "b"))
             if k < 0:
+                R = np.frombuffer(row["R"], np.float32).astype(np.float64)
                 own = sums.setdefault(k, [0, np.zeros((1, len(R))), np.zeros((0, 1)), np.zeros(0), np.ones(1)])
                 own[0] += n
                 own[1] += n * R
                 continue
-            at, seen = np.frombuffer(row["at"], np.int32), np.frombuffer(row["seen"], np.int64)
+            R, Q, b = (np.frombuffer(row[x], np.float16).astype(np.float64) for x in ("R", "Q", "b"))
+            at, seen = np.frombuffer(row["at"], np.int16), np.frombuffer(row["seen"], "<u4").astype(np.float64)
             width = len(R) // len(at)
             own = sums.setdefault(k, [0, np.zeros((BLOCK, width)), np.zeros((BLOCK, width)), np.zeros(BLOCK), np.zeros(BLOCK)])
             own[1][at] += R.reshape(-1, width) * seen[:, None]
@@ -217,13 +230,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=["block", "pairs", "R", "Q", "b"])
 
 
-def train_model(texts: DataFrame, head: list[bytes], unigram: np.ndarray, rounds: int = ROUNDS) -> tuple:
-    """R, C, Q, b; texts has one column. In each round every task learns from all pairs of its texts, starting with the mean of the last round."""
-    spark, model = texts.sparkSession, LogBilinear(unigram)
-    passes = max(1, math.ceil(LEAST_PAIRS / (rounds * max(1, unigram.sum()))))  # more than one on a small corpus
+def train_model(texts: DataFrame, head: pa.Array, unigram: np.ndarray, rounds: int = ROUNDS) -> tuple:
+    """R, C, Q, b; texts has one column. In each round every task learns from the pairs of its share of its texts, starting with the mean of the last round."""
+    spark, model, (col,) = texts.sparkSession, LogBilinear(unigram), texts.columns
+    passes = max(1, math.ceil(LEAST_PAIRS / max(1, unigram.sum())))  # more than one on a small corpus
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((head, unigram, model.arrays() if turn else None, turn, passes))
-        parts = texts.mapInArrow(_learned(shared), _PART).repartition(partitions(spark), "block").mapInArrow(_summed, "block long, pairs long, R binary, Q binary, b binary")
+        share = texts.where(F.pmod(F.xxhash64(col), F.lit(rounds)) == turn)
+        parts = share.mapInArrow(_learned(shared), _PART).repartition(partitions(spark), "block").mapInArrow(_summed, "block long, pairs long, R binary, Q binary, b binary")
         moves = written(parts, "language-model")
         pairs = moves.agg(F.sum("pairs")).first()[0]
         for row in moves.toLocalIterator():
@@ -237,6 +251,7 @@ def train_model(texts: DataFrame, head: list[bytes], unigram: np.ndarray, rounds
                 model.Q[lo : lo + n] += Q.reshape(BLOCK, -1)[:n] / pairs
                 model.b[lo : lo + n] += b[:n] / pairs
         shared.unpersist()
+        dropped(moves)
     return model.arrays()
 
 
@@ -256,47 +271,45 @@ def normalisers(spark: SparkSession, unigram: np.ndarray, arrays: tuple) -> np.n
     return np.concatenate([np.frombuffer(r["z"], np.float32) for r in sorted(rows, key=lambda r: r["k"])])
 
 
-_READY: dict[str, tuple] = {}
+_SCORED = "key long, id long, word binary, n long, known long, base double, score double"
 
 
 def _score(shared):
     """A row for each text with what its known words give, then a row for each other word of it."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_head, known, base, share, (q, Q, b_z), end_base, run_id = shared.value
-        if run_id not in _READY:  # once for each Python worker
-            _READY.clear()
-            _READY[run_id] = Symbols(known[:n_head]), {w: i for i, w in enumerate(known)}
-        own, place = _READY[run_id]
-
-        def log_p(s: np.ndarray) -> float:
-            total = 0.0
-            for lo in range(0, len(s) - 1, 65_536):
-                c, w = s[lo : lo + 65_536], s[lo + 1 : lo + 65_537]
-                c = c[: len(w)]
-                total += float(np.einsum("ij,ij->", q[c], Q[w], dtype=np.float64) + b_z[0][w].sum(dtype=np.float64) - b_z[1][c].sum(dtype=np.float64))
-            return total / math.log(10)
-
-        first = TaskContext.get().partitionId() << 36
-        names = ["key", "id", "word", "n", "known", "base", "score"]
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        n_head, known, base, share, (q, Q, b, log_z), end_base = shared.value
+        own = Symbols(known[:n_head])
+        base, share = np.append(base, 0.0), np.append(share, 0.0)
+        task = TaskContext.get()
+        first = (task.partitionId() if task else 0) << 36
+
+        def log_p(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+            out = np.empty(len(before))
+            for lo in range(0, len(before), 65_536):
+                c, w = before[lo : lo + 65_536], after[lo : lo + 65_536]
+                out[lo : lo + 65_536] = np.einsum("ij,ij->i", q[c], Q[w]) + b[w] - log_z[c]
+            return out / math.log(10)
+
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                rows = []
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ws = tokens(t)
-                    s = np.empty(len(ws) + 2, np.int64)
-                    s[0] = s[-1] = END
-                    s[1:-1] = own.of(ws)
-                    model_part = log_p(s)
-                    at = np.fromiter((place.get(w, -1) for w in ws), np.int64, len(ws))
-                    rest = Counter(ws[k] for k in np.flatnonzero(at < 0).tolist())
-                    at = at[at >= 0]
-                    rows.append((first, i, None, len(ws) + 1, len(at), float(base[at].sum()) + end_base, model_part + float(share[at].sum())))
-                    rows += [(first, None, w, n, 0, 0.0, 0.0) for w, n in rest.items()]
-                    first += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            for x in slices(whole):
+                named, codes, ends = split_words(x.column(1))
+                n, docs = np.diff(ends), np.arange(x.num_rows)
+                of_doc = np.repeat(docs, n)
+                at = pc.fill_null(pc.index_in(named.cast(pa.binary()), value_set=known), len(known)).to_numpy(zero_copy_only=False)[codes]
+                sums = lambda v: np.bincount(of_doc, v, len(docs))
+                pairs = np.add.reduceat(log_p(*chained(own.of(named)[codes], ends)), ends[:-1] + docs) if len(docs) else np.zeros(0)
+                met = at < len(known)
+                cols = [first + docs, x.column(0), pa.nulls(len(docs), pa.binary()), n + 1, sums(met).astype(np.int64), sums(base[at]) + end_base, pairs + sums(share[at])]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                rare, many = np.unique(of_doc[~met].astype(np.int64) << 32 | codes[~met], return_counts=True)
+                zero = np.zeros(len(rare))
+                cols = [first + (rare >> 32), pa.nulls(len(rare), pa.int64()), named.take(pa.array(rare & 0xFFFFFFFF)).cast(pa.binary()), many, zero.astype(np.int64), zero, zero]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                first += len(docs)
 
     return run
 
@@ -304,22 +317,27 @@ def _score(shared):
 def score_texts(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score for each row of docs; learn has the training rows."""
     spark = docs.sparkSession
-    learned = learn.select(F.col(text_col).alias("text"))
+    learned = learn.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sums = learned.mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
     counts = written(sums, "counts")
     in_words = F.col("word").isNotNull()
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(~in_words, F.col("c"))), F.lit(0)).alias("ends")).first()
     total, distinct = all_["n"], all_["v"]
     below = math.log10(total + 0.5 * (distinct + 1))
-    often = max(HEAD, counts.where(in_words & (F.col("c") >= OFTEN)).count())
-    top = counts.where(in_words).orderBy(F.desc("c"), "word").limit(max(KNOWN, often)).select("word", "c").toArrow()
-    known, c = top.column(0).to_pylist(), top.column(1).to_numpy().astype(np.float64)
-    n_head = min(often, len(known))
+    # how many words come so often, from the top: no more rows than KNOWN are looked at, since each has a word
+    levels = counts.where(in_words).groupBy("c").count().orderBy(F.desc("c")).limit(KNOWN).collect()
+    above = list(itertools.accumulate(r["count"] for r in levels))
+    fit = sum(x <= KNOWN for x in above)
+    least = levels[fit - 1]["c"] if fit else 1 << 62
+    often = max([x for x, r in zip(above, levels) if r["c"] >= OFTEN], default=0)
+    top = counts.where(in_words & (F.col("c") >= least)).toArrow().sort_by([("c", "descending"), ("word", "ascending")]).combine_chunks()  # KNOWN rows at most
+    known, c = pa.concat_arrays(top.column("word").chunks) if top.num_rows else pa.array([], pa.binary()), top.column("c").to_numpy().astype(np.float64)
+    n_head = min(len(known), modelled(often, distinct))
 
     class_of = F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(TAIL)).cast("int")
     tail = counts.where(in_words)
     if n_head:  # what comes after the last modelled word
-        tail = tail.where((F.col("c") < int(c[n_head - 1])) | ((F.col("c") == int(c[n_head - 1])) & (F.col("word") > F.lit(bytearray(known[n_head - 1])))))
+        tail = tail.where((F.col("c") < int(c[n_head - 1])) | ((F.col("c") == int(c[n_head - 1])) & (F.col("word") > F.lit(bytearray(known[n_head - 1].as_py())))))
     mass, classes = np.zeros(TAIL), np.zeros(TAIL)
     for r in tail.groupBy(class_of.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # TAIL rows at most
         mass[r["k"]], classes[r["k"]] = r["c"] + 0.5 * (r["v"] + 1), r["c"]
@@ -328,12 +346,12 @@ def score_texts(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_
     R, C, Q, b = model = train_model(learned, known[:n_head], unigram)
     log_z = normalisers(spark, unigram, model)
     base = np.log10(c + 0.5) - below
-    of_class = np.fromiter(map(tail_class, known), np.int64, len(known))
+    of_class = Symbols(pa.array([], pa.binary())).of(known)
     share = np.where(np.arange(len(c)) < n_head, 0.0, np.log10((c + 0.5) / mass[of_class]))
-    shared = spark.sparkContext.broadcast((n_head, known, base, share, (R @ C, Q, (b, log_z)), math.log10(all_["ends"] + 0.5) - below, uuid.uuid4().hex))
+    shared = spark.sparkContext.broadcast((n_head, known, base, share, (R @ C, Q, b, log_z), math.log10(all_["ends"] + 0.5) - below))
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(plain.mapInArrow(_score(shared), "key long, id long, word binary, n long, known long, base double, score double"), "scored")
+    rows = written(plain.mapInArrow(_score(shared), _SCORED), "scored")
     rare = rows.where("word is not null").select("key", "word", "n").join(counts.where(in_words), "word", "left")
     masses = F.array(*(F.lit(float(x)) for x in mass))
     log_mass = F.log10(F.element_at(masses, class_of + 1))

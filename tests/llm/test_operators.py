@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from locusflow.llm import registry
 from locusflow.llm.bpe import byte_pairs
-from locusflow.llm.chunks import library_encoder, tokenizer, vocabulary
+from locusflow.llm.chunks import library_encoder, split_words, tokenizer, vocabulary
 from locusflow.llm.components import components
 from locusflow.llm.exact_dedup import exact_dedup, kept_documents
 from locusflow.llm.jaccard_join import PrefixTree
-from locusflow.llm.language_model import END, WORDS, LogBilinear, Symbols, _learned, score_texts, tail_class
+from locusflow.llm.language_model import END, WORDS, LogBilinear, Symbols, _learned, _score, chained, modelled, score_texts, tail_class
 from locusflow.llm.packing import plan
 from locusflow.llm.pii import _PATTERN, Permutation, Pseudonyms, key_of, pseudonymise
 from locusflow.llm.quality import conditions, ordered, quality_filter
@@ -322,21 +322,55 @@ def test_model_learns_from_every_pair():
     first = m.R.copy()
     m.fit(before, after)
     assert m.seen.tolist() == [3] * 3000 and (m.R != first).any(1).all()
-    shared = SimpleNamespace(value=([b"a", b"b"], np.ones(WORDS + 2), None, 0, 1))
-    texts = [pa.RecordBatch.from_arrays([pa.array(["a b", None, "b a a zz"] * 400_000)], names=["text"])]
+    shared = SimpleNamespace(value=(pa.array([b"a", b"b"]), np.ones(WORDS + 2), None, 0, 1))
+    texts = [pa.RecordBatch.from_arrays([pa.array(["a b", None, "b a a zz"] * 40_000)], names=["text"])]
     parts = [row for b in _learned(shared)(iter(texts)) for row in b.to_pylist()]
-    assert {row["pairs"] for row in parts} == {400_000 * 9} == {sum(np.frombuffer(row["seen"], np.int64).sum() for row in parts if row["block"] >= 0)}
+    assert {row["pairs"] for row in parts} == {40_000 * 9} == {int(sum(np.frombuffer(row["seen"], "<u4").sum() for row in parts if row["block"] >= 0))}
+
+
+def test_pairs_of_texts():
+    texts = ["a b", "", None, " b a  a zz\n"]
+    named, codes, ends = split_words(pa.array(texts, pa.string()))
+    symbols = Symbols(pa.array([b"a", b"b"])).of(named)[codes]
+    zz = tail_class(b"zz")
+    want = [[WORDS, WORDS + 1], [], [], [WORDS + 1, WORDS, WORDS, zz]]
+    chain = [(x, y) for s in want for x, y in zip([END, *s], [*s, END])]
+    assert list(zip(*(x.tolist() for x in chained(symbols, ends)))) == chain
+
+
+def test_score_is_the_sum_of_the_models_rows():
+    """The table's rows sum to one, and a text's score is the sum of its entries and of its words' shares of their classes."""
+    r = np.random.default_rng(3)
+    known, n_head = pa.array([b"red", b"a", b"blue", b"zz", b"green"]), 3
+    m = LogBilinear(r.integers(1, 9, WORDS + n_head))
+    table = (m.R @ m.C @ m.Q.T + m.b).astype(np.float64)
+    table -= np.log(np.exp(table).sum(1, keepdims=True))
+    assert np.exp(table).sum(1) == pytest.approx(1)
+    base, share = r.normal(-3, 1, 5), np.r_[0, 0, 0, r.normal(-1, 0.1, 2)]
+    shared = SimpleNamespace(value=(n_head, known, base, share, (m.R @ m.C, m.Q, m.b, m.log_z(0, len(m.b))), -0.5))
+    texts = ["Red a zz", "", None, "new blue new green", "a"]
+    rows = pa.RecordBatch.from_arrays([pa.array([5, 6, None, 7, 8]), pa.array(texts)], names=["id", "text"])
+    whole, rare = (b.to_pylist() for b in _score(shared)(iter([rows])))
+    names = known.to_pylist()
+    for x, text in zip(whole, texts):
+        ws = [w.lower().encode() for w in (text or "").split()]
+        s = [END, *(WORDS + names.index(w) if w in names[:n_head] else tail_class(w) for w in ws), END]
+        want = sum(table[i, j] for i, j in zip(s, s[1:])) / math.log(10) + sum(share[names.index(w)] for w in ws if w in names)
+        assert x["score"] == pytest.approx(want, abs=1e-4) and x["n"] == len(ws) + 1 and x["known"] == sum(w in names for w in ws)
+        assert x["base"] == pytest.approx(sum(base[names.index(w)] for w in ws if w in names) - 0.5)
+    assert [(x["key"], x["word"], x["n"]) for x in rare] == [(3, b"new", 2)]
 
 
 def test_modelled_words_follow_the_corpus(spark):
     r = np.random.default_rng(2)
-    pairs = [(f"left{k}ab", f"right{k}ab") for k in range(2000)]  # all words have one ending, each comes 60 times
-    texts = [(i, " ".join(w for k in r.permutation(2000)[:250] for w in pairs[k])) for i in range(480)]
+    assert [modelled(n, n) for n in (9, 1 << 20, 1 << 30)] == [1500, 10 << 10, 10 << 15] and modelled(3000, 1 << 30) == 3000
+    pairs = [(f"left{k}ab", f"right{k}ab") for k in range(700)]  # all words have one ending
+    texts = [(i, " ".join(w for k in r.permutation(700)[:250] for w in pairs[k])) for i in range(480)]
     rows = spark.createDataFrame(texts, "doc_id long, text string")
     odd = spark.createDataFrame([(-1, "left7ab right7ab"), (-2, "left7ab right8ab")], "doc_id long, text string")
     got = {x.doc_id: x.score for x in score_texts(odd, rows).collect()}
     assert got[-1] > got[-2] + 1 and tail_class(b"left7ab") == tail_class(b"right8ab") < END
-    assert Symbols([b"left7ab"]).of([b"left7ab", b"right8ab"]).tolist() == [WORDS, tail_class(b"ab")]
+    assert Symbols(pa.array([b"left7ab"])).of(pa.array(["left7ab", "right8ab", "é", "b", ""])).tolist() == [WORDS, *map(tail_class, (b"ab", "é".encode(), b"b", b""))]
 
 
 def test_normalisers_are_exact():

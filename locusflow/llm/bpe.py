@@ -4,8 +4,8 @@ A pretoken's bytes form a doubly linked list of symbols. A heap holds the merges
 place; an entry whose symbols are no longer there is skipped. Decoding concatenates the vocabulary's strings. Special
 tokens of the file are split off first, as the tokenizers library does by default.
 
-Null and empty texts have no ids and decode to the empty text. Rows that repeat give rows that repeat; columns other than
-the identifier and the text are not read. The vocabulary is a file whose path is a parameter; each Python worker reads it.
+Null and empty texts have no ids and decode to the empty text; very long texts are encoded whole. Rows that repeat give rows that repeat; columns other than
+the identifier and the text are not read, and may be named as they like. An empty table gives an empty result. The vocabulary is a file whose path is a parameter; each Python worker reads it.
 """
 
 from __future__ import annotations

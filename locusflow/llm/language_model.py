@@ -124,7 +124,7 @@ class LogBilinear:
         """Before learning: the sums of AdaGrad, and how often each symbol was learned from as the one before."""
         self.random, self.sums, self.seen = np.random.default_rng(seed), [np.full_like(x, 1e-3) for x in self.arrays()], np.zeros(len(self.b), np.int64)
 
-    def fit(self, before: np.ndarray, after: np.ndarray, batch: int = 4096, noise: int = 12, pool: int = 256, rate: float = 0.15) -> None:
+    def fit(self, before: np.ndarray, after: np.ndarray, batch: int = 2048, noise: int = 12, pool: int = 128, rate: float = 0.15) -> None:
         """Noise-contrastive estimation with AdaGrad: every pair is learned from once, in random order."""
         np.add.at(self.seen, before, 1)
         order = self.random.permutation(len(before))

@@ -12,7 +12,9 @@ anchor is repeated if another suffix has the same d bytes on the left and the sa
 are compared, not hashes. 5. Windows of a class are merged into spans.
 
 A text that has a copy is removed whole if it has one window at least. Null texts count as empty; texts shorter than a
-window stay. Rows that repeat are copies of each other. Null identifiers are kept. Only identifier and text are read.
+window stay, very long ones are searched whole. Rows that repeat are copies of each other. Null identifiers are kept. Only identifier and
+text are read, so that other columns may be named as they like. An empty table gives an empty result. A q-gram's contexts are sorted in one
+task, 351 bytes each, after each task has sent equal ones once.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, maybe_in, partitions, written
+from .chunks import slices
+from .common import documents, dropped, maybe_in, partitions, trimmed, written
 
 _TABLE = np.frombuffer(hashlib.shake_256(b"bytes").digest(8 * 256), "<u8")
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -74,20 +78,34 @@ class Anchors:
 
 
 def bucket_refine(words: np.ndarray) -> np.ndarray:
-    """Ranks of rows of big-endian words, by buckets of 1, 2, 4, ... words; each round's identifiers serve all offsets."""
+    """Ranks of rows of big-endian words: how many rows come before a row's bucket.
+
+    Buckets of 1, 2, 4, ... words; each round's identifiers serve all offsets, and only rows that share their bucket with others go on.
+    """
 
     def named(*keys: np.ndarray) -> np.ndarray:
         flat = keys[0].ravel() if len(keys) == 1 else keys[0].astype(np.uint64).ravel() << np.uint64(32) | keys[1].astype(np.uint64).ravel()
         return np.unique(flat, return_inverse=True)[1].reshape(keys[0].shape)
 
-    width, ids, h = words.shape[1], named(words), 1
-    while 2 * h <= width:
-        keep = slice(0, 1) if 4 * h > width and 2 * h == width else slice(0, width - 2 * h + 1)
-        ids = named(ids[:, : width - 2 * h + 1][:, keep], ids[:, h : width - h + 1][:, keep])
-        h *= 2
-    if h < width:
-        ids = named(ids[:, :1], ids[:, width - h : width - h + 1])
-    return ids[:, 0]
+    n, width = words.shape
+    rank, rows, ids, h = np.zeros(n, np.int64), np.arange(n), named(words), 1
+    while len(rows):
+        order = np.lexsort((ids[:, 0], rank[rows]))
+        old, new = rank[rows][order], ids[order, 0]
+        bucket = np.r_[True, old[1:] != old[:-1]]
+        part = bucket | np.r_[True, new[1:] != new[:-1]]
+        at = np.arange(len(rows))
+        start, first = np.maximum.accumulate(np.where(part, at, 0)), np.maximum.accumulate(np.where(bucket, at, 0))
+        rank[rows[order]] = old + start - first
+        size = np.bincount(start, minlength=len(rows))[start]
+        open_ = np.sort(order[size > 1])
+        rows, ids = rows[open_], ids[open_]
+        if h == width or not len(rows):
+            break
+        step = min(h, width - h)  # the last round's halves overlap
+        keep = 1 if step < h or 2 * h == width else width - 2 * h + 1
+        ids, h = named(ids[:, :keep], ids[:, step : step + keep]), h + step
+    return rank
 
 
 def shared_depth(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +147,36 @@ def repeated(left: np.ndarray, right: np.ndarray, group: np.ndarray, near: np.nd
     return out
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=["id", "sha", "n_bytes"])
+def _hashes(held: int = 500_000):
+    """A row for each document. An entry stands for equal texts that a task has seen; their hash is in the first of its rows."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries: dict[bytes, int] = {}
+        first = TaskContext.get().partitionId() << 36
+        for whole in batches:
+            for b in slices(whole):
+                rows = []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    raw = (t or "").encode("utf-8", "surrogatepass")
+                    sha = hashlib.sha256(raw).digest()
+                    entry = entries.get(sha)
+                    new = entry is None
+                    if new:
+                        if len(entries) == held:
+                            entries.clear()
+                        entry = entries[sha] = first
+                        first += 1
+                    rows.append((i, entry, len(raw), sha if new else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "entry", "n_bytes", "sha"])
+
+    return run
 
 
 def _post(length: int, q: int, parts: int):
     """Packed anchors by part of their hash: hash, class (as a number), place."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, held, size = Anchors(length, q), set(), [], 0
 
@@ -205,6 +244,7 @@ def _packed_spans(s: np.ndarray, e: np.ndarray) -> bytes:
 def _contexts(length: int, q: int, parts: int):
     """kind 0: packed contexts by part; kind 1: spans of a class, from contexts that this task has twice."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unzip, zip_ = Anchors(length, q), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         names = ["kind", "part", "sha", "payload"]
@@ -313,14 +353,16 @@ def _find(length: int, q: int):
     return run
 
 
+@trimmed
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1024):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in whole.slice(lo, 1024).column(1).to_pylist()]
+        for b in slices(whole):
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([z.compress(x) for x in raw], pa.binary())], names=["sha", "text"])
 
 
+@trimmed
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unzip, last = zstandard.ZstdDecompressor(), None
     for b in batches:
@@ -346,26 +388,30 @@ def repeated_spans(docs: DataFrame, length: int = 200, q: int = 48, id_col: str
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (packed int64 starts and ends; null where all or nothing goes): a row for each row of docs."""
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
-    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_hashes, "id long, sha binary, n_bytes long"), "hashes")
-    classes = written(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("many"), F.min(F.coalesce("id", F.lit(-1))).alias("id"), F.first("n_bytes").alias("n_bytes")), "classes")
+    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_hashes(), "id long, entry long, n_bytes long, sha binary"), "hashes")
+    seen = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("many"), F.min(F.coalesce("id", F.lit(-1))).alias("id"))
+    entries = written(rows.where("sha is not null").select("entry", "sha", "n_bytes").join(seen, "entry"), "entries")
+    classes = written(entries.groupBy("sha").agg(F.sum("many").alias("many"), F.min("id").alias("id"), F.max("n_bytes").alias("n_bytes")), "classes")
     single = maybe_in(plain, "id", classes.where(F.col("n_bytes") >= length), "id").select("id", "text")
     parts = 2 * partitions(spark)
     anchors = single.mapInArrow(_post(length, q, parts), "part int, anchors binary")
     shared = written(anchors.groupBy("part").applyInArrow(_shared, "sha binary, places binary"), "shared")
     places = shared.groupBy("sha").agg(F.collect_list("places").alias("places"))  # a text's own anchors
-    places = written(places, "places")
-    texts = maybe_in(plain, "id", places.join(classes.select("sha", "id"), "sha"), "id").select("id", "text").mapInArrow(_zipped, "sha binary, text binary")
+    places = written(places.join(classes.select("sha", "id"), "sha"), "places")
+    texts = maybe_in(plain, "id", places, "id").select("id", "text").mapInArrow(_zipped, "sha binary, text binary")
     with_places = texts.join(places, "sha").select("sha", "text", "places")
     contexts = written(with_places.mapInArrow(_contexts(length, q, parts), "kind int, part int, sha binary, payload binary"), "contexts")
     found = contexts.where("kind = 0").groupBy("part").applyInArrow(_find(length, q), "sha binary, spans binary")
     both = found.unionByName(contexts.where("kind = 1").select("sha", F.col("payload").alias("spans")))
     whole = classes.where(F.col("many") > 1)
-    spans = written(both.groupBy("sha").agg(F.collect_list("spans").alias("spans")).join(whole.where(F.col("n_bytes") >= length).select("sha"), "sha", "left_anti"), "spans")
-    needed = maybe_in(plain, "id", spans.join(classes.select("sha", "id"), "sha"), "id").select("id", "text").mapInArrow(_zipped, "sha binary, text binary")
+    spans = written(both.groupBy("sha").agg(F.collect_list("spans").alias("spans")).join(whole.where(F.col("n_bytes") >= length).select("sha"), "sha", "left_anti").join(classes.select("sha", "id"), "sha"), "spans")
+    dropped(shared, contexts, places)
+    needed = maybe_in(plain, "id", spans, "id").select("id", "text").mapInArrow(_zipped, "sha binary, text binary")
     cut = written(needed.join(spans, "sha").select("sha", "text", "spans").mapInArrow(_cut, "sha binary, spans binary, n_removed long, n_spans long, kept_sha256 string"), "cut")
     all_gone = whole.where(F.col("n_bytes") >= length).select("sha", F.lit(None).cast("binary").alias("spans"), F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     result = written(cut.unionByName(all_gone), "removed")
-    out = rows.join(result, "sha", "left")
+    of_entry = entries.select("entry", "sha").join(result, "sha", "left")  # a task's equal texts find their result through their entry
+    out = rows.drop("sha").join(of_entry, "entry")
     return out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"), "spans")
 
 

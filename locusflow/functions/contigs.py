@@ -31,3 +31,11 @@ def panel_index(index: Column) -> Column:
 def is_primary(panel: Column) -> Column:
     """1-22 and X, and whatever the panel lacks."""
     return panel < 23
+
+
+def contig_name(index: Column) -> Column:
+    """Name of a contig's number, null for numbers without contig (fixed names)."""
+    return (
+        F.when(index.between(1, 22), index.cast("string")).when(index == 40, "X").when(index == 41, "Y").when(index.between(191, 249), F.concat(F.lit("GL000"), index.cast("string"), F.lit(".1")))
+        .when(index == DECOY, "hs37d5").when(index == VIRUS, "NC_007605").when(index == MITO, "MT").when(index == PHIX, "phiX174")
+    )

@@ -11,24 +11,32 @@ GRAMMAR = r"^(\|?)([^:|]+):(\d+)(?:-(\d+))?(_INV)?(\|?)\((\d+),(\d+),(?:(\d+)(\?
 
 
 def parse_locus(text: Column) -> Column:
-    g = lambda k: F.regexp_extract(text, GRAMMAR, k)
-    number = lambda k: g(k).try_cast("int")
-    pos, end = number(3), F.coalesce(number(4), number(3))
-    support, secondary, expected = number(7), number(8), number(12)
-    fuzzy, suspicious = pos != end, g(11) == "!"
-    return F.struct(
-        g(2).alias("contig"), contig_index(g(2)).alias("contig_idx"), pos.alias("pos"), end.alias("ext_pos"), (g(1) == "|").alias("right_side"),
-        (g(5) != "").alias("inverted"), support.alias("support"), secondary.alias("secondary"), F.coalesce(number(9), F.lit(0)).alias("mates"),
-        expected.alias("expected"), suspicious.alias("suspicious"), (g(10) == "?").alias("semi_suspicious"), (g(13) == "#").alias("error_prone"),
-        fuzzy.alias("fuzzy"), (fuzzy | (support + secondary < 3)).alias("strict_fuzzy"), (suspicious | (expected > 0)).alias("distant"),
-    )
-
-
-def format_locus(s: Column) -> Column:
+    """The grammar is matched once, into fields; where it doesn't match, texts are empty and numbers null."""
+    fields = F.split(F.regexp_replace(text, GRAMMAR, "$1\t$2\t$3\t$4\t$5\t$6\t$7\t$8\t$9\t$10\t$11\t$12\t$13"), "\t")
+
+    def of(f: Column) -> Column:
+        good = F.size(f) == 13
+        g = lambda k: F.when(good, F.get(f, F.lit(k - 1))).otherwise("")
+        number = lambda k: g(k).try_cast("int")
+        pos, end = number(3), F.coalesce(number(4), number(3))
+        support, secondary, expected = number(7), number(8), number(12)
+        fuzzy, suspicious = pos != end, g(11) == "!"
+        return F.struct(
+            g(2).alias("contig"), contig_index(g(2)).alias("contig_idx"), pos.alias("pos"), end.alias("ext_pos"), (g(1) == "|").alias("right_side"),
+            (g(5) != "").alias("inverted"), support.alias("support"), secondary.alias("secondary"), F.coalesce(number(9), F.lit(0)).alias("mates"),
+            expected.alias("expected"), suspicious.alias("suspicious"), (g(10) == "?").alias("semi_suspicious"), (g(13) == "#").alias("error_prone"),
+            fuzzy.alias("fuzzy"), (fuzzy | (support + secondary < 3)).alias("strict_fuzzy"), (suspicious | (expected > 0)).alias("distant"),
+        )
+
+    return F.transform(F.array(fields), of)[0]
+
+
+def format_locus(s: Column, no_quality: Column | None = None) -> Column:
+    """Text of a locus. no_quality: whether the reads it comes from have no mapping quality, which is marked as doubt about the mates is."""
     side = lambda right: F.when(s["right_side"] == F.lit(right), "|").otherwise("")
-    mates = F.when(s["suspicious"], F.lit("!")).otherwise(F.concat(s["mates"].cast("string"), F.when(s["semi_suspicious"], "?").otherwise("")))
+    mates = F.when(s["suspicious"], F.lit("!")).otherwise(F.concat(s["mates"].cast("string"), F.when(s["semi_suspicious"] if no_quality is None else s["semi_suspicious"] | no_quality, "?").otherwise("")))
     return F.concat(
-        side(True), s["contig"], F.lit(":"), s["pos"], F.when(s["fuzzy"], F.concat(F.lit("-"), s["ext_pos"])).otherwise(""), F.when(s["inverted"], "_INV").otherwise(""),
+        side(True), s["contig"], F.lit(":"), s["pos"], F.when(s["fuzzy"] & (s["pos"] != s["ext_pos"]), F.concat(F.lit("-"), s["ext_pos"])).otherwise(""), F.when(s["inverted"], "_INV").otherwise(""),
         side(False), F.lit("("), s["support"], F.lit(","), s["secondary"], F.lit(","), mates, F.lit("/"), s["expected"], F.lit(")"), F.when(s["error_prone"], "#").otherwise(""),
     )
 

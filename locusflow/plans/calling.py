@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import holds, ratio
+from ..functions.numeric import ratio
+from ..operators import screens
 from ..operators.intervals import coverage
 from ..sources.breakpoints import COUNTS
 
@@ -58,13 +59,12 @@ def breakpoint_counters(reads: DataFrame) -> DataFrame:
 
 
 def emitted(bps: DataFrame, support: int = 5) -> DataFrame:
-    """Breakpoints with evidence: swamped ones are kept without detail, unsupported ones go."""
-    c = F.col
-    ev = c("unpaired_soft") + c("unpaired_hard") + c("short_indel")
-    art = c("low_breaks_soft") + c("low_spans_soft") + c("low_spans_hard")
-    swamped = holds((ev + art > 50) & (ratio(art, ev + art) > 0.85))
-    kept = bps.withColumn("missing_info", swamped)
-    return kept.where(swamped | (ev + c("mate_support") + art >= support))
+    """Positions that are given out, with missing_info where it is without detail. Before loci are paired, pools, loci and overhangs count as none."""
+    have = set(bps.columns)
+    zero = {n: F.lit(0) for n in ("soft_reads", "largest_pool", "loci", "overhang_chars") if n not in have}
+    final = {f"final_{n}": F.col(n) for n in COUNTS if f"final_{n}" not in have}
+    made = bps.withColumns(zero | final).withColumn("__as", screens.emission(support))
+    return made.where(F.col("__as") != "none").withColumn("missing_info", F.col("__as") == "bare").select(*bps.columns, "missing_info")
 
 
 def build_panel(bps: DataFrame, n_samples: int) -> DataFrame:
@@ -73,18 +73,10 @@ def build_panel(bps: DataFrame, n_samples: int) -> DataFrame:
     One aggregation by contig and position over all files; no table with a slot for each base.
     """
     c = F.col
-    total = c("paired_soft") + c("paired_hard") + c("unpaired_soft") + c("unpaired_hard") + c("short_indel")
+    total, covered = screens.breaks(), screens.covered(c("overhangs").isNotNull())
     art = c("low_breaks_soft") + c("low_spans_soft") + c("repetitive")
-    share = ratio(total, total + c("normal_spans"))
-    covered = (c("short_indel") > 2) | (total > 9) | ((total > 4) & holds((share > 0.3) | ((share > 0.1) & c("overhangs").isNotNull())))
     known = F.concat("double_loci", "single_loci")
 
-    def admitted(x):
-        splits = x["support"] + x["secondary"]
-        far = (x["expected"] > 0) & (2 * x["mates"] >= x["expected"]) & (((splits > 4) & (x["mates"] > 2)) | (x["mates"] > 4))
-        near = (splits > 4) | ((splits > 2) & (x["support"] > 0) & (x["secondary"] > 0))
-        return ~x["suspicious"] & (x["contig_idx"] <= 1001) & F.when(x["distant"], far).otherwise(near)
-
-    rows = bps.select("contig", "panel_idx", "pos", "file_id", covered.alias("covered"), F.when(covered, ratio(art, art + total)).alias("ratio"), F.when(total < 200, F.filter(known, admitted)).otherwise(F.array().cast(bps.schema["single_loci"].dataType)).alias("loci"))
+    rows = bps.select("contig", "panel_idx", "pos", "file_id", covered.alias("covered"), F.when(covered, ratio(art, art + total)).alias("ratio"), F.when(total < 200, F.filter(known, screens.admitted)).otherwise(F.array().cast(bps.schema["single_loci"].dataType)).alias("loci"))
     rows = rows.where(c("covered") | (F.size("loci") > 0))
     return rows.groupBy("contig", "panel_idx", "pos").agg(F.array_sort(F.collect_set("file_id")).alias("file_ids"), F.collect_list("ratio").alias("ratios"), F.array_distinct(F.flatten(F.collect_list("loci"))).alias("loci"))

@@ -12,6 +12,7 @@ from .adapters import edges as edge_view
 from .adapters import intervals as interval_view
 from .adapters import loci as locus_view
 from .event_view import EV, EVENT
+from . import event_queries, partner_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -406,3 +407,12 @@ def contig_last_first_order(spark, d):
 @query("SELECT l_partkey, l_suppkey, printf('%.3f', n / 16.0) AS share FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)")
 def fixed_text(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").count().select("l_partkey", "l_suppkey", numeric.fixed3(c("count") / 16.0).alias("share"))
+
+
+def _add(queries: dict, sql: dict[str, str]) -> None:
+    QUERIES.update(queries)
+    SQL.update(sql)
+
+
+_add(partner_queries.QUERIES, partner_queries.SQL)
+_add(event_queries.QUERIES, event_queries.sql(SQL, UNKNOWN_SCORE, SCORED))

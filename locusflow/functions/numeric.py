@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,12 +20,17 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def _fixed(x: pd.Series, places: int) -> pd.Series:
+    v = x.to_numpy(np.float64, na_value=np.nan)
+    return pd.Series(np.char.mod(f"%.{places}f", v).astype(object)).where(~np.isnan(v), None)
+
+
 @F.pandas_udf(StringType())
 def fixed3(x: pd.Series) -> pd.Series:
-    """Three decimals, ties by the exact binary value (JVM formatting rounds half up)."""
-    return x.map(lambda v: None if v is None or v != v else f"{v:.3f}")
+    """Three decimals, ties by the exact binary value (JVM formatting rounds half up); null for undefined values."""
+    return _fixed(x, 3)
 
 
 @F.pandas_udf(StringType())
 def fixed5(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else f"{v:.5f}")
+    return _fixed(x, 5)

@@ -6,18 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coverage(df: DataFrame, keys: list[str], start: str, end: str, weights: dict[str, Column] | None = None) -> DataFrame:
+def coverage(df: DataFrame, keys: list[str], start: str, end: str, weights: dict[str, Column] | None = None, width: int = 1 << 16) -> DataFrame:
     """keys, pos and a running depth for each weight wherever it may change; intervals are half open.
 
     Intervals become +w at start and -w at end, are summed by position before the shuffle, and added up along the key;
-    they are never spread over their bases.
+    they are never spread over their bases. A crowded key is split into bins of `width` positions.
     """
     weights = weights or {"depth": F.lit(1)}
     named = df.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), *(w.cast("long").alias(n) for n, w in weights.items())).where("__s < __e")
     ends = F.explode(F.array(F.struct(F.col("__s").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("__e").alias("pos"), F.lit(-1).alias("sign"))))
     deltas = named.withColumn("__x", ends).groupBy(*keys, F.col("__x.pos").alias("pos")).agg(*(F.sum(F.col(n) * F.col("__x.sign")).alias(n) for n in weights))
-    along = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.select(*keys, "pos", *(F.sum(n).over(along).alias(n) for n in weights))
+    return running_sums(deltas, keys, "pos", list(weights), width)
+
+
+def running_sums(df: DataFrame, keys: list[str], pos: str, names: list[str], width: int = 1 << 16) -> DataFrame:
+    """keys, pos and the running sums of the named columns along pos, one row a position.
+
+    Positions are cut into bins: sums run within a bin, and the few bins' totals are added up before. So one key's rows are
+    many tasks' work, and both steps read one shuffle.
+    """
+    bins = [*keys, "__bin"]
+    binned = df.withColumn("__bin", F.floor(F.col(pos) / width)).repartition(*bins)
+    ahead = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy(*bins).agg(*(F.sum(n).alias(f"__t_{n}") for n in names))
+    before = totals.select(*bins, *(F.coalesce(F.sum(f"__t_{n}").over(ahead), F.lit(0)).alias(f"__b_{n}") for n in names))
+    along = Window.partitionBy(*bins).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    own = binned.select(*bins, pos, *(F.sum(n).over(along).alias(n) for n in names))
+    return own.join(before, bins).select(*keys, pos, *((F.col(n) + F.col(f"__b_{n}")).alias(n) for n in names))
 
 
 def neighbour_depth(profile: DataFrame, keys: list[str], depth: str = "depth") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import fixed3
 from .intervals import band_join
 
 
@@ -47,3 +48,39 @@ def nearest_partner(edges: DataFrame, nodes: DataFrame, within: int, widened: in
     met = band_join(edges.select("id", "b_contig", "b_pos"), ends, ["b_contig"], "b_pos", "n_pos", widened * within, b_keys=["n_contig"])
     best = met.groupBy("id").agg(F.min(F.struct(F.abs(F.col("b_pos") - F.col("n_pos")).alias("far"), F.col("n_pos").alias("pos"))).alias("b"))
     return best.select("id", F.col("b.pos").alias("partner_pos"), (F.col("b.far") > within).alias("widened"))
+
+
+def conservative_hits(rows: DataFrame, panel: DataFrame, row_id: str, close: int, rare: float) -> DataFrame:
+    """row_id, hits: the most hits of a panel position at most `close` away; rare ones whose only locus explains more than four fifths of their
+    hits don't count.
+
+    rows: row_id, contig, pos. panel: contig, pos, hits, n_loci, locus_support (of its first locus).
+    """
+    known = panel.where(~((F.col("hits") < rare) & (F.col("n_loci") == 1) & (F.col("locus_support") > 0.8 * F.col("hits"))))
+    marks = known.select("contig", F.col("pos").alias("p_pos"), F.col("hits").alias("p_hits"))
+    best = band_join(rows.select(row_id, "contig", "pos"), marks, ["contig"], "pos", "p_pos", close).groupBy(row_id).agg(F.max("p_hits").alias("h"))
+    return rows.select(row_id).join(best, row_id, "left").select(row_id, F.coalesce("h", F.lit(0)).alias("hits"))
+
+
+def control_clonality(rows: DataFrame, control: DataFrame | None, row_id: str, close: int) -> DataFrame:
+    """row_id, clonality: of the control position at most `close` away that has most support (the larger span count of equals); 0 without
+    one, 1 without a control.
+
+    rows: row_id, contig, pos. control: contig, pos, support, spans.
+    """
+    if control is None:
+        return rows.select(row_id, F.lit(1.0).alias("clonality"))
+    marks = control.select("contig", F.col("pos").alias("p_pos"), "support", "spans")
+    best = band_join(rows.select(row_id, "contig", "pos"), marks, ["contig"], "pos", "p_pos", close).groupBy(row_id).agg(F.max(F.struct("support", "spans")).alias("b"))
+    share = F.when(F.col("b.support") > 0, F.col("b.support") / (F.col("b.support") + F.col("b.spans")).cast("double"))
+    return rows.select(row_id).join(best, row_id, "left").select(row_id, F.coalesce(share, F.lit(0.0)).alias("clonality"))
+
+
+def overhang_report(positions: DataFrame, overhangs: DataFrame, visited: DataFrame, limit: int, n_samples: int) -> DataFrame:
+    """line_index, line: positions that no event has visited and the panel hardly knows, with their overhangs.
+
+    positions: line_index, contig, pos, hits, clonality. overhangs: line_index, overhang. visited: line_index.
+    """
+    left = positions.where(F.col("hits") < limit).join(visited.select("line_index"), "line_index", "left_anti").join(overhangs.where("overhang <> ''"), "line_index")
+    origin = F.concat(F.when(F.col("clonality") > 0.1, "GERMLINE(").otherwise("SOMATIC("), F.col("hits"), F.lit(f"/{n_samples}):"), fixed3(F.col("clonality")))
+    return left.select("line_index", F.concat_ws("\t", F.concat(F.lit("##"), "contig"), F.col("pos") - 1, "pos", origin, "overhang").alias("line"))

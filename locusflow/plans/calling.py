@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from ..operators import screens
+from ..operators import screens, support
 from ..operators.intervals import coverage
 from ..sources.breakpoints import COUNTS
 
@@ -79,4 +79,10 @@ def build_panel(bps: DataFrame, n_samples: int) -> DataFrame:
 
     rows = bps.select("contig", "panel_idx", "pos", "file_id", covered.alias("covered"), F.when(covered, ratio(art, art + total)).alias("ratio"), F.when(total < 200, F.filter(known, screens.admitted)).otherwise(F.array().cast(bps.schema["single_loci"].dataType)).alias("loci"))
     rows = rows.where(c("covered") | (F.size("loci") > 0))
-    return rows.groupBy("contig", "panel_idx", "pos").agg(F.array_sort(F.collect_set("file_id")).alias("file_ids"), F.collect_list("ratio").alias("ratios"), F.array_distinct(F.flatten(F.collect_list("loci"))).alias("loci"))
+    # a locus of a panel has the samples it is from in place of its reads
+    own = F.transform("loci", lambda x: x.withField("ids", F.array("file_id")).withField("support", F.lit(0)).withField("secondary", F.lit(0)))
+    of_file = F.array_sort(F.collect_list(F.struct("file_id", own.alias("loci"))), lambda a, b: F.when(a["file_id"] < b["file_id"], -1).when(a["file_id"] > b["file_id"], 1).otherwise(0))
+    made = rows.groupBy("contig", "panel_idx", "pos").agg(F.collect_set("file_id").alias("files"), F.collect_list("ratio").alias("ratios"), of_file.alias("of_file"))
+    made = made.withColumn("merged", support.merged_list(F.flatten(F.transform("of_file", lambda x: x["loci"])), ids=True))
+    counted = F.transform("merged", lambda x: x.withField("support", F.size(x["ids"])).dropFields("ids"))
+    return made.select("contig", "panel_idx", "pos", F.array_sort(F.array_union("files", F.flatten(F.transform("merged", lambda x: x["ids"])))).alias("file_ids"), "ratios", counted.alias("loci"))

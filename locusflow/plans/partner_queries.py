@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import cigar as cg
 from ..functions import partners
 from ..functions import reads as rd
-from ..operators import screens
+from ..functions import contigs
+from ..operators import lookups, screens, support
+from .adapters import LO, table
+from .adapters import loci as events_view
 from .locus_view import LV, RV, locus, positions, reads
 
 QUERIES: dict = {}
@@ -200,3 +203,99 @@ def loci_of_reads(spark, d):
     got = partners.read_loci(element, c("fwd"), c("right"), c("here_ctg"), c("here"), c("mate_far"), c("mctg"), c("mpos"), c("plus"))
     rows = reads(spark, d).select("o_orderkey", got.alias("xs")).withColumn("x", F.get("xs", lit(0)))
     return rows.select("o_orderkey", "x.pos", "x.inverted", c("x.distant").alias("far"), "x.slack", F.size("xs").alias("n_loci"))
+
+
+@query(f"""WITH {LO}, b AS (SELECT DISTINCT contig, pos FROM lo WHERE kind < 'm'), m AS (SELECT contig, pos AS s, pos + 30 AS e FROM lo WHERE kind >= 'm'),
+ j AS (SELECT b.contig, b.pos, count(*) FILTER (m.s < b.pos) AS l, count(*) FILTER (m.s >= b.pos OR b.pos < m.e) AS r FROM b JOIN m ON m.contig = b.contig AND m.s BETWEEN b.pos - 90 AND b.pos + 40 GROUP BY ALL)
+ SELECT contig, pos, coalesce(l, 0) AS left_pool, coalesce(r, 0) AS right_pool FROM b LEFT JOIN j USING (contig, pos)""")
+def mate_pools(spark, d):
+    rows = events_view(spark, d)
+    mates = rows.where("kind >= 'm'").select("contig", c("pos").alias("start"), (c("pos") + 30).alias("end"))
+    return support.mate_pools(rows.where("kind < 'm'").select("contig", "pos").distinct(), mates, 90, 40)
+
+
+@query(f"WITH {LO}, b AS (SELECT DISTINCT contig, pos FROM lo) SELECT contig, pos, row_number() OVER (ORDER BY contig, pos) AS running_index FROM b")
+def running_index(spark, d):
+    return support.running_index(events_view(spark, d).select("contig", "pos").distinct(), ["contig"], "pos", 1024)
+
+
+_CLOSE_PANEL = "pa AS (SELECT contig, pos, count(*) AS hits, max(ord) % 3 AS n_loci, max(ord) % 7 AS locus_support FROM lo WHERE kind >= 'm' GROUP BY ALL)"
+
+
+@query(f"""WITH {LO}, {_CLOSE_PANEL}, a AS (SELECT ord, contig, pos FROM lo WHERE kind < 'm'),
+ h AS (SELECT a.ord, max(pa.hits) AS hits FROM a JOIN pa ON a.contig = pa.contig AND abs(a.pos - pa.pos) <= 20 AND NOT (pa.hits < 5 AND pa.n_loci = 1 AND pa.locus_support > 0.8 * pa.hits) GROUP BY a.ord) SELECT a.ord, coalesce(h.hits, 0) AS hits FROM a LEFT JOIN h USING (ord)""")
+def conservative_hits(spark, d):
+    rows = events_view(spark, d)
+    panel = rows.where("kind >= 'm'").groupBy("contig", "pos").agg(F.count(lit(1)).alias("hits"), (F.max("ord") % 3).alias("n_loci"), (F.max("ord") % 7).alias("locus_support"))
+    return lookups.conservative_hits(rows.where("kind < 'm'").select("ord", "contig", "pos"), panel, "ord", 20, 5)
+
+
+_CONTROL = "co AS (SELECT contig, pos, count(*) * 3 + max(ord) % 5 AS support, max(ord) % 11 AS spans FROM lo WHERE kind >= 'm' GROUP BY ALL)"
+
+
+@query(f"""WITH {LO}, {_CONTROL}, a AS (SELECT ord, contig, pos FROM lo WHERE kind < 'm'), j AS (SELECT a.ord, co.support, co.spans FROM a JOIN co ON a.contig = co.contig AND abs(a.pos - co.pos) <= 30 QUALIFY row_number() OVER (PARTITION BY a.ord ORDER BY co.support DESC, co.spans DESC) = 1)
+ SELECT a.ord, round(coalesce(support / (support + spans), 0), 6) AS clonality FROM a LEFT JOIN j USING (ord)""")
+def control_clonality(spark, d):
+    rows = events_view(spark, d)
+    control = rows.where("kind >= 'm'").groupBy("contig", "pos").agg((F.count(lit(1)) * 3 + F.max("ord") % 5).alias("support"), (F.max("ord") % 11).alias("spans"))
+    return lookups.control_clonality(rows.where("kind < 'm'").select("ord", "contig", "pos"), control, "ord", 30).select("ord", F.round("clonality", 6).alias("clonality"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS line_index, p_partkey % 22 + 1 AS contig, 1000 + p_size * 7 AS pos, p_size % 9 AS hits, (p_partkey % 33) / 32.0 AS clonality FROM part), v AS (SELECT DISTINCT l_partkey AS line_index FROM lineitem WHERE l_linenumber > 6)
+ SELECT line_index, concat_ws(chr(9), concat('##', contig), pos - 1, pos, concat(CASE WHEN clonality > 0.1 THEN 'GERMLINE(' ELSE 'SOMATIC(' END, hits, '/50):', printf('%.3f', CAST(clonality AS DOUBLE))), p_brand) AS line
+ FROM p JOIN part ON p_partkey = line_index WHERE hits < 5 AND p_partkey % 3 > 0 AND line_index NOT IN (SELECT line_index FROM v)""")
+def overhang_report(spark, d):
+    part = table(spark, d, "part")
+    at = part.select(c("p_partkey").alias("line_index"), (c("p_partkey") % 22 + 1).alias("contig"), (1000 + c("p_size") * 7).alias("pos"), (c("p_size") % 9).alias("hits"), ((c("p_partkey") % 33) / 32.0).alias("clonality"))
+    over = part.select(c("p_partkey").alias("line_index"), F.when(c("p_partkey") % 3 > 0, c("p_brand")).otherwise("").alias("overhang"))
+    return lookups.overhang_report(at, over, table(spark, d, "lineitem").where("l_linenumber > 6").select(c("l_partkey").alias("line_index")), 5, 50)
+
+
+@query("""WITH g AS (SELECT l_partkey, count(DISTINCT l_orderkey % 7) AS p, count(DISTINCT l_suppkey % 5) AS s, count(*) AS soft, sum(l_linenumber) AS hard FROM lineitem GROUP BY l_partkey)
+ SELECT l_partkey, p AS paired_soft, soft - p AS unpaired_soft, s AS paired_hard, CAST(hard - s AS BIGINT) AS unpaired_hard FROM g""")
+def support_transfer(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct(c("l_orderkey") % 7).alias("p"), F.count_distinct(c("l_suppkey") % 5).alias("s"), F.count(lit(1)).alias("unpaired_soft"), F.sum("l_linenumber").alias("unpaired_hard"))
+    g = g.withColumns({"paired_soft": lit(0).cast("long"), "paired_hard": lit(0).cast("long")})
+    return g.select("l_partkey", *(x.alias(k) for k, x in support.transferred(c("p"), c("s")).items()))
+
+
+@query(f"""WITH {LV} SELECT o_orderkey, CAST(greatest(0, round(normal_spans - (unpaired_soft * 0.25))) AS INT) AS expected, mate1 < unpaired_soft * 0.125 AS prone FROM lv""")
+def expected_mates(spark, d):
+    e = support.expected_mates(c("normal_spans"), c("unpaired_soft"), 0.65)
+    return positions(spark, d).select("o_orderkey", e["expected"].alias("expected"), (c("mate1") < F.round(e["errors"], 6)).alias("prone"))
+
+
+def _take(k: int, old: str, new: str) -> str:
+    met = f"(ctg{k} = ctg1 AND right{k} = right1 AND inv{k} = inv1 AND greatest(0, pos{k} - hi, lo - ext{k}) <= 504)"
+    return f"""{new} AS (SELECT * EXCLUDE (lo, hi, fz, used), CASE WHEN {met} AND fz AND NOT fuzzy{k} THEN pos{k} WHEN {met} AND fz THEN least(lo, pos{k}) ELSE lo END AS lo, CASE WHEN {met} AND fz AND NOT fuzzy{k} THEN pos{k} WHEN {met} AND fz THEN greatest(hi, ext{k}) ELSE hi END AS hi,
+ fz AND NOT ({met} AND NOT fuzzy{k}) AS fz, concat(used, CASE WHEN {met} THEN '{k - 2},' ELSE '' END) AS used FROM {old})"""
+
+
+@query(f"""WITH {LV}, s1 AS (SELECT *, pos1 AS lo, ext1 AS hi, fuzzy1 AS fz, '' AS used FROM lv), {_take(2, 's1', 's2')}, {_take(3, 's2', 's3')} SELECT o_orderkey, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, fz AS fuzzy, rtrim(used, ',') AS used FROM s3""")
+def split_pairing(spark, d):
+    s = support.split_pairs(c("x1"), F.array("x2", "x3"), 2 * partners.wide())
+    return _rows(spark, d).select("o_orderkey", s.alias("s")).select("o_orderkey", "s.lo", "s.hi", "s.fuzzy", F.array_join("s.used", ",").alias("used"))
+
+
+@query(f"""WITH {LV}, k AS (SELECT *, susp2 OR (exp2 > 0 AND 10 * mate2 <= exp2) AS bad2, susp1 OR (exp1 > 0 AND 10 * mate1 <= exp1) AS bad1, ctg1 = ctg2 AND CASE WHEN vague1 OR vague2 THEN {_gap('1', '2')} <= 252 ELSE abs(pos1 - pos2) <= 100 END AS near FROM lv)
+ SELECT o_orderkey, CAST(CASE WHEN bad1 AND bad2 THEN 0 WHEN bad1 OR bad2 OR near THEN 1 ELSE 2 END AS INT) AS n, CASE WHEN bad1 AND bad2 THEN -1 WHEN bad1 THEN sup2 WHEN bad2 OR NOT near THEN sup1 ELSE greatest(sup1, sup2) END AS support,
+ CASE WHEN bad1 AND bad2 THEN -1 WHEN bad1 THEN pos2 WHEN bad2 OR NOT near OR NOT fuzzy1 THEN pos1 WHEN NOT fuzzy2 THEN pos2 ELSE least(pos1, pos2) END AS pos FROM k""")
+def panel_locus_merge(spark, d):
+    rows = _rows(spark, d).select("o_orderkey", support.merged_list(F.array("x1", "x2")).alias("xs"))
+    return rows.select("o_orderkey", F.size("xs").alias("n"), *(F.coalesce(F.get("xs", lit(0))[k], lit(-1)).alias(k) for k in ("support", "pos")))
+
+
+@query("""SELECT p_partkey, CASE WHEN i BETWEEN 1 AND 22 THEN CAST(i AS VARCHAR) WHEN i = 40 THEN 'X' WHEN i = 41 THEN 'Y' WHEN i BETWEEN 191 AND 249 THEN 'GL000' || i || '.1' WHEN i = 999 THEN 'hs37d5' WHEN i = 1000 THEN 'NC_007605' WHEN i = 1001 THEN 'MT' WHEN i = 1002 THEN 'phiX174' ELSE 'none' END AS name
+ FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 260 ELSE 990 + p_partkey % 15 END AS i FROM part)""")
+def contig_names(spark, d):
+    i = F.when(c("p_partkey") % 2 == 0, c("p_partkey") % 260).otherwise(990 + c("p_partkey") % 15)
+    return table(spark, d, "part").select("p_partkey", F.coalesce(contigs.contig_name(i), lit("none")).alias("name"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || c_nationkey WHEN 1 THEN c_mktsegment ELSE '' END AS sample FROM customer""")
+def sample_names(spark, d):
+    from ..sources.breakpoints import sample_name
+
+    k = c("c_custkey") % 3
+    path = F.when(k == 0, F.concat(lit("/data/x_bps_v1/"), "c_mktsegment", "c_nationkey", lit("_bps_v1.bed.gz"))).when(k == 1, F.concat("c_mktsegment", lit("_bps_v1.bed"))).otherwise("/data/other.bed")
+    return table(spark, d, "customer").select("c_custkey", sample_name(path, "_bps_v1").alias("sample"))

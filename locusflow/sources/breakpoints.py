@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contigs, loci, numeric
@@ -17,25 +17,61 @@ def _loci(text: Column) -> Column:
     return F.transform(loci.parse_loci(text), loci.parse_locus)
 
 
-def read_breakpoints(spark: SparkSession, paths: str | list[str], panel_only: bool = True) -> DataFrame:
-    """Breakpoints of any number of (gzipped) tables, read as one scan; counts beyond the coverage are put right."""
-    rows = spark.read.text(paths).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"), F.input_file_name().alias("file"))
+def read_list(spark: SparkSession, path: str) -> list[str]:
+    """Paths in a list file, one a line; a path's place is its file's number."""
+    return [x.strip() for x in spark.read.text(path, wholetext=True).first()[0].splitlines() if x.strip()]
+
+
+def sample_name(path: Column, version: str) -> Column:
+    """What stands before the last occurrence of the version in a path, back to the slash; empty without it."""
+    before = F.regexp_extract(path, rf"^(.*)\Q{version}\E", 1)
+    return F.substring_index(before, "/", -1)
+
+
+def read_breakpoints(spark: SparkSession, paths: str | list[str], panel_only: bool = True, strict: bool = False, line_index: bool = False) -> DataFrame:
+    """Breakpoints of any number of (gzipped) tables, read as one scan; counts beyond the coverage are put right.
+
+    strict: a row without its eight fields ends the run. line_index: adds the place of a row, from 0, among the kept ones of its file; files are read
+    whole, one task each (as gzip is anyway).
+    """
+    rows = spark.read.text(paths).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("__at"))
+    if strict:
+        rows = rows.withColumn("f", F.when(F.size("f") >= 8, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("a row has not eight fields, in "), "file"))))
     f = lambda k: F.get("f", F.lit(k))
     counts, cover = F.split(f(3), ","), F.split(f(4), ",")
     out = rows.select(
-        "file", f(0).alias("contig"), contigs.contig_index(f(0)).alias("chr_idx"), f(1).cast("int").alias("pos"), *(F.get(counts, F.lit(k)).cast("int").alias(n) for k, n in enumerate(COUNTS)),
+        "file", "__at", f(0).alias("contig"), contigs.contig_index(f(0)).alias("chr_idx"), f(1).cast("int").alias("pos"), *(F.get(counts, F.lit(k)).cast("int").alias(n) for k, n in enumerate(COUNTS)),
         F.get(cover, F.lit(0)).cast("int").alias("left_coverage"), F.get(cover, F.lit(1)).cast("int").alias("right_coverage"), (f(5) == "#").alias("missing_info"), _loci(f(5)).alias("double_loci"), _loci(f(6)).alias("single_loci"),
         F.when(f(7).isin(".", "#"), None).otherwise(f(7)).alias("overhangs"),
     )
     out = out.withColumn("panel_idx", contigs.panel_index(F.col("chr_idx"))).withColumns(count_repair("normal_spans", "left_coverage", "right_coverage", "paired_soft", "unpaired_soft"))
-    return out.where("panel_idx >= 0") if panel_only else out
+    out = out.where("panel_idx >= 0") if panel_only else out
+    if line_index:
+        out = out.withColumn("line_index", F.row_number().over(Window.partitionBy("file").orderBy("__at")) - 1)
+    return out.drop("__at")
+
+
+def _line() -> Column:
+    listed = lambda name: F.when(F.col("missing_info"), "#").when(F.size(name) == 0, ".").otherwise(F.array_join(F.transform(name, lambda x: loci.format_locus(x)), ";"))
+    over = F.when(F.col("missing_info"), "#").otherwise(F.coalesce("overhangs", F.lit(".")))
+    return F.concat_ws("\t", "contig", "pos", F.col("pos") + 1, F.concat_ws(",", *COUNTS), F.concat_ws(",", "left_coverage", "right_coverage"), listed("double_loci"), listed("single_loci"), over)
 
 
 def breakpoint_lines(df: DataFrame) -> DataFrame:
     """value: lines of a breakpoint table."""
-    listed = lambda name: F.when(F.col("missing_info"), "#").when(F.size(name) == 0, ".").otherwise(F.array_join(F.transform(name, loci.format_locus), ";"))
-    over = F.when(F.col("missing_info"), "#").otherwise(F.coalesce("overhangs", F.lit(".")))
-    return df.select(F.concat_ws("\t", "contig", "pos", F.col("pos") + 1, F.concat_ws(",", *COUNTS), F.concat_ws(",", "left_coverage", "right_coverage"), listed("double_loci"), listed("single_loci"), over).alias("value"))
+    return df.select(_line().alias("value"))
+
+
+def write_breakpoints(df: DataFrame, path: str) -> None:
+    """df as text in order of contig and position, the header first."""
+    keyed = df.select("chr_idx", "pos", _line().alias("value"))
+    header = df.sparkSession.createDataFrame([(-1, -1, HEADER)], "chr_idx int, pos int, value string")
+    header.unionByName(keyed.select(F.col("chr_idx").cast("int"), F.col("pos").cast("int"), "value")).orderBy("chr_idx", "pos").select("value").write.text(path)
+
+
+def panel_file(root: str, n_samples: int) -> str:
+    """Name of a panel's file (fixed form)."""
+    return f"{root}_{n_samples}_mergedBpCounts.bed"
 
 
 def read_panel(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
@@ -43,7 +79,7 @@ def read_panel(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
     f = lambda k: F.get("f", F.lit(k))
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
     hits = F.when(f(0).startswith("Y"), F.least(F.lit(n_samples), 2 * f(3).cast("int"))).otherwise(f(3).cast("int"))
-    return rows.select(f(0).alias("contig"), contigs.panel_index(contigs.contig_index(f(0))).alias("panel_idx"), f(1).cast("int").alias("pos"), hits.alias("hits"), _loci(f(8)).alias("loci")).where("panel_idx >= 0")
+    return rows.select(f(0).alias("contig"), contigs.panel_index(contigs.contig_index(f(0))).alias("panel_idx"), f(1).cast("int").alias("pos"), hits.alias("hits"), F.transform(_loci(f(8)), lambda x: x.withField("secondary", hits)).alias("loci")).where("panel_idx >= 0")
 
 
 def panel_lines(df: DataFrame, n_samples: int) -> DataFrame:
@@ -52,6 +88,6 @@ def panel_lines(df: DataFrame, n_samples: int) -> DataFrame:
     share = lambda x: numeric.fixed5((x / F.lit(float(n_samples))).cast("double"))
     mean = F.when(a > 0, numeric.fixed5(F.aggregate("ratios", F.lit(0.0), lambda s, x: s + x) / a)).otherwise("NA")
     strong = F.when(F.size("loci") >= 11, F.filter("loci", lambda x: x["support"] >= 0.2 * n)).otherwise(F.col("loci"))
-    text = F.when(F.size(strong) == 0, ".").otherwise(F.array_join(F.transform(strong, loci.format_locus), ";"))
+    text = F.when(F.size(strong) == 0, ".").otherwise(F.array_join(F.transform(strong, lambda x: loci.format_locus(x)), ";"))
     line = F.concat_ws("\t", "contig", "pos", F.col("pos") + 1, n, a, share(n), share(a), mean, text, F.array_join("file_ids", ","))
     return df.orderBy(F.desc("panel_idx"), "pos").select(line.alias("value"))

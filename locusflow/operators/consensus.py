@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def cluster_overhangs(df: DataFrame, keys: list[str], seq: str, right: str, orde
     return clean.groupBy(*keys).applyInPandas(run, f"{kinds}, parent string, right_side boolean, children long")
 
 
-def defuzz(df: DataFrame, keys: list[str], reach: int, pad: int) -> DataFrame:
+def defuzz(df: DataFrame, keys: list[str], reach: int, pad: int, samples: str | None = None) -> DataFrame:
     """Partner loci at neighbouring positions that tell of one partner, reduced to one.
 
     Columns: keys (contig of the position, contig and side of the partner), pos, lo, hi (equal if exact), support, mates,
@@ -47,34 +48,45 @@ def defuzz(df: DataFrame, keys: list[str], reach: int, pad: int) -> DataFrame:
     `reach` of the start. The best exact locus survives, else the one with most mates with the range; it takes the largest
     mates and expected. Components more than `reach` apart along pos can still touch through matching ranges, so the whole key
     is one group.
+
+    samples: a panel's array of sample numbers. Then loci with fewer than three splits are swept from too, the best is the one of most samples, and the survivor
+    gets the samples of all that were met.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["pos", "lo", "hi", "support"]).to_dict("records")
-        gone = [False] * len(rows)
-        for k, start in enumerate(rows):
-            if gone[k] or start["lo"] == start["hi"]:
+        pdf = pdf.sort_values(["pos", "lo", "hi", "support"], kind="stable").reset_index(drop=True)
+        pos, lo_, hi_, support, mates, expected = (pdf[k].to_numpy().copy() for k in ("pos", "lo", "hi", "support", "mates", "expected"))
+        ids = [frozenset(x) for x in pdf[samples]] if samples else []
+        n = len(pdf)
+        gone = np.zeros(n, bool)
+        for k in range(n):
+            exact_start = lo_[k] == hi_[k] and not (samples and support[k] < 3)
+            if gone[k] or exact_start:
                 continue
-            lo, hi, met = start["lo"], start["hi"], [k]
+            lo, hi, met = lo_[k], hi_[k], [k]
             for step in (1, -1):
                 j = k + step
-                while 0 <= j < len(rows):
-                    r = rows[j]
-                    close = not gone[j] and r["lo"] <= hi + pad and r["hi"] >= lo - pad
-                    if close:
+                while 0 <= j < n:
+                    if not gone[j] and lo_[j] <= hi + pad and hi_[j] >= lo - pad:
                         met.append(j)
-                        if r["lo"] != r["hi"]:
-                            lo, hi = min(lo, r["lo"]), max(hi, r["hi"])
-                    elif abs(r["pos"] - start["pos"]) > reach:
+                        if lo_[j] != hi_[j]:
+                            lo, hi = min(lo, lo_[j]), max(hi, hi_[j])
+                    elif abs(pos[j] - pos[k]) > reach:
                         break
                     j += step
-            exact = [j for j in met if rows[j]["lo"] == rows[j]["hi"]]
-            best = max(exact or met, key=lambda j: (rows[j]["support"] if exact else rows[j]["mates"], -j))
-            rows[best] |= {"mates": max(rows[j]["mates"] for j in met), "expected": max(rows[j]["expected"] for j in met)}
+            exact = [j for j in met if lo_[j] == hi_[j]]
+            rank = (lambda j: (len(ids[j]), -j)) if samples else (lambda j: (support[j] if exact else mates[j], -j))
+            best = max(exact or met, key=rank)
+            mates[best], expected[best] = mates[met].max(), expected[met].max()
+            if samples:
+                ids[best] = frozenset().union(*(ids[j] for j in met))
             if not exact:
-                rows[best] |= {"lo": lo, "hi": hi}
-            for j in met:
-                gone[j] = j != best
-        return pd.DataFrame([r for r, g in zip(rows, gone) if not g], columns=pdf.columns)
+                lo_[best], hi_[best] = lo, hi
+            gone[met] = True
+            gone[best] = False
+        out = pdf.assign(lo=lo_, hi=hi_, support=support, mates=mates, expected=expected)
+        if samples:
+            out[samples] = pd.Series([sorted(x) for x in ids], index=out.index, dtype=object)
+        return out[~gone]
 
     return df.groupBy(*keys).applyInPandas(run, df.schema)

@@ -135,20 +135,10 @@ def unmatched_place(spark, d):
     return lookups.better_place(links, _panel(spark, d), 200, 20, 30)
 
 
-@query(f"""WITH {ED}, n AS (SELECT DISTINCT a_contig AS contig, a_pos AS pos FROM ed WHERE a_pos % 16 = 0)
- SELECT ed.id, n.pos AS partner_pos, abs(n.pos - ed.b_pos) > 5 AS widened FROM ed JOIN n ON n.contig = ed.b_contig AND abs(n.pos - ed.b_pos) <= 15
- QUALIFY row_number() OVER (PARTITION BY ed.id ORDER BY abs(n.pos - ed.b_pos), n.pos) = 1""")
-def nearest_partner(spark, d):
-    e = edge_view(spark, d)
-    nodes = e.where("a_pos % 16 = 0").select(c("a_contig").alias("contig"), c("a_pos").alias("pos")).distinct()
-    return lookups.nearest_partner(e, nodes, 5)
-
-
 @query(f"""WITH {ED}, n AS (SELECT DISTINCT a_contig AS contig, a_pos AS pos FROM ed)
  SELECT ed.id, n.pos AS partner_pos, abs(n.pos - ed.b_pos) > 5 AS widened FROM ed JOIN n ON n.contig = ed.b_contig AND abs(n.pos - ed.b_pos) <= 15
  QUALIFY row_number() OVER (PARTITION BY ed.id ORDER BY abs(n.pos - ed.b_pos), n.pos) = 1""")
-def nearest_partner_all(spark, d):
-    """As nearest_partner, among all nodes."""
+def nearest_partner(spark, d):
     e = edge_view(spark, d)
     return lookups.nearest_partner(e, e.select(c("a_contig").alias("contig"), c("a_pos").alias("pos")).distinct(), 5)
 
@@ -399,6 +389,14 @@ def defuzz_consensus(spark, d):
     return consensus.defuzz(rows, ["a_contig", "b_contig", "a_right"], 30, 25)
 
 
+@query(None)
+def panel_sweep(spark, d):
+    e = edge_view(spark, d)
+    rows = e.select("a_contig", "b_contig", "a_right", c("a_pos").alias("pos"), c("b_pos").alias("lo"), (c("b_pos") + F.when(c("b_right"), 40).otherwise(0)).alias("hi"), (c("a_pos") % 5).alias("support"), (c("b_pos") % 9).alias("mates"), (c("b_pos") % 6).alias("expected"), F.array_distinct(F.array(c("a_pos") % 11, c("b_pos") % 11)).alias("samples"))
+    out = consensus.defuzz(rows, ["a_contig", "b_contig", "a_right"], 30, 25, samples="samples")
+    return out.withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ","))
+
+
 @query(f"WITH {LO} SELECT DISTINCT contig, pos FROM lo ORDER BY contig DESC, pos")
 def contig_last_first_order(spark, d):
     return locus_view(spark, d).select("contig", "pos").distinct().orderBy(F.desc("contig"), "pos")

@@ -38,6 +38,6 @@ def test_nearest_partner_of_all_nodes(spark):
     nodes = {(e.a_contig, e.a_pos) for e in edges}
     near = sorted(range(-15, 16), key=lambda x: (abs(x), x))
     want = {e.id: next((e.b_pos + x for x in near if (e.b_contig, e.b_pos + x) in nodes), None) for e in edges}
-    got = {r.id: (r.partner_pos, r.widened) for r in registry.QUERIES["nearest_partner_all"](spark, sf).collect()}
+    got = {r.id: (r.partner_pos, r.widened) for r in registry.QUERIES["nearest_partner"](spark, sf).collect()}
     assert got == {e.id: (want[e.id], abs(want[e.id] - e.b_pos) > 5) for e in edges if want[e.id] is not None}
     assert any(p % 16 for p, _ in got.values())

@@ -20,15 +20,12 @@ def reciprocal(edges: DataFrame, within: int) -> DataFrame:
 def partner_status(edges: DataFrame, nodes: DataFrame, within: int) -> DataFrame:
     """id, status of each link: 'two-sided' with a reciprocal link, 'one-sided' with a node at its end, else 'unknown'.
 
-    Both searches find things at a link's end, so they are one band join: links that come from there, and nodes. What a link finds is
-    reduced to one mark before its id is shuffled.
+    What either search finds is a mark; the marks of an id are reduced to the best in the tasks that find them, and joined once.
     """
-    back = edges.select(F.col("a_contig").alias("n_contig"), F.col("a_pos").alias("n_pos"), F.col("b_contig").alias("m_to"), F.col("b_pos").alias("m_b"), F.col("id").alias("n_id"))
-    there = back.unionByName(nodes.select(F.col("contig").alias("n_contig"), F.col("pos").alias("n_pos")), allowMissingColumns=True)
-    met = band_join(edges.select(*EDGE), there, ["b_contig"], "b_pos", "n_pos", within, b_keys=["n_contig"])
-    returns = (F.col("m_to") == F.col("a_contig")) & (F.abs(F.col("a_pos") - F.col("m_b")) <= within) & (F.col("n_id") != F.col("id"))
-    mark = F.when(returns, 2).when(F.col("n_id").isNull(), 1).otherwise(0)
-    best = met.groupBy("id").agg(F.max(mark).alias("best"))
+    two = reciprocal(edges, within).select("id", F.lit(2).alias("mark"))
+    ends = nodes.select(F.col("contig").alias("n_contig"), F.col("pos").alias("n_pos"))
+    one = band_join(edges.select(*EDGE), ends, ["b_contig"], "b_pos", "n_pos", within, b_keys=["n_contig"]).select("id", F.lit(1).alias("mark"))
+    best = two.unionByName(one).groupBy("id").agg(F.max("mark").alias("best"))
     return edges.select("id").join(best, "id", "left").select("id", F.when(F.col("best") == 2, "two-sided").when(F.col("best") == 1, "one-sided").otherwise("unknown").alias("status"))
 
 

@@ -247,7 +247,7 @@ def _encode(path: str, base: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([shard(names, docs, base)], pa.binary())], names=["part", "shard", "n_ids", "payload"])
 
         for batch in batches:
-            for own in slices(batch):
+            for own in slices(batch, 1, 8 << 20):
                 for id_, ids in zip(own.column(0).to_pylist(), encoder.encode(own.column(1))):
                     names.append(id_)
                     docs.append(np.frombuffer(ids, "<u4"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import BYTE_LEVEL, ChunkEncoder, slices, vocabulary
-from .common import documents, trimmed
+from .common import documents, released
 
 
 def byte_names() -> list[str]:
@@ -116,7 +116,7 @@ def byte_pairs(path: str) -> BytePairs:
 def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """id_col, ids (little-endian uint32 binary) and, if asked for, the decoded text."""
 
-    @trimmed
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_pairs(path)
         for batch in batches:

@@ -85,6 +85,20 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
     deleted(spark, made)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a Python worker gives the memory it no longer uses back to the system. Unlike trimmed(), arrays are reused meanwhile, which
+    is faster where there are many of middling size."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return tidy
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, whose Python worker gives memory back to the system when it no longer uses it, for other workers and the JVM.
 

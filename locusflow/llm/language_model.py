@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import slices, split_words
-from .common import documents, dropped, partitions, trimmed, written
+from .common import documents, dropped, partitions, released, written
 from .toxicity import in_fold
 
 HEAD, OFTEN, SPREAD, TAIL, KNOWN = 1500, 50, 10, 500, 400_000
@@ -51,7 +51,7 @@ def modelled(often: int, distinct: int) -> int:
     return max(HEAD, min(often, SPREAD * math.isqrt(distinct)))
 
 
-@trimmed
+@released
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their counts, added up within the task while they fit; the end token is the null word."""
     held, size, ends = [], 0, 0
@@ -175,7 +175,7 @@ _PART = "block long, pairs long, at binary, seen binary, R binary, Q binary, b b
 def _learned(shared):
     """How far a task moves the model by its texts: the rows of R, Q and b that it changes, in blocks of symbols; C as block -1."""
 
-    @trimmed
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, unigram, arrays, turn, passes = shared.value
         own, model, pairs = Symbols(head), LogBilinear(unigram, arrays), 0
@@ -204,7 +204,7 @@ def _learned(shared):
     return run
 
 
-@trimmed
+@released
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over tasks by block: moves of C, Q and b times a task's pairs; for R the mean, weighted by how often a symbol came before."""
     sums: dict[int, list] = {}
@@ -279,7 +279,7 @@ def _score(shared):
     names = [x.split()[0] for x in _SCORED.split(", ")]
     types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
-    @trimmed
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_head, known, base, share, (q, Q, b, log_z), end_base = shared.value
         own = Symbols(known[:n_head])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_encoder, slices, vocabulary
-from .common import documents, trimmed, written
+from .common import documents, released, written
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, within long"
 
@@ -85,7 +85,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def _cut(path: str, capacity: int, end: int | None):
-    @trimmed
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = library_encoder(path, False), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)

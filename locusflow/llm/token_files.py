@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import library_encoder, ragged, slices, vocabulary
-from .common import documents, new_path, partitions, trimmed
+from .common import documents, new_path, partitions, released
 
 SHARD_IDS = 1 << 20
 SHARDS = "part int, shard int, n_ids long, payload binary"
@@ -236,7 +236,7 @@ class Shard:
 
 
 def _encode(path: str, base: int):
-    @trimmed
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = library_encoder(path, True), TaskContext.get().partitionId()
         names: list[int | None] = []
@@ -278,7 +278,7 @@ def read_shards(spark: SparkSession, at: str) -> DataFrame:
     within = sizes.select("part", "shard", F.expr("coalesce(sum(n_ids) over (partition by part order by shard rows between unbounded preceding and 1 preceding), 0)").alias("b"))
     begins = within.join(parts, "part").select("part", "shard", (F.col("a") + F.col("b")).alias("begin"))
 
-    @trimmed
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

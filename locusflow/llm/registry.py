@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ball_kmeans import OP11_SQL, op11_ball_kmeans
 from .bpe import op8_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .jaccard_join import op2_jaccard_join
@@ -15,6 +16,9 @@ from .toxicity import op10_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_jaccard_join, op3_best_fit_packing, op4_pii, op5_suffix_dedup, op6_token_files, op7_quality_rules, op8_bpe, op9_lm_scoring, op10_toxicity)
+    for f in (
+        op1_exact_dedup, op2_jaccard_join, op3_best_fit_packing, op4_pii, op5_suffix_dedup, op6_token_files, op7_quality_rules, op8_bpe, op9_lm_scoring, op10_toxicity,
+        op11_ball_kmeans,
+    )
 }
-SQL = {"op1_exact_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op11_ball_kmeans": OP11_SQL}

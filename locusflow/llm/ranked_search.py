@@ -43,9 +43,9 @@ def length_class(n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
 class Shard:
     """Documents with their forward index, rows of postings by document, and for each term a list of postings by impact."""
 
-    def __init__(self, doc_ids: np.ndarray, counts: np.ndarray, terms: np.ndarray, impact: np.ndarray) -> None:
-        """doc_ids in any order; counts: postings of each document; terms and impact: the postings, by document."""
-        self.doc_ids, self.terms, self.impact = doc_ids, terms, impact
+    def __init__(self, doc_ids: np.ndarray, counts: np.ndarray, terms: np.ndarray, impact: np.ndarray, depth: int = DEPTH) -> None:
+        """doc_ids in any order; counts: postings of each document; terms and impact: the postings, by document; depth: postings of a list read in one round."""
+        self.doc_ids, self.terms, self.impact, self.depth = doc_ids, terms, impact, depth
         self.start = np.append(0, np.cumsum(counts))
         doc = np.repeat(np.arange(len(doc_ids)), counts)
         order = np.lexsort((doc, -impact, terms))
@@ -62,7 +62,7 @@ class Shard:
     def top(self, query: np.ndarray, wanted: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
         """The k best (-score, doc_id) among best and this shard's documents. query: numbers of its terms; wanted: the same as a mask.
 
-        In each round the next DEPTH postings of every list are read and their documents looked up. The threshold is the score of a document
+        In each round the next `depth` postings of every list are read and their documents looked up. The threshold is the score of a document
         with the impacts read last in every list, above which no unseen document comes; once it falls strictly below the kth score, all others lie
         below that, and with it all that might tie. A list at its end adds nothing.
         """
@@ -72,7 +72,7 @@ class Shard:
         lo, hi = self.first[at], self.first[at + 1]
         seen, depth = np.zeros(len(self.doc_ids), bool), 0
         while True:
-            here = np.minimum(hi - lo, depth + DEPTH)
+            here = np.minimum(hi - lo, depth + self.depth)
             read = np.concatenate([self.by_term[a + depth : a + h] for a, h in zip(lo, here) if h > depth] or [np.zeros(0, np.int64)])
             docs = np.unique(read)
             docs = docs[~seen[docs]]
@@ -82,7 +82,7 @@ class Shard:
             good = np.flatnonzero(scores >= floor)
             if len(good):
                 best = sorted(best + list(zip((-scores[good]).tolist(), self.doc_ids[docs[good]].tolist())))[:k]
-            depth += DEPTH
+            depth += self.depth
             threshold = int(self.list_impact[lo + here - 1][hi - lo > depth].sum())
             if not (hi - lo > depth).any() or (len(best) == k and threshold < -best[-1][0]):
                 return best
@@ -110,7 +110,7 @@ def _forward(numbers: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]],
 NO_ID = np.iinfo(np.int64).max
 
 
-def _searched(queries: list[tuple[int, np.ndarray]], weights: np.ndarray, n_docs: int, n_terms: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searched(queries: list[tuple[int, np.ndarray]], weights: np.ndarray, n_docs: int, n_terms: int, k: int, cut: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """item, doc_id, score: the k best documents of a task for each query. Its shards are searched one after the other, each from the kth score so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def _searched(queries: list[tuple[int, np.ndarray]], weights: np.ndarray, n_docs
             counts = col("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             terms, tf = col("terms").flatten().to_numpy(), col("tfs").flatten().to_numpy().astype(np.int64)
             m = length_class(col("n").to_numpy(), n_docs, n_terms)
-            shard = Shard(col("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False), counts, terms, impacts(weights[terms], tf, np.repeat(m, counts)))
+            shard = Shard(col("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False), counts, terms, impacts(weights[terms], tf, np.repeat(m, counts)), depth)
             wanted = np.zeros(len(weights), bool)
             for item, query in queries:
                 wanted[query] = True
@@ -134,7 +134,7 @@ def _searched(queries: list[tuple[int, np.ndarray]], weights: np.ndarray, n_docs
             if b.num_rows:
                 held.append(b)
                 postings += len(b.column("terms").flatten())
-            if postings >= POSTINGS:
+            if postings >= cut:
                 search()
                 held, postings = [], 0
         if held:
@@ -150,7 +150,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("item"), pa.array([sorted(set(terms_of(t.as_py()))) for t in b.column("text")], pa.list_(pa.binary()))], names=["item_id", "item", "terms"])
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, terms: int = TERMS, postings: int = POSTINGS, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """item_col, rank, doc_id, score: the k documents of highest score above 0 for each row of items, ties to the smaller doc_id, null ones last.
 
     A term's weight is floor(1000 * ln((2N + 2) / (2 df + 1))), a document's score the sum over the item's terms, once each, of the weight times
@@ -158,7 +158,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, terms: int = T
     has no rows. Repeated documents rank one by one; repeated items have rows each. Other columns aren't read. Without documents or items there are no rows.
 
     Items are taken in blocks of about so many terms, each of which is a pass over the documents: that bounds what a task and the driver
-    hold. Each pass writes the forward index of the block's terms; its partitions are cut into shards of about a million postings.
+    hold. Each pass writes the forward index of the block's terms; its partitions are cut into shards of about so many postings.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -168,7 +168,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, terms: int = T
     found = None
     for block in range(blocks):
         with passing(spark) as made:
-            got = written(_block(plain, asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block), k), "found")
+            got = written(_block(plain, asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block), k, postings, depth), "found")
             made.remove(got.written_at)
         found = got if found is None else found.unionByName(got)
     # the few rows of a task for an item are merged in two steps, so that one item's rows of all tasks aren't one task's
@@ -178,7 +178,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, terms: int = T
     return rank.join(asked.select("item", "item_id"), "item").select(F.col("item_id").alias(item_col), "rank", "doc_id", "score")
 
 
-def _block(plain: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _block(plain: DataFrame, asked: DataFrame, k: int, postings: int, depth: int) -> DataFrame:
     """item, doc_id, score for the items of one block."""
     rows = asked.select("item", "terms").collect()
     numbers = {t: i for i, t in enumerate(sorted({bytes(t) for r in rows for t in r["terms"]}))}
@@ -188,7 +188,7 @@ def _block(plain: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     df = {r["t"]: r["n"] for r in forward.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = np.array([weight(size["n_docs"], df.get(i, 0)) for i in range(len(numbers))], np.int64)
     hit = forward.where(F.size("terms") > 0)
-    search = _searched(queries, weights, size["n_docs"], size["n_terms"] or 1, k)
+    search = _searched(queries, weights, size["n_docs"], size["n_terms"] or 1, k, postings, depth)
     return hit.mapInArrow(search, "item long, doc_id long, score long").withColumn("doc_id", F.when(F.col("doc_id") < NO_ID, F.col("doc_id")))
 
 

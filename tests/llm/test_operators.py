@@ -55,6 +55,9 @@ def sf(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, 1, int("a" in (t or ""))) for i, t in rows], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    hard = [(None, [0.5] * 64), (1, None), (2, []), (3, [None] * 64), (50, [float("nan")] * 64), (100, [0.25] * 64), (100, [0.25] * 64)]
+    spark.createDataFrame(hard + [(i, [r.gauss(0, 1) for _ in range(64)]) for i in range(110)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(i, t and t[:400]) for i, t in rows], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
@@ -68,6 +71,8 @@ def none(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("none"))
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
@@ -79,11 +84,12 @@ def test_empty_table(spark, none, name):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
-    want, got = con.execute(registry.SQL[name]).df(), registry.QUERIES[name](spark, sf).toPandas()
-    cols = sorted(got.columns)
-    assert cols == sorted(want.columns)
-    assert sorted(map(str, got[cols].values.tolist())) == sorted(map(str, want[cols].values.tolist()))
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')")
+    want, got = con.execute(registry.SQL[name]), registry.QUERIES[name](spark, sf)
+    cols, named = sorted(got.columns), [c[0] for c in want.description]
+    assert cols == sorted(named)
+    assert sorted(str(tuple(r)) for r in got.select(cols).collect()) == sorted(str(tuple(r[named.index(c)] for c in cols)) for r in want.fetchall())
 
 
 def test_dedup_with_colliding_digests(spark, sf):

@@ -138,12 +138,18 @@ def _read_locus(contig_idx: Column, pos: Column, ext_pos: Column, mapq: Column,
 
 def alternative(element: Column, forward: Column, right: Column, contig: Column, pos: Column, isize_max: int = 2000, read_length: int = READ_LENGTH) -> Column:
     """One element of a read's tag, 'contig,pos,strand,cigar,mapq,mismatches', as a locus seen from a break at contig and pos."""
-    f = F.split(element, ",")
-    idx = contig_index(F.get(f, F.lit(0)))
-    at = F.get(f, F.lit(1)).cast("int") + aligned_shift(F.get(f, F.lit(3)))
-    far = F.abs(pos - at)
     most = F.lit(5 * read_length)
-    return _read_locus(idx, at, at, F.get(f, F.lit(4)).cast("int"), right, (F.get(f, F.lit(2)) == "+") != forward, (idx != contig) | (far > isize_max), F.when(idx == contig, F.least(far, most)).otherwise(most))
+
+    def of(g: Column) -> Column:
+        idx, at = g["idx"], g["at"]
+        far = F.abs(pos - at)
+        return _read_locus(idx, at, at, g["mapq"], right, g["plus"] != forward, (idx != contig) | (far > isize_max), F.when(idx == contig, F.least(far, most)).otherwise(most))
+
+    # fields first, so that each is found once
+    fields = F.transform(F.array(F.split(element, ",")), lambda f: F.struct(
+        contig_index(F.get(f, F.lit(0))).alias("idx"), (F.get(f, F.lit(1)).cast("int") + aligned_shift(F.get(f, F.lit(3)))).alias("at"), (F.get(f, F.lit(2)) == "+").alias("plus"), F.get(f, F.lit(4)).cast("int").alias("mapq"),
+    ))
+    return F.transform(fields, of)[0]
 
 
 def read_loci(tag: Column, forward: Column, right: Column, contig: Column, pos: Column, distant_mate: Column, mate_contig: Column, mate_pos: Column, inverted_mate: Column, isize_max: int = 2000, read_length: int = READ_LENGTH) -> Column:

@@ -2,16 +2,89 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from ..functions.sequence import masked_ratio
+
+#: Letters of the three pieces by which sequences are found that differ in at most two letters, by the least length they are for.
+PIECES = {18: 6, 9: 3}
+GROUPED = StructType([StructField("children", ArrayType(ArrayType(IntegerType()))), StructField("short", ArrayType(IntegerType())), StructField("repetitive", IntegerType())])
+
+
+def _alike(a: str, b: str, most: int) -> bool:
+    """Whether b and the start of a differ in no more than so many letters; N is like any."""
+    return a.startswith(b) or sum(x != y and x != "N" and y != "N" for x, y in zip(a, b)) <= most
+
+
+class Parents:
+    """Sequences, read from the break, found by any that agrees with their start but for two letters.
+
+    Of three pieces at the start at least one then agrees letter by letter. Where a piece holds an N, or a sequence is short, all are tried.
+    """
+
+    def __init__(self, most: int = 2) -> None:
+        self.most, self.texts, self.by_piece, self.wild = most, [], defaultdict(list), []
+
+    def add(self, text: str) -> None:
+        k = len(self.texts)
+        self.texts.append(text)
+        for least, n in PIECES.items():
+            if len(text) < least or "N" in text[: 3 * n]:
+                self.wild.append(k)
+            for i in range(3):
+                self.by_piece[n, i, text[i * n : i * n + n]].append(k)
+
+    def of(self, text: str) -> list[int]:
+        """Numbers of those that text agrees with, in order."""
+        n = next((n for least, n in PIECES.items() if len(text) >= least), 0)
+        if self.most > 2 or not n or "N" in text[: 3 * n]:
+            near = range(len(self.texts))
+        else:
+            near = sorted({k for i in range(3) for k in self.by_piece.get((n, i, text[i * n : i * n + n]), ())}.union(self.wild))
+        return [k for k in near if _alike(self.texts[k], text, self.most)]
+
+
+def grouped_overhangs(seqs: list[str], rights: list[bool], solid: list[bool] | None = None, least: int = 20, most: int = 2) -> tuple[list[list[int]], list[int], int]:
+    """(numbers of the children of each parent, its own first; numbers of those too short to be one; how many are left out as repetitive).
+
+    Longest first, of equals in order: a sequence goes to each parent of its side that it matches with at most `most` mismatches; else it is a parent
+    if it has `least` letters. solid: sequences taken whatever their complexity; others are taken if at most half of their letters is masked.
+    """
+    parents, places, children, short, repetitive = {True: Parents(most), False: Parents(most)}, {True: [], False: []}, [], [], 0
+    for i in sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), i)):
+        right = bool(rights[i])
+        text = seqs[i] if right else seqs[i][::-1]
+        met = parents[right].of(text)
+        for k in met:
+            children[places[right][k]].append(i)
+        if met:
+            continue
+        if solid is not None and not solid[i] and not masked_ratio(seqs[i]) <= 0.5:
+            repetitive += 1
+        elif len(text) >= least:
+            places[right].append(len(children))
+            children.append([i])
+            parents[right].add(text)
+        else:
+            short.append(i)
+    return children, short, repetitive
+
+
+@F.pandas_udf(GROUPED)
+def _grouped(seqs: pd.Series, rights: pd.Series, solid: pd.Series) -> pd.DataFrame:
+    rows = [grouped_overhangs(list(s), list(r), list(d)) for s, r, d in zip(seqs, rights, solid)]
+    return pd.DataFrame({"children": [r[0] for r in rows], "short": [r[1] for r in rows], "repetitive": [r[2] for r in rows]})
 
 
-def _differ(a: str, b: str, right: bool) -> int:
-    n = min(len(a), len(b))
-    x, y = (a[:n], b[:n]) if right else (a[len(a) - n :], b[len(b) - n :])
-    return sum(p != q and "N" not in (p, q) for p, q in zip(x, y))
+def overhang_groups(seqs: Column, rights: Column, solid: Column) -> Column:
+    """struct(children, short, repetitive) of grouped_overhangs(), for arrays of a position's reads."""
+    return _grouped(seqs, rights, solid)
 
 
 def cluster_overhangs(df: DataFrame, keys: list[str], seq: str, right: str, order: str, least: int = 20, most: int = 2) -> DataFrame:
@@ -22,15 +95,9 @@ def cluster_overhangs(df: DataFrame, keys: list[str], seq: str, right: str, orde
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parents: list[list] = []
-        rows = pdf.assign(__n=pdf[seq].str.len()).sort_values(["__n", order], ascending=[False, True])
-        for s, r in zip(rows[seq], rows[right]):
-            met = [p for p in parents if p[1] == r and _differ(p[0], s, r) <= most]
-            for p in met:
-                p[2] += 1
-            if not met and len(s) >= least:
-                parents.append([s, r, 1])
-        out = pd.DataFrame(parents, columns=["parent", "right_side", "children"])
+        rows = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        children, _, _ = grouped_overhangs(rows[seq].tolist(), rows[right].tolist(), None, least, most)
+        out = pd.DataFrame([(rows[seq][x[0]], bool(rows[right][x[0]]), len(x)) for x in children], columns=["parent", "right_side", "children"])
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "parent", "right_side", "children"]]

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coverage(df: DataFrame, keys: list[str], start: str, end: str, weights: dict[str, Column] | None = None, width: int = 1 << 16) -> DataFrame:
+def coverage(df: DataFrame, keys: list[str], start: str, end: str, weights: dict[str, Column] | None = None, width: int = 1 << 16, at: DataFrame | None = None) -> DataFrame:
     """keys, pos and a running depth for each weight wherever it may change; intervals are half open.
 
     Intervals become +w at start and -w at end, are summed by position before the shuffle, and added up along the key;
-    they are never spread over their bases. A crowded key is split into bins of `width` positions.
+    they are never spread over their bases. A crowded key is split into bins of `width` positions. at: keys and pos of places for which there is a
+    row in any case; they go along as changes of nothing.
     """
     weights = weights or {"depth": F.lit(1)}
     named = df.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), *(w.cast("long").alias(n) for n, w in weights.items())).where("__s < __e")
     ends = F.explode(F.array(F.struct(F.col("__s").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("__e").alias("pos"), F.lit(-1).alias("sign"))))
     deltas = named.withColumn("__x", ends).groupBy(*keys, F.col("__x.pos").alias("pos")).agg(*(F.sum(F.col(n) * F.col("__x.sign")).alias(n) for n in weights))
+    if at is not None:
+        still = at.select(*keys, "pos", *(F.lit(0).cast("long").alias(n) for n in weights))
+        deltas = deltas.unionByName(still).groupBy(*keys, "pos").agg(*(F.sum(n).alias(n) for n in weights))
     return running_sums(deltas, keys, "pos", list(weights), width)
 
 
@@ -88,7 +92,10 @@ def session_evidence(sessions: DataFrame, keys: list[str], pos: str, source: str
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The first n rows of each key."""
+    """The first n rows of each key. Spark drops rows beyond the limit in each task before it shuffles; limits larger than the session's threshold for that raise it."""
+    threshold = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(df.sparkSession.conf.get(threshold)) < n:
+        df.sparkSession.conf.set(threshold, n)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

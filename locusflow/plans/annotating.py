@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import contigs, partners
 from ..operators import builders, lookups, pairs
 from ..operators.intervals import band_join
 from ..sources.breakpoints import COUNTS
+from .cuts import cut
 
 READ_LENGTH = partners.READ_LENGTH
 c = F.col
@@ -63,17 +62,6 @@ def partnered(bps: DataFrame, within: int = 3 * READ_LENGTH, bins: int = 2048) -
     return link.join(best, ["id", "k"], "left").select("id", "k", "x", c("m.other").alias("other"), c("m.y").alias("y"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the session names: conditions on what the rules give are not to be copied into every rule."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="locusflow-"))
-    return df.checkpoint()
-
-
 def _side(i: int, info: DataFrame, bps: DataFrame) -> DataFrame:
     names = {"contig": f"contig{i}", "at": f"ctg{i}", "pos": f"pos{i}", "b": f"b{i}", "text": f"text{i}", "left_coverage": f"left{i}", "right_coverage": f"right{i}", "hc": f"hc{i}", "ha": f"ha{i}", "panel": f"panel{i}", "gc": f"gc{i}", "control": f"control{i}"}
     return bps.drop("loci").join(info, "id").select(c("id").alias(f"id{i}"), *(c(k).alias(v) for k, v in names.items()))
@@ -105,7 +93,7 @@ def annotated(bps: DataFrame, panel: DataFrame, control: DataFrame | None, n_sam
     there = informed(places, panel, control, 3 * offset).select(c("id").alias("place"), c("hc").alias("hc2"), c("ha").alias("ha2"), F.coalesce("panel", F.array().cast(panel.schema["loci"].dataType)).alias("panel2"), c("gc").alias("gc2"), c("control").alias("control2"))
     lone = lone.join(there, lone["seq"] == there["place"]).withColumns({"contig2": contigs.contig_name(c("x1.contig_idx")), "text2": F.lit(None).cast("string"), "b2": c("b1"), "id2": F.lit(None).cast("long"), "control2": F.coalesce(c("control2").cast(kind), F.array().cast(kind))})
     alone = builders.unknown(lone.drop("y"))
-    every = _cut(shown(both, 2).unionByName(shown(single, 1)).unionByName(shown(alone, 0)))
+    every = cut(shown(both, 2).unionByName(shown(single, 1)).unionByName(shown(alone, 0)))
     passed = every.where((c("reason") == 0) & (c("score") > 0)).withColumn("key", pairs.canonical_key(c("ctg1"), c("pos1"), c("ctg2"), c("pos2"), c("score")))
     w = Window.partitionBy("key").orderBy(F.desc("category"), "seq")
     return passed.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "key")

@@ -31,7 +31,7 @@ def read_alignments(spark: SparkSession, path: str | list[str], isize_max: float
     first = line.select("value", f.alias("f")).withColumn("chr_idx", contigs.contig_index(F.get("f", F.lit(2)))).where(F.col("chr_idx") <= contigs.LAST_CALLED)
     c = F.col
     base = first.select(
-        "chr_idx", F.get("f", F.lit(1)).cast("int").alias("flag"), F.get("f", F.lit(3)).cast("int").alias("start"), F.get("f", F.lit(4)).cast("int").alias("mapq"), F.get("f", F.lit(5)).alias("cigar"), F.get("f", F.lit(6)).alias("rnext"),
+        "chr_idx", F.get("f", F.lit(0)).alias("name"), F.get("f", F.lit(1)).cast("int").alias("flag"), F.get("f", F.lit(3)).cast("int").alias("start"), F.get("f", F.lit(4)).cast("int").alias("mapq"), F.get("f", F.lit(5)).alias("cigar"), F.get("f", F.lit(6)).alias("rnext"),
         F.get("f", F.lit(7)).cast("int").alias("mate_pos"), F.get("f", F.lit(8)).cast("int").alias("tlen"), F.get("f", F.lit(9)).alias("seq"), F.get("f", F.lit(10)).alias("qual"), F.regexp_extract("value", "\tSA:Z:([^\t]+);", 1).alias("sa_tag"),
     )
     n = F.length("seq")
@@ -42,7 +42,7 @@ def read_alignments(spark: SparkSession, path: str | list[str], isize_max: float
     kind = reads.read_class(reads.supplementary(c("flag")), c("mapq"), c("dec.chunks"), medians, reads.quality_median(c("q"), low_quality), n, distant, clip, quality, low_clip, unique_support(c("sa_tag"), c("dec.chunks")))
     mate_idx = F.when(c("rnext") == "=", c("chr_idx")).otherwise(contigs.contig_index(c("rnext")))
     return decoded.select(
-        "chr_idx", "start", c("dec.end").alias("end"), kind.alias("read_type"), (reads.mapq_class(c("mapq")) > 0).alias("low_mapq"), (c("mapq") == 0).alias("null_mapq"),
+        "name", "flag", "chr_idx", "start", c("dec.end").alias("end"), kind.alias("read_type"), (reads.mapq_class(c("mapq")) > 0).alias("low_mapq"), (c("mapq") == 0).alias("null_mapq"),
         reads.supplementary(c("flag")).alias("supplementary"), reads.forward(c("flag")).alias("fwd"), reads.inverted_mate(c("flag")).alias("inverted_mate"), distant.alias("distant_mate"),
         mate_idx.alias("mate_chr_idx"), "mate_pos", (c("sa_tag") != "").alias("has_sa"), "sa_tag", "seq", "qual", "breaks", "overhangs",
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.sequence import masked_ratio
+from .intervals import gap_sessions
 
 #: Letters of the three pieces by which sequences are found that differ in at most two letters, by the least length they are for.
 PIECES = {18: 6, 9: 3}
@@ -107,53 +108,86 @@ def cluster_overhangs(df: DataFrame, keys: list[str], seq: str, right: str, orde
     return clean.groupBy(*keys).applyInPandas(run, f"{kinds}, parent string, right_side boolean, children long")
 
 
+def sweep(pdf: pd.DataFrame, reach: int, pad: int, samples: str | None = None) -> pd.DataFrame:
+    """The rows of one segment that survive, see defuzz()."""
+    pdf = pdf.sort_values(["pos", "lo", "hi", "support"], kind="stable").reset_index(drop=True)
+    pos, lo_, hi_, support, mates, expected = (pdf[k].to_numpy().copy() for k in ("pos", "lo", "hi", "support", "mates", "expected"))
+    ids = [frozenset(x) for x in pdf[samples]] if samples else []
+    n = len(pdf)
+    gone = np.zeros(n, bool)
+    for k in range(n):
+        exact_start = lo_[k] == hi_[k] and not (samples and support[k] < 3)
+        if gone[k] or exact_start:
+            continue
+        lo, hi, met = lo_[k], hi_[k], [k]
+        for step in (1, -1):
+            j = k + step
+            while 0 <= j < n:
+                if not gone[j] and lo_[j] <= hi + pad and hi_[j] >= lo - pad:
+                    met.append(j)
+                    if lo_[j] != hi_[j]:
+                        lo, hi = min(lo, lo_[j]), max(hi, hi_[j])
+                elif abs(pos[j] - pos[k]) > reach:
+                    break
+                j += step
+        exact = [j for j in met if lo_[j] == hi_[j]]
+        rank = (lambda j: (len(ids[j]), -j)) if samples else (lambda j: (support[j] if exact else mates[j], -j))
+        best = max(exact or met, key=rank)
+        mates[best], expected[best] = mates[met].max(), expected[met].max()
+        if samples:
+            ids[best] = frozenset().union(*(ids[j] for j in met))
+        if not exact:
+            lo_[best], hi_[best] = lo, hi
+        gone[met] = True
+        gone[best] = False
+    out = pdf.assign(lo=lo_, hi=hi_, support=support, mates=mates, expected=expected)
+    if samples:
+        out[samples] = pd.Series([sorted(x) for x in ids], index=out.index, dtype=object)
+    return out[~gone]
+
+
+def merged_sessions(lo: list[int], hi: list[int], pad: int) -> list[int]:
+    """Segment number of each session, in order: neighbours whose ranges touch within `pad` are one segment, whose range is that of both."""
+    stack: list[list[int]] = []
+    for k in range(len(lo)):
+        stack.append([k, lo[k], hi[k]])
+        while len(stack) > 1 and stack[-1][1] <= stack[-2][2] + pad and stack[-1][2] >= stack[-2][1] - pad:
+            _, a, b = stack.pop()
+            stack[-1][1:] = [min(a, stack[-1][1]), max(b, stack[-1][2])]
+    first = np.zeros(len(lo), int)
+    first[[s[0] for s in stack]] = 1
+    return (np.cumsum(first) - 1).tolist()
+
+
+def segments(df: DataFrame, keys: list[str], reach: int, pad: int) -> DataFrame:
+    """df with segment: no sweep that starts in one segment of a key gets into another.
+
+    A sweep passes on to a row that lies within `reach` of its start or touches the range it has gathered. So rows more than `reach` apart belong together
+    only if what lies on one side may touch the other: sessions with such gaps are joined to their neighbours while their ranges touch. Only the
+    sessions' ranges of a key are one task's work; there are no more of them than reaches in a contig.
+    """
+    parted = gap_sessions(df, keys, "pos", reach)
+    ranges = parted.groupBy(*keys, "session").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session")
+        return pdf[[*keys, "session"]].assign(segment=merged_sessions(pdf["lo"].tolist(), pdf["hi"].tolist(), pad))
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    named = ranges.groupBy(*keys).applyInPandas(run, f"{kinds}, session long, segment long")
+    return parted.join(named, [*keys, "session"]).drop("session")
+
+
 def defuzz(df: DataFrame, keys: list[str], reach: int, pad: int, samples: str | None = None) -> DataFrame:
     """Partner loci at neighbouring positions that tell of one partner, reduced to one.
 
     Columns: keys (contig of the position, contig and side of the partner), pos, lo, hi (equal if exact), support, mates,
     expected. From each fuzzy locus, in order, the sweep goes outward while neighbours match the growing range or lie within
     `reach` of the start. The best exact locus survives, else the one with most mates with the range; it takes the largest
-    mates and expected. Components more than `reach` apart along pos can still touch through matching ranges, so the whole key
-    is one group.
+    mates and expected. A key's rows are split into segments that no sweep leaves; each is a group of its own.
 
     samples: a panel's array of sample numbers. Then loci with fewer than three splits are swept from too, the best is the one of most samples, and the survivor
     gets the samples of all that were met.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "lo", "hi", "support"], kind="stable").reset_index(drop=True)
-        pos, lo_, hi_, support, mates, expected = (pdf[k].to_numpy().copy() for k in ("pos", "lo", "hi", "support", "mates", "expected"))
-        ids = [frozenset(x) for x in pdf[samples]] if samples else []
-        n = len(pdf)
-        gone = np.zeros(n, bool)
-        for k in range(n):
-            exact_start = lo_[k] == hi_[k] and not (samples and support[k] < 3)
-            if gone[k] or exact_start:
-                continue
-            lo, hi, met = lo_[k], hi_[k], [k]
-            for step in (1, -1):
-                j = k + step
-                while 0 <= j < n:
-                    if not gone[j] and lo_[j] <= hi + pad and hi_[j] >= lo - pad:
-                        met.append(j)
-                        if lo_[j] != hi_[j]:
-                            lo, hi = min(lo, lo_[j]), max(hi, hi_[j])
-                    elif abs(pos[j] - pos[k]) > reach:
-                        break
-                    j += step
-            exact = [j for j in met if lo_[j] == hi_[j]]
-            rank = (lambda j: (len(ids[j]), -j)) if samples else (lambda j: (support[j] if exact else mates[j], -j))
-            best = max(exact or met, key=rank)
-            mates[best], expected[best] = mates[met].max(), expected[met].max()
-            if samples:
-                ids[best] = frozenset().union(*(ids[j] for j in met))
-            if not exact:
-                lo_[best], hi_[best] = lo, hi
-            gone[met] = True
-            gone[best] = False
-        out = pdf.assign(lo=lo_, hi=hi_, support=support, mates=mates, expected=expected)
-        if samples:
-            out[samples] = pd.Series([sorted(x) for x in ids], index=out.index, dtype=object)
-        return out[~gone]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    schema, columns = df.schema, df.columns
+    return segments(df, keys, reach, pad).groupBy(*keys, "segment").applyInPandas(lambda pdf: sweep(pdf[columns], reach, pad, samples), schema)

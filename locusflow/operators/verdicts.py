@@ -185,12 +185,16 @@ def drop_inversions(events: DataFrame, share: float = 0.7, least: int = 300, lea
     return events, level
 
 
+def contamination(kind: Column, score: Column, reason: Column, grade1: Column, grade2: Column) -> Column:
+    """Whether an event may come of foreign sequence: 2 surely, 1 by both sides a little, 0 not."""
+    known = (reason == 0) & (score > 2)
+    return F.when(known & ((kind == "CONTAMINATION") | (grade1 > 1) | (grade2 > 1)), 2).when(known & (grade1 == 1) & (grade2 == 1), 1).otherwise(0)
+
+
 def mark_contamination(events: DataFrame, flag_above: int = 9, act_above: int = 19) -> tuple[DataFrame, bool]:
     """Events with type and score put down where a sample is contaminated, and whether it is. events has grade1, grade2, reason, score."""
     c = F.col
-    known = (c("reason") == 0) & (c("score") > 2)
-    grade = F.when(known & ((c("type") == "CONTAMINATION") | (c("grade1") > 1) | (c("grade2") > 1)), 2).when(known & (c("grade1") == 1) & (c("grade2") == 1), 1).otherwise(0)
-    events = events.withColumn("grade", grade)
+    events = events.withColumn("grade", contamination(c("type"), c("score"), c("reason"), c("grade1"), c("grade2")))
     n = events.agg(F.count_if((c("grade") == 2) & (c("reason") == 0) & (c("score") >= 3)).alias("n")).first()["n"]  # one number
     if n > act_above:
         odd = lambda i: ((c(f"sup{i}") > 19) & (c(f"sec{i}") < 3)) | (c(f"over{i}") > 0.7)

@@ -78,3 +78,81 @@ def test_bins_change_nothing(spark):
     at = reads.select("contig", "start").distinct()
     index = rows(support.running_index(at, ["contig"], "start", 50).select("running_index", "contig", "start"))
     assert [x[1:] for x in index] == sorted(map(tuple, at.collect())) and [x[0] for x in index] == list(range(1, at.count() + 1))
+
+
+MORE = [
+    *TUMOUR[:5], row(4, 80000, "|6:90000(12,6,14/14)"), row(6, 90010, "4:80700|(9,6,12/13)"), row(10, 5000, "|12:7000-7040(0,9,14/14)"),
+    "13\t4000\t4001\t0,0,0,9,0,0,20,0,0,0,0,0\t60,60\t.\t.\t>7_1:|" + "ACGT" * 8 + "(9)",
+]
+
+
+def read_all(spark, at, name, lines):
+    with gzip.open(at / name, "wt") as f:
+        f.write(breakpoints.HEADER + "\n" + "\n".join(lines) + "\n")
+    return breakpoints.read_breakpoints(spark, str(at / name), line_index=True)
+
+
+def test_annotation_of_a_sample(spark, tmp_path):
+    tumour = annotating.positions(read_all(spark, tmp_path, "t.bed.gz", MORE))
+    control = annotating.control_positions(read_all(spark, tmp_path, "c.bed.gz", [row(11, 5), row(1, 10001, "|5:20001(5,5,9/9)"), row(1, 10200, "|5:20100(9,9,9/9)")]))
+    (tmp_path / "panel.bed").write_text("12\t7052\t7053\t2\t0\t0.1\t0.0\tNA\t.\n12\t6000\t6001\t1\t0\t0.1\t0.0\tNA\t.\n")
+    panel = breakpoints.read_panel(spark, str(tmp_path / "panel.bed"), 30).withColumn("at", contigs.contig_index(F.col("contig")))
+    seen = []
+    for n in (1, 16):
+        got = annotating.annotate(tumour.repartition(n), panel, control.repartition(n), 30, control_level=1)
+        got.write(str(tmp_path / f"out{n}"))
+        seen.append([x.strip("\n") for f in sorted((tmp_path / f"out{n}").glob("part-*")) for x in open(f)])
+        assert (got.level, got.foreign) == (0, False)
+    assert seen[0] == seen[1]  # lines and their order don't follow the partitions
+    rows = [x.split("\t") for x in seen[0]]
+    assert rows[0] == ["##13", "3999", "4000", "SOMATIC(0/30):0.000", ">7_1:|" + "ACGT" * 8 + "(9)"] and seen[0][1] == "#controlMassiveInvPrefilteringLevel\t1"
+    events = {(x[0], x[2], x[3], x[4]): x for x in rows[2:]}
+    assert set(events) == {("3", "50000", "8", "59999"), ("2", "30000", "7", "40002"), ("10", "5000", "12", "6999"), ("4", "80000", "6", "90009"), ("6", "90010", "4", "80699")} | ({("1", "10000", "5", "19999")} & set(events))
+    assert events["4", "80000", "6", "90009"][17] == "4:80700|(9,6,12/13)"  # the wider search
+    assert events["10", "5000", "12", "6999"][7] == "UNKNOWN(2/30):0.000"  # the end with more panel hits
+
+
+def test_control_in_doubt_is_left_out(spark, tmp_path):
+    lines = [row(1, 1000, "|1:5000_INV(9,9,9/9)"), row(1, 2000, "|1:5000_INV(9,2,9/9)"), row(1, 3000, "|5:5000(2,2,9/9)"), row(1, 4000, soft=1), row(1, 6000, soft=30)]
+    bps = read_all(spark, tmp_path, "c.bed.gz", lines)
+    kept = lambda level: sorted(r.pos for r in annotating.control_positions(bps, level).collect())
+    assert kept(0) == [1000, 2000, 3000, 4000, 6000] and kept(1) == [1000, 3000, 6000] and kept(2) == [3000, 6000]
+
+
+def test_partners_against_brute_force(spark):
+    r = random.Random(11)
+    loci = []
+    for _ in range(120):
+        pos = r.randrange(9000)
+        wide = r.choice([0, 0, 30, 900, 40_000])
+        loci.append(f"{'|' if r.random() < 0.5 else ''}{r.choice([1, 2, 'MT', 30])}:{pos}{'-' + str(pos + wide) if wide else ''}")
+    text = lambda t: (t if t[0] == "|" else t + "|") + f"({r.randint(0, 3)},{r.randint(0, 3)},{r.choice(['0', '4', '!'])}/{r.randint(0, 9)})"
+    rows = [(i, r.choice(["1", "2"]), p, ";".join(text(r.choice(loci)) for _ in range(r.randint(0, 3))) or ".") for i, p in enumerate(sorted(r.sample(range(9000), 60)))]
+    raw = spark.createDataFrame(rows, "id long, contig string, pos int, text string").withColumn("at", contigs.contig_index(F.col("contig"))).withColumn("loci", breakpoints._loci(F.col("text")))
+    within, size = 303, 2 * int(2.5 * 101)
+    bps = [x.asDict(recursive=True) for x in raw.collect()]
+    gap = lambda x, p: max(0, x["pos"] - p, p - x["ext_pos"])
+    near = lambda a, y, far: a["at"] == y["contig_idx"] and (gap(y, a["pos"]) <= size if y["fuzzy"] else abs(a["pos"] - y["pos"]) <= far)
+    want = []
+    for a in bps:
+        for k, x in enumerate(a["loci"]):
+            if x["suspicious"] or x["support"] + x["secondary"] + x["mates"] < 3 or x["contig_idx"] == 30:
+                continue
+            met = sorted((gap(x, b["pos"]), b["pos"], b["id"], b) for b in bps if b["at"] == x["contig_idx"] and b["id"] != a["id"] and gap(x, b["pos"]) <= within)
+            double = [(a["id"], k, b["id"], j) for *_, b in met for j, y in enumerate([y for y in b["loci"] if not y["suspicious"] and near(a, y, within)])]
+            wide = next((y for y in met[0][3]["loci"] if not y["suspicious"] and near(a, y, 3 * within)), None) if met else None
+            want += double or [(a["id"], k, met[0][2] if met else None, 0 if wide else None)]
+    got = [(x["id"], x["k"], x["other"], x["j"] if x["y"] else None) for x in annotating.partnered(raw, bins=256).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({w[2] is None for w in want}) == 2
+
+
+def test_events_put_down_in_a_contaminated_sample(spark, tmp_path):
+    long = ">1_1:|" + "A" * 80 + "(9)"
+    lines = [line for i in range(25) for line in (row(1, 10_000 + 5000 * i, f"|5:{20_000 + 5000 * i}(9,0,12/13)", over=long), row(5, 20_000 + 5000 * i, f"1:{10_000 + 5000 * i}|(9,6,12/13)"))]
+    lines.sort(key=lambda x: (int(x.split("\t")[0]), int(x.split("\t")[1])))
+    (tmp_path / "panel.bed").write_text("11\t5\t6\t3\t0\t0.1\t0.0\tNA\t.\n")
+    panel = breakpoints.read_panel(spark, str(tmp_path / "panel.bed"), 30).withColumn("at", contigs.contig_index(F.col("contig")))
+    got = annotating.annotate(annotating.positions(read_all(spark, tmp_path, "t.bed.gz", lines)), panel, None, 30)
+    found = [r.line.split("\t") for r in got.events.collect()]
+    assert got.foreign and got.overhangs is None and got.preamble == ["#likelyPathogenInTumor\tTRUE"]
+    assert len(found) == 25 and all(x[8:10] == ["CONTAMINATION", "1"] for x in found)

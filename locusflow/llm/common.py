@@ -42,16 +42,17 @@ _MADE: list[list[str]] = []
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int = 1000, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: later steps neither recompute it nor depend on one executor.
 
-    Meanwhile no more than so many rows go to a Python worker at once, since their texts may be long.
+    by: a column by whose values the table is divided, so that a filter on it reads only its share. Meanwhile no more than so many rows go to a Python worker at once, since their texts may be long.
     """
     spark = df.sparkSession
     path, batch = new_path(spark, name), spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, min(int(batch), rows))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(_BATCH, batch)
     for scope in _MADE:

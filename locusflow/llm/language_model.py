@@ -5,9 +5,10 @@ are words seen at least OFTEN times in the training texts, but no more of them t
 their number follows the corpus while the cost of normalising, the square of it, follows the corpus too. In the
 model the vector of the symbol before, through a matrix, predicts the vector of the next: log p is their product and a
 bias, up to a constant. There is one symbol of context, since the constant of each context is made exactly. Noise-contrastive estimation learns from every pair of
-neighbouring symbols of every training text once, half of the texts in each of ROUNDS rounds; a small corpus is gone through more often, until LEAST_PAIRS
-are seen. Each task learns from its own texts, and after each round the tasks' moves are averaged, so that the cost follows the corpus
-and no task sees it all. Matrix products over all symbols, shared out by row, then normalise. A
+neighbouring symbols of every training text once; a small corpus is gone through more often, until LEAST_PAIRS are seen. How many tasks learn follows the
+corpus, not how the table is split: each takes LEAST_PAIRS a round, for ROUNDS rounds at least, and more rounds where there are no more tasks to be had. After a
+round the tasks' moves are averaged, each symbol's by how often a task met it, and so are the sums by which AdaGrad slows down, which the next round goes on
+with. So the cost follows the corpus and no task sees it all. Matrix products over all symbols, shared out by row, then normalise. A
 word of a tail class has the class's probability times its smoothed share of the class.
 
 Word counts are a distributed table. The modelled words and others, KNOWN at most, go to every task; a text's other words are joined
@@ -120,13 +121,21 @@ class LogBilinear:
     def arrays(self) -> tuple:
         return self.R, self.C, self.Q, self.b
 
-    def begin(self, seed: int) -> None:
-        """Before learning: the sums of AdaGrad, and how often each symbol was learned from as the one before."""
-        self.random, self.sums, self.seen = np.random.default_rng(seed), [np.full_like(x, 1e-3) for x in self.arrays()], np.zeros(len(self.b), np.int64)
+    def begin(self, seed: int, sums: list[np.ndarray] | None = None) -> None:
+        """Before learning: the sums of AdaGrad, by row as they were left or small ones, and how often each symbol came before and after."""
+        self.random, self.seen, self.aims = np.random.default_rng(seed), np.zeros(len(self.b), np.int64), np.zeros(len(self.b), np.int64)
+        self.sums = [np.full_like(x, 1e-3) for x in self.arrays()]
+        for own, left in zip(self.sums, sums or []):
+            own[:] = left.reshape(-1, 1) if own.ndim > 1 else left
+
+    def slowed(self) -> list[np.ndarray]:
+        """The sums of AdaGrad by row."""
+        return [x.reshape(len(x), -1).mean(1) for x in self.sums]
 
     def fit(self, before: np.ndarray, after: np.ndarray, batch: int = 2048, noise: int = 12, pool: int = 128, rate: float = 0.15) -> None:
         """Noise-contrastive estimation with AdaGrad: every pair is learned from once, in random order."""
-        np.add.at(self.seen, before, 1)
+        self.seen += np.bincount(before, minlength=len(self.seen))
+        self.aims += np.bincount(after, minlength=len(self.aims))
         order = self.random.permutation(len(before))
 
         def step(k: int, rows, g: np.ndarray) -> None:
@@ -169,7 +178,7 @@ class LogBilinear:
 
 
 BLOCK = 1024
-_PART = "block long, pairs long, at binary, seen binary, R binary, Q binary, b binary"
+_PART = "block long, pairs long, at binary, seen binary, aims binary, R binary, Q binary, b binary, slow binary"
 
 
 def _learned(shared):
@@ -177,10 +186,10 @@ def _learned(shared):
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, unigram, arrays, turn, passes = shared.value
+        head, unigram, arrays, sums, turn, passes = shared.value
         own, model, pairs = Symbols(head), LogBilinear(unigram, arrays), 0
         task = TaskContext.get()
-        model.begin(1000 * (task.partitionId() if task else 0) + turn)
+        model.begin(1000 * (task.partitionId() if task else 0) + turn, sums)
         for whole in batches:
             for b in slices(whole, 0):
                 named, codes, ends = split_words(b.column(0))
@@ -192,66 +201,93 @@ def _learned(shared):
             return
         old = LogBilinear(unigram, arrays)
         moved = [x - y for x, y in zip(model.arrays(), old.arrays())]
-        rows = [(-1, pairs, b"", b"", moved[1].tobytes(), b"", b"")]
+        slow = model.slowed()
+        rows = [(-1, pairs, b"", b"", b"", moved[1].tobytes(), b"", b"", slow[1].astype("<f4").tobytes())]
         half = lambda x: np.clip(x, -6e4, 6e4).astype(np.float16).tobytes()
+        count = lambda x: x.astype("<f4").tobytes()
+        aims = model.aims / passes + unigram / max(1, unigram.sum()) * pairs  # as a target, and as often as noise
         for k in range(0, len(unigram), BLOCK):
             at = k + np.flatnonzero((model.seen[k : k + BLOCK] > 0) | (moved[2][k : k + BLOCK] != 0).any(1))
             if len(at):
-                rows.append((k // BLOCK, pairs, (at - k).astype(np.int16).tobytes(), model.seen[at].astype("<u4").tobytes(), *(half(x[at]) for x in (moved[0], moved[2], moved[3]))))
+                rows.append((k // BLOCK, pairs, (at - k).astype(np.int16).tobytes(), count(model.seen[at]), count(aims[at]), *(half(x[at]) for x in (moved[0], moved[2], moved[3])), count(np.concatenate([slow[i][at] for i in (0, 2, 3)]))))
         for lo in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64]), (pa.int64(), pa.int64(), *[pa.binary()] * 5))], names=["block", "pairs", "at", "seen", "R", "Q", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64]), (pa.int64(), pa.int64(), *[pa.binary()] * 7))], names=[x.split()[0] for x in _PART.split(", ")])
 
     return run
 
 
+_MOVE = "block long, C binary, R binary, Q binary, b binary, slow binary"
+
+
 @released
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over tasks by block: moves of C, Q and b times a task's pairs; for R the mean, weighted by how often a symbol came before."""
+    """Mean moves by block: of C by a task's pairs, of R by how often a symbol came before, of Q and b by how often it was to be told from others."""
     sums: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            n, k = row["pairs"], row["block"]
+            n, k, slow = row["pairs"], row["block"], np.frombuffer(row["slow"], "<f4").astype(np.float64)
             if k < 0:
-                R = np.frombuffer(row["R"], np.float32).astype(np.float64)
-                own = sums.setdefault(k, [0, np.zeros((1, len(R))), np.zeros((0, 1)), np.zeros(0), np.ones(1)])
-                own[0] += n
-                own[1] += n * R
+                C = np.frombuffer(row["R"], np.float32).astype(np.float64)
+                own = sums.setdefault(k, [0, np.zeros(len(C)), np.zeros(len(slow))])
+                own[0], own[1], own[2] = own[0] + n, own[1] + n * C, own[2] + n * slow
                 continue
             R, Q, b = (np.frombuffer(row[x], np.float16).astype(np.float64) for x in ("R", "Q", "b"))
-            at, seen = np.frombuffer(row["at"], np.int16), np.frombuffer(row["seen"], "<u4").astype(np.float64)
+            at, seen, aims = np.frombuffer(row["at"], np.int16), *(np.frombuffer(row[x], "<f4").astype(np.float64) for x in ("seen", "aims"))
             width = len(R) // len(at)
-            own = sums.setdefault(k, [0, np.zeros((BLOCK, width)), np.zeros((BLOCK, width)), np.zeros(BLOCK), np.zeros(BLOCK)])
-            own[1][at] += R.reshape(-1, width) * seen[:, None]
-            own[2][at] += Q.reshape(-1, width) * n
-            own[3][at] += b * n
+            own = sums.setdefault(k, [np.zeros((BLOCK, width)), np.zeros((BLOCK, width)), np.zeros(BLOCK), np.zeros((3, BLOCK)), np.zeros(BLOCK), np.zeros(BLOCK)])
+            own[0][at] += R.reshape(-1, width) * seen[:, None]
+            own[1][at] += Q.reshape(-1, width) * aims[:, None]
+            own[2][at] += b * aims
+            own[3][:, at] += slow.reshape(3, -1) * np.array([seen, aims, aims])
             own[4][at] += seen
-    for k, (n, R, Q, b, seen) in sums.items():
-        out = [x.tobytes() for x in (R / np.maximum(seen, 1)[:, None], Q, b)]
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=["block", "pairs", "R", "Q", "b"])
+            own[5][at] += aims
+    for k, own in sums.items():
+        if k < 0:
+            out = [own[1] / own[0], np.zeros(0), np.zeros(0), np.zeros(0), own[2] / own[0]]
+        else:
+            seen, aims = np.maximum(own[4], 1e-9), np.maximum(own[5], 1e-9)
+            out = [np.zeros(0), own[0] / seen[:, None], own[1] / aims[:, None], own[2] / aims, own[3] / np.array([seen, aims, aims])]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=[x.split()[0] for x in _MOVE.split(", ")])
+
+
+def tasks_and_rounds(pairs: int, most: int) -> tuple[int, int]:
+    """How many tasks learn at once, `most` of them at most, and how many rounds: each task takes about LEAST_PAIRS a round."""
+    tasks = max(1, min(most, math.ceil(pairs / (ROUNDS * LEAST_PAIRS))))
+    return tasks, max(ROUNDS, math.ceil(pairs / (tasks * LEAST_PAIRS)))
 
 
-def train_model(texts: DataFrame, head: pa.Array, unigram: np.ndarray, rounds: int = ROUNDS) -> tuple:
+def train_model(texts: DataFrame, head: pa.Array, unigram: np.ndarray) -> tuple:
     """R, C, Q, b; texts has one column. In each round every task learns from the pairs of its share of its texts, starting with the mean of the last round."""
     spark, model, (col,) = texts.sparkSession, LogBilinear(unigram), texts.columns
-    passes = max(1, math.ceil(LEAST_PAIRS / max(1, unigram.sum())))  # more than one on a small corpus
+    pairs = int(unigram.sum())
+    passes = max(1, math.ceil(LEAST_PAIRS / max(1, pairs)))  # more than one on a small corpus
+    tasks, rounds = tasks_and_rounds(pairs, partitions(spark))
+    dealt = texts.withColumn("turn", F.pmod(F.xxhash64(col), F.lit(rounds)).cast("int"))
+    if rounds > ROUNDS:  # each round then reads its share only
+        dealt = written(dealt, "turns", by="turn")
+    sums = None
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((head, unigram, model.arrays() if turn else None, turn, passes))
-        share = texts.where(F.pmod(F.xxhash64(col), F.lit(rounds)) == turn)
-        parts = share.mapInArrow(_learned(shared), _PART).repartition(partitions(spark), "block").mapInArrow(_summed, "block long, pairs long, R binary, Q binary, b binary")
-        moves = written(parts, "language-model")
-        pairs = moves.agg(F.sum("pairs")).first()[0]
+        shared = spark.sparkContext.broadcast((head, unigram, model.arrays() if turn else None, sums, turn, passes))
+        share = dealt.where(F.col("turn") == turn).select(col).coalesce(tasks)
+        moves = written(share.mapInArrow(_learned(shared), _PART).repartition(partitions(spark), "block").mapInArrow(_summed, _MOVE), "language-model")
+        sums = sums or [np.full(len(x), 1e-3) for x in model.arrays()]
         for row in moves.toLocalIterator():
-            R, Q, b = (np.frombuffer(row[x]) for x in ("R", "Q", "b"))
+            C, R, Q, b, slow = (np.frombuffer(row[x]) for x in ("C", "R", "Q", "b", "slow"))
             if row["block"] < 0:
-                model.C += (R / pairs).reshape(model.C.shape)
+                model.C += C.reshape(model.C.shape)
+                sums[1] = slow
             else:
                 lo = row["block"] * BLOCK
                 n = min(BLOCK, len(unigram) - lo)
                 model.R[lo : lo + n] += R.reshape(BLOCK, -1)[:n]
-                model.Q[lo : lo + n] += Q.reshape(BLOCK, -1)[:n] / pairs
-                model.b[lo : lo + n] += b[:n] / pairs
+                model.Q[lo : lo + n] += Q.reshape(BLOCK, -1)[:n]
+                model.b[lo : lo + n] += b[:n]
+                for i, x in zip((0, 2, 3), slow.reshape(3, BLOCK)):
+                    sums[i][lo : lo + n] = np.maximum(x[:n], sums[i][lo : lo + n])
         shared.unpersist()
         dropped(moves)
+    if rounds > ROUNDS:
+        dropped(dealt)
     return model.arrays()
 
 

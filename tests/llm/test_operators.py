@@ -20,7 +20,7 @@ from locusflow.llm.chunks import library_encoder, split_words, tokenizer, vocabu
 from locusflow.llm.components import components
 from locusflow.llm.exact_dedup import exact_dedup, kept_documents
 from locusflow.llm.jaccard_join import PrefixTree
-from locusflow.llm.language_model import END, WORDS, LogBilinear, Symbols, _learned, _score, chained, modelled, score_texts, tail_class
+from locusflow.llm.language_model import END, WORDS, LogBilinear, Symbols, _learned, _score, chained, modelled, score_texts, tail_class, tasks_and_rounds
 from locusflow.llm.packing import plan
 from locusflow.llm.pii import _PATTERN, Permutation, Pseudonyms, key_of, pseudonymise
 from locusflow.llm.quality import conditions, ordered, quality_filter
@@ -328,10 +328,38 @@ def test_model_learns_from_every_pair():
     first = m.R.copy()
     m.fit(before, after)
     assert m.seen.tolist() == [3] * 3000 and (m.R != first).any(1).all()
-    shared = SimpleNamespace(value=(pa.array([b"a", b"b"]), np.ones(WORDS + 2), None, 0, 1))
+    shared = SimpleNamespace(value=(pa.array([b"a", b"b"]), np.ones(WORDS + 2), None, None, 0, 1))
     texts = [pa.RecordBatch.from_arrays([pa.array(["a b", None, "b a a zz"] * 40_000)], names=["text"])]
     parts = [row for b in _learned(shared)(iter(texts)) for row in b.to_pylist()]
-    assert {row["pairs"] for row in parts} == {40_000 * 9} == {int(sum(np.frombuffer(row["seen"], "<u4").sum() for row in parts if row["block"] >= 0))}
+    assert {row["pairs"] for row in parts} == {40_000 * 9} == {int(sum(np.frombuffer(row["seen"], "<f4").astype(int).sum() for row in parts if row["block"] >= 0))}
+
+
+def test_score_does_not_follow_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def held_out(n):
+        held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+        part = docs.repartition(n)
+        return score_texts(part, part.where(~held)).where(held).agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+
+    (one, base), (many, _) = held_out(1), held_out(32)
+    assert abs(one - many) < 0.03 and min(one, many) > base + 0.3
+
+
+def test_tasks_and_rounds_follow_the_corpus():
+    assert [tasks_and_rounds(n, 50) for n in (0, 10**6, 5 * 10**6, 66 * 10**6)] == [(1, 2), (1, 2), (2, 2), (14, 2)]
+    tasks, rounds = tasks_and_rounds(10**12, 4000)
+    assert tasks == 4000 and 90 < rounds < 110
+
+
+def test_rounds_read_their_own_shares(spark, monkeypatch):
+    from locusflow.llm import language_model
+
+    seen, train = [], language_model._learned
+    monkeypatch.setattr(language_model, "tasks_and_rounds", lambda pairs, most: (2, 5))
+    monkeypatch.setattr(language_model, "_learned", lambda shared: seen.append(shared.value[4]) or train(shared))
+    docs = spark.createDataFrame([(i, f"a b c {i} d e") for i in range(200)], "doc_id long, text string")
+    assert score_texts(docs, docs).where("score < 0").count() == 200 and seen == [0, 1, 2, 3, 4]
 
 
 def test_pairs_of_texts():

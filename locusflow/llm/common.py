@@ -139,9 +139,9 @@ def id_filter(ids: DataFrame, id_col: str) -> tuple[DataFrame, int] | None:
 
 def maybe_in(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose integer col may be among ids: all that are, and about one in 16 of the others; all rows where ids are too
-    many for a filter of bounded size. It only saves shuffling: an exact join must follow."""
+    many for a filter of bounded size. It only saves shuffling: an exact join must follow. Columns of df may have any names."""
     made = id_filter(ids, id_col)
-    return df if made is None else _tested(df, col, *made).where("coalesce(__in, false)").drop("__in")
+    return df if made is None else _tested(df, col, *made).where(F.coalesce("in", F.lit(False))).select("row.*")
 
 
 def split_by(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> tuple[DataFrame | None, DataFrame]:
@@ -150,13 +150,13 @@ def split_by(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> tuple[Data
     if made is None:
         return None, df
     tested = _tested(df, col, *made)
-    out = F.col("__in").eqNullSafe(False)
-    return tested.where(out).drop("__in"), tested.where(~out).drop("__in")
+    out = F.col("in").eqNullSafe(False)
+    return tested.where(out).select("row.*"), tested.where(~out).select("row.*")
 
 
 def _tested(df: DataFrame, col: str, made: DataFrame, bits: int) -> DataFrame:
-    """df with __in: whether col may be in the filter, null where col is null."""
-    h = F.pmod(F.xxhash64(df[col].cast("long")), F.lit(1 << bits))
-    met = df.withColumn("__h", h).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(made), "__w", "left")
-    bit = F.call_function("getbit", F.col("__b"), F.pmod(F.col("__h"), F.lit(64)).cast("int")) == 1
-    return met.select(*df.columns, F.when(F.col(col).isNotNull(), F.coalesce(bit, F.lit(False))).alias("__in"))
+    """row, a struct of df's columns, and in: whether col may be in the filter, null where col is null."""
+    h = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(1 << bits))
+    met = df.select(F.struct("*").alias("row"), F.col(col).isNotNull().alias("given"), h.alias("h")).withColumn("__w", F.shiftright("h", 6)).join(F.broadcast(made), "__w", "left")
+    bit = F.call_function("getbit", F.col("__b"), F.pmod(F.col("h"), F.lit(64)).cast("int")) == 1
+    return met.select("row", F.when(F.col("given"), F.coalesce(bit, F.lit(False))).alias("in"))

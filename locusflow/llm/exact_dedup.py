@@ -230,15 +230,15 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows whose identifier is surely not among those of copies pass where they are; only the others are joined by identifier
     and text. Where copies are too many for a filter of bounded size, all rows are.
     """
-    sha = lambda: F.sha2(normalised(F.col(text_col)), 256)
-    key = lambda id_, text: F.concat_ws("/", id_, text).alias("__key")
+    key = lambda id_, sha: F.concat_ws("/", id_, sha)
     found = written(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), "kept", F.col("text_sha256").alias("sha")), "kept")
     gone = found.where("not kept").select("id")
-    sure, rest = split_by(docs.withColumn("__id", F.col(id_col).cast("long")), "__id", gone, "id")
+    # the documents go along as one column, so that theirs may have any names
+    sure, rest = split_by(docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id")), "id", gone, "id")
     _, stay = split_by(found.where("kept").select("id", "sha"), "id", gone, "id")
-    rest = rest.withColumn("__key", key(F.col("__id"), sha())).dropDuplicates(["__key"])
-    rest = rest.join(stay.select(key(F.col("id"), F.col("sha"))), "__key", "left_semi").select(docs.columns)
-    return rest if sure is None else sure.select(docs.columns).unionByName(rest)
+    rest = rest.select("doc", key(F.col("id"), F.sha2(normalised(F.col("doc")[text_col]), 256)).alias("key")).dropDuplicates(["key"])
+    rest = rest.join(stay.select(key(F.col("id"), F.col("sha")).alias("key")), "key", "left_semi").select("doc.*")
+    return rest if sure is None else sure.select("doc.*").unionByName(rest)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

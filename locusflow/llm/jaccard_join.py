@@ -538,10 +538,11 @@ def one_of_each(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id"
 
     Rows whose identifier is surely not among those pass where they are; only the others are joined.
     """
-    gone = written(near_duplicates(docs, n, t, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")), "gone")
-    sure, rest = split_by(docs, id_col, gone, "__gone")
-    rest = rest.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return rest if sure is None else sure.unionByName(rest)
+    gone = written(near_duplicates(docs, n, t, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")), "gone")
+    # the documents go along as one column, so that theirs may have any names
+    sure, rest = split_by(docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id")), "id", gone, "gone")
+    rest = rest.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return (rest if sure is None else sure.unionByName(rest)).select("doc.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,11 +84,12 @@ def repeated_words(found: Column) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, in place of columns of those names; others may have any."""
     t = clean(F.col(text_col))
     of_words = _bound(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
-    named = docs.withColumn("__words", of_words)
-    return named.select(*docs.columns, F.col("__words.n").alias("n_words"), word_chars(t).alias("word_chars"), symbol_count(t).alias("n_symbols"), duplicate_lines(t).alias("n_dup_lines"), F.col("__words.r").alias("n_repeat_words"))
+    named = docs.select(F.struct("*").alias("doc"), of_words.alias("words"), word_chars(t).alias("word_chars"), symbol_count(t).alias("n_symbols"), duplicate_lines(t).alias("n_dup_lines"))
+    made = {"n_words": F.col("words.n"), "word_chars": F.col("word_chars"), "n_symbols": F.col("n_symbols"), "n_dup_lines": F.col("n_dup_lines"), "n_repeat_words": F.col("words.r")}
+    return named.select(*(F.col("doc")[k].alias(k) for k in docs.columns if k not in made), *(v.alias(k) for k, v in made.items()))
 
 
 def rules(text: Column, found: Column) -> dict[str, Column]:

@@ -166,7 +166,7 @@ def segments(df: DataFrame, keys: list[str], reach: int, pad: int) -> DataFrame:
     only if what lies on one side may touch the other: sessions with such gaps are joined to their neighbours while their ranges touch. Only the
     sessions' ranges of a key are one task's work; there are no more of them than reaches in a contig.
     """
-    parted = gap_sessions(df, keys, "pos", reach)
+    parted = gap_sessions(df, keys, "pos", reach, width=1 << 16)
     ranges = parted.groupBy(*keys, "session").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

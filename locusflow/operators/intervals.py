@@ -39,10 +39,30 @@ def running_sums(df: DataFrame, keys: list[str], pos: str, names: list[str], wid
     return own.join(before, bins).select(*keys, pos, *((F.col(n) + F.col(f"__b_{n}")).alias(n) for n in names))
 
 
-def neighbour_depth(profile: DataFrame, keys: list[str], depth: str = "depth") -> DataFrame:
-    """Depth just left of each position of a profile, and at it."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    return profile.select(*keys, "pos", F.coalesce(F.lag(depth).over(w), F.lit(0)).alias("left_depth"), F.col(depth).alias("right_depth"))
+def carried(binned: DataFrame, keys: list[str], summary: dict[str, Column], state: dict[str, Column]) -> DataFrame:
+    """binned, rows with __bin, with what the bins before a row's own leave for it.
+
+    Each bin is summed up to one row (summary), those few rows are gone through in order of bins (state, window expressions on the
+    summaries) and joined to the bin's rows. So what depends on all rows before one needs no task that sees all rows of a key.
+    """
+    bins = [*keys, "__bin"]
+    left = binned.groupBy(*bins).agg(*(v.alias(k) for k, v in summary.items())).select(*(F.col(k).alias(f"__s_{i}") for i, k in enumerate(bins)), *(v.alias(k) for k, v in state.items()))
+    on = F.lit(True)
+    for i, k in enumerate(bins):
+        on = on & binned[k].eqNullSafe(left[f"__s_{i}"])
+    return binned.join(left, on).drop(*(f"__s_{i}" for i in range(len(bins))))
+
+
+def _bins_before(keys: list[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy("__bin")
+
+
+def neighbour_depth(profile: DataFrame, keys: list[str], depth: str = "depth", width: int = 1 << 16) -> DataFrame:
+    """Depth just left of each position of a profile, and at it. The first of a bin of `width` positions gets what the bins before it leave."""
+    binned = profile.select(*keys, "pos", F.col(depth).alias("__d")).withColumn("__bin", F.floor(F.col("pos") / width)).repartition(*keys, "__bin")
+    met = carried(binned, keys, {"__last": F.max_by("__d", "pos")}, {"__before": F.lag("__last").over(_bins_before(keys))})
+    own = F.lag("__d").over(Window.partitionBy(*keys, "__bin").orderBy("pos"))
+    return met.select(*keys, "pos", F.coalesce(own, "__before", F.lit(0)).alias("left_depth"), F.col("__d").alias("right_depth"))
 
 
 def band_join(a: DataFrame, b: DataFrame, keys: list[str], a_pos: str, b_pos: str, within: int, how: str = "inner", b_keys: list[str] | None = None) -> DataFrame:
@@ -68,20 +88,43 @@ def band_join(a: DataFrame, b: DataFrame, keys: list[str], a_pos: str, b_pos: st
     return a.join(met, [a[c].eqNullSafe(met[c]) for c in a.columns], how)
 
 
-def watermark_pool(df: DataFrame, key: str, pos: str, left: int, right: int) -> DataFrame:
-    """For each position: the last start not beyond pos + right, and how many starts lie from that less (left + right) to it."""
-    ordered = Window.partitionBy(key).orderBy(pos)
+def watermark_pool(df: DataFrame, key: str, pos: str, left: int, right: int, width: int = 1 << 16) -> DataFrame:
+    """For each position: the last start not beyond pos + right, and how many starts lie from that less (left + right) to it.
+
+    Both look no farther than left + right. So positions go to bins of `width`, and those that near a border to the next bin as well, and each bin is by itself.
+    """
+    halo = left + right
     per = df.groupBy(key, pos).agg(F.count(F.lit(1)).alias("n"))
-    with_mark = per.withColumn("watermark", F.max(pos).over(ordered.rangeBetween(Window.unboundedPreceding, right)))
-    pools = per.select(F.col(key).alias("__k"), F.col(pos).alias("__w"), F.sum("n").over(ordered.rangeBetween(-(left + right), 0)).alias("pool"))
-    return with_mark.join(pools, (F.col(key) == F.col("__k")) & (F.col("watermark") == F.col("__w"))).select(key, pos, "watermark", "pool")
+    bin_of = lambda x: F.floor(x / width)
+    spread = per.withColumn("__bin", F.explode(F.array_distinct(F.array(bin_of(F.col(pos) - halo), bin_of(F.col(pos)), bin_of(F.col(pos) + halo)))))
+    ordered = Window.partitionBy(key, "__bin").orderBy(pos)
+    marked = spread.withColumn("watermark", F.max(pos).over(ordered.rangeBetween(0, right))).withColumn("__pool", F.sum("n").over(ordered.rangeBetween(-halo, 0)))
+    pools = marked.select(F.col(key).alias("__k"), F.col("__bin").alias("__b"), F.col(pos).alias("__w"), F.col("__pool").alias("pool"))
+    own = marked.where(F.col("__bin") == bin_of(F.col(pos)))
+    return own.join(pools, (F.col(key) == F.col("__k")) & (F.col("__bin") == F.col("__b")) & (F.col("watermark") == F.col("__w"))).select(key, pos, "watermark", "pool")
 
 
-def gap_sessions(df: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:
-    """df with a session number within its keys; a gap larger than `gap` begins a new one."""
-    w = Window.partitionBy(*keys).orderBy(pos)
-    new = F.when(F.col(pos) - F.lag(pos).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__new")
+def gap_sessions(df: DataFrame, keys: list[str], pos: str, gap: int, width: int | None = None) -> DataFrame:
+    """df with a session number within its keys; a gap larger than `gap` begins a new one.
+
+    width: keys with many rows, such as contigs, are cut into bins of so many positions. A bin counts its own beginnings, and what the bins before it
+    leave is how many there were and where the last row lay.
+    """
+    fresh = lambda w: F.when(F.col(pos) - F.lag(pos).over(w) > gap, 1).otherwise(0)
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(pos)
+        return df.withColumn("__new", fresh(w)).withColumn("session", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__new")
+    binned = df.withColumn("__bin", F.floor(F.col(pos) / width)).repartition(*keys, "__bin")
+    w = Window.partitionBy(*keys, "__bin").orderBy(pos)
+    marked = binned.withColumn("__new", fresh(w))
+    before = _bins_before(keys)
+    sums = {"__first": F.min(pos), "__last": F.max(pos), "__inner": F.sum("__new")}
+    # where the bin before ends, and how many sessions have begun inside of all bins before; then one more at each border with a gap
+    met = carried(marked, keys, sums, {"__left": F.lag("__last").over(before), "__head": F.col("__first"), "__done": F.coalesce(F.sum("__inner").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    border = F.max(F.when(F.col("__head") - F.col("__left") > gap, 1).otherwise(0))
+    met = carried(met, keys, {"__border": border}, {"__at": F.sum("__border").over(before.rowsBetween(Window.unboundedPreceding, 0))})
+    session = F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)) + F.col("__done") + F.col("__at")
+    return met.withColumn("session", session).select(*df.columns, "session")
 
 
 def session_evidence(sessions: DataFrame, keys: list[str], pos: str, source: str, support: int) -> DataFrame:

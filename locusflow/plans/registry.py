@@ -66,7 +66,7 @@ SESSIONS = f"""WITH {LO}, g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITI
 
 @query(f"{SESSIONS} SELECT contig, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS power FROM s GROUP BY contig, k")
 def gap_sessions(spark, d):
-    s = intervals.gap_sessions(locus_view(spark, d), ["contig"], "pos", 120)
+    s = intervals.gap_sessions(locus_view(spark, d), ["contig"], "pos", 120, width=4096)
     return s.groupBy("contig", "session").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(lit(1)).alias("power")).drop("session")
 
 
@@ -74,7 +74,7 @@ def gap_sessions(spark, d):
  CASE WHEN bool_or(ord % 3 = 2) THEN 3 WHEN bool_or(ord % 3 = 0) AND bool_or(ord % 3 = 1) THEN 2 ELSE 1 END AS evidence FROM s GROUP BY contig, k)
  SELECT * FROM x WHERE evidence > 1 OR power >= 5""")
 def session_evidence(spark, d):
-    s = intervals.gap_sessions(locus_view(spark, d), ["contig"], "pos", 120).withColumn("source", c("ord") % 3)
+    s = intervals.gap_sessions(locus_view(spark, d), ["contig"], "pos", 120, width=4096).withColumn("source", c("ord") % 3)
     return intervals.session_evidence(s, ["contig"], "pos", "source", 5).drop("session")
 
 

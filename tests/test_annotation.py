@@ -69,6 +69,24 @@ def test_bad_rows_end_a_strict_run(spark, tmp_path):
     assert breakpoints.read_list(spark, str(tmp_path / "list")) == ["b.bed", "a.bed"]
 
 
+def test_bins_of_sessions_and_marks_change_nothing(spark):
+    r = random.Random(8)
+    data = [(r.choice([1, 2, None]), r.randrange(-300, 3000), r.randrange(9)) for _ in range(300)]
+    df = spark.createDataFrame(data, "contig int, pos int, n int")
+    rows = lambda x: sorted(map(str, x.collect()))
+    whole = rows(intervals.gap_sessions(df, ["contig"], "pos", 12))
+    assert all(rows(intervals.gap_sessions(df, ["contig"], "pos", 12, width=w)) == whole for w in (5, 40, 700, 1 << 16))
+    known = df.where("contig is not null")
+    counts = {(c, p) for c, p, _ in data if c}
+    starts = {c: sorted(p for k, p, _ in data if k == c) for c in (1, 2)}
+    want = sorted((c, p, m, sum(m - 55 <= x <= m for x in starts[c])) for c, p in counts for m in [max(x for x in starts[c] if x <= p + 25)])
+    for w in (60, 300, 1 << 16):
+        assert sorted(map(tuple, intervals.watermark_pool(known, "contig", "pos", 30, 25, width=w).collect())) == want
+    profile = df.groupBy("contig", "pos").agg(F.max("n").alias("depth"))
+    near = [rows(intervals.neighbour_depth(profile, ["contig"], width=w)) for w in (7, 100, 1 << 16)]
+    assert near[0] == near[1] == near[2]
+
+
 def test_bins_change_nothing(spark):
     r = random.Random(3)
     reads = spark.createDataFrame([(r.randint(1, 2), s, s + r.randint(0, 90)) for s in (r.randint(-300, 900) for _ in range(400))], "contig int, start int, end int")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contigs, loci, numeric
 from ..operators.events import count_repair
+from .formats import NumberedLines, numbered_lines
 
 #: Counts of the fourth column, in order (fixed format).
 COUNTS = ["paired_soft", "paired_hard", "mate_support", "unpaired_soft", "unpaired_hard", "short_indel", "normal_spans", "low_spans_soft", "low_spans_hard", "low_breaks_soft", "low_breaks_hard", "repetitive"]
@@ -31,24 +32,29 @@ def sample_name(path: Column, version: str) -> Column:
 def read_breakpoints(spark: SparkSession, paths: str | list[str], panel_only: bool = True, strict: bool = False, line_index: bool = False) -> DataFrame:
     """Breakpoints of any number of (gzipped) tables, read as one scan; counts beyond the coverage are put right.
 
-    strict: a row without its eight fields ends the run. line_index: adds the place of a row, from 0, among the kept ones of its file; files are read
-    whole, one task each (as gzip is anyway).
+    strict: a row without its eight fields, with a number that is none or a locus out of the grammar ends the run; else what can't be read is null. line_index:
+    paths are single files, one task each, and rows have file_id, their file's place in the list, and line_index, their own among the file's rows.
     """
-    rows = spark.read.text(paths).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("__at"))
+    if line_index:
+        read = numbered_lines(spark, [paths] if isinstance(paths, str) else paths)
+        rows = read.select(F.split("value", "\t").alias("f"), "file", "file_id", "line_index")
+    else:
+        rows = spark.read.text(paths).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"), F.input_file_name().alias("file"))
     if strict:
         rows = rows.withColumn("f", F.when(F.size("f") >= 8, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("a row has not eight fields, in "), "file"))))
     f = lambda k: F.get("f", F.lit(k))
     counts, cover = F.split(f(3), ","), F.split(f(4), ",")
+    number = lambda x: x.try_cast("int")
+    numbers = {"pos": number(f(1))} | {n: number(F.get(counts, F.lit(k))) for k, n in enumerate(COUNTS)} | {f"{side}_coverage": number(F.get(cover, F.lit(k))) for k, side in enumerate(("left", "right"))}
     out = rows.select(
-        "file", "__at", f(0).alias("contig"), contigs.contig_index(f(0)).alias("chr_idx"), f(1).cast("int").alias("pos"), *(F.get(counts, F.lit(k)).cast("int").alias(n) for k, n in enumerate(COUNTS)),
-        F.get(cover, F.lit(0)).cast("int").alias("left_coverage"), F.get(cover, F.lit(1)).cast("int").alias("right_coverage"), (f(5) == "#").alias("missing_info"), _loci(f(5)).alias("double_loci"), _loci(f(6)).alias("single_loci"),
+        *(k for k in rows.columns if k != "f"), f(0).alias("contig"), contigs.contig_index(f(0)).alias("chr_idx"), *(v.alias(k) for k, v in numbers.items()), (f(5) == "#").alias("missing_info"), _loci(f(5)).alias("double_loci"), _loci(f(6)).alias("single_loci"),
         F.when(f(7).isin(".", "#"), None).otherwise(f(7)).alias("overhangs"),
     )
+    if strict:
+        bad = F.exists(F.array(*numbers), lambda x: x.isNull()) | F.exists(F.concat("double_loci", "single_loci"), lambda x: x["pos"].isNull() | x["expected"].isNull())
+        out = out.withColumn("chr_idx", F.when(bad, F.raise_error(F.concat(F.lit("a field cannot be read, at "), "contig", F.lit(":"), F.coalesce(F.col("pos").cast("string"), F.lit("?")), F.lit(", in "), "file"))).otherwise(F.col("chr_idx")).cast("int"))
     out = out.withColumn("panel_idx", contigs.panel_index(F.col("chr_idx"))).withColumns(count_repair("normal_spans", "left_coverage", "right_coverage", "paired_soft", "unpaired_soft"))
-    out = out.where("panel_idx >= 0") if panel_only else out
-    if line_index:
-        out = out.withColumn("line_index", F.row_number().over(Window.partitionBy("file").orderBy("__at")) - 1)
-    return out.drop("__at")
+    return out.where("panel_idx >= 0") if panel_only else out
 
 
 def _line() -> Column:
@@ -69,6 +75,13 @@ def write_breakpoints(df: DataFrame, path: str) -> None:
     header.unionByName(keyed.select(F.col("chr_idx").cast("int"), F.col("pos").cast("int"), "value")).orderBy("chr_idx", "pos").select("value").write.text(path)
 
 
+def write_breakpoint_files(df: DataFrame, path: str) -> None:
+    """df as gzip files of a folder, each a table with header, in order of contig and position from one file to the next; either all of them get there or none."""
+    df.sparkSession.dataSource.register(NumberedLines)
+    ordered = df.select(F.col("chr_idx").cast("int").alias("chr_idx"), F.col("pos").cast("int").alias("pos"), _line().alias("value")).orderBy("chr_idx", "pos")
+    ordered.select("value").write.format("numbered_lines").option("header", HEADER).mode("append").save(path)
+
+
 def panel_file(root: str, n_samples: int) -> str:
     """Name of a panel's file (fixed form)."""
     return f"{root}_{n_samples}_mergedBpCounts.bed"

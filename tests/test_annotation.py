@@ -69,6 +69,32 @@ def test_bad_rows_end_a_strict_run(spark, tmp_path):
     assert breakpoints.read_list(spark, str(tmp_path / "list")) == ["b.bed", "a.bed"]
 
 
+def test_files_are_numbered_and_written_whole(spark, tables, tmp_path):
+    at, *_ = tables
+    paths = [str(at / "c.bed.gz"), str(at / "t.bed.gz")]
+    got = breakpoints.read_breakpoints(spark, paths, line_index=True)
+    assert sorted((r.file_id, r.line_index) for r in got.collect()) == [(0, 0)] + [(1, k) for k in range(6)]
+    out = tmp_path / "files"
+    breakpoints.write_breakpoint_files(got.where("file_id = 1"), str(out))
+    files = sorted(p.name for p in out.iterdir())
+    assert files[-1].endswith(".gz") and "_files.json" in files and not any(f.startswith("_tmp") for f in files)
+    back = breakpoints.read_breakpoints(spark, [str(out / f) for f in files if f.endswith(".gz")], line_index=True)
+    assert [r.value for r in breakpoints.breakpoint_lines(back.orderBy("file_id", "line_index")).collect()] == sorted(TUMOUR, key=lambda x: int(x.split("\t")[0]))
+    with pytest.raises(Exception):
+        broken = got.withColumn("pos", F.when(F.col("contig") == "9", F.raise_error(F.lit("stop"))).otherwise(F.col("pos")))
+        breakpoints.write_breakpoint_files(broken, str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("*.gz")) if (tmp_path / "none").exists() else True
+
+
+def test_every_field_is_checked_in_a_strict_run(spark, tmp_path):
+    good = row(1, 5, "|5:1000(3,2,4/6)")
+    for k, bad in enumerate((good.replace("\t5\t", "\tx\t", 1), good.replace("9,4,8", "9,,8"), good.replace("60,60", "60"), good.replace("(3,2,4/6)", "(3,2/6)"))):
+        (tmp_path / f"{k}.bed").write_text(good + "\n" + bad + "\n")
+        assert breakpoints.read_breakpoints(spark, str(tmp_path / f"{k}.bed")).count() == 2
+        with pytest.raises(Exception, match="cannot be read"):
+            breakpoints.read_breakpoints(spark, str(tmp_path / f"{k}.bed"), strict=True).collect()
+
+
 def test_bins_of_sessions_and_marks_change_nothing(spark):
     r = random.Random(8)
     data = [(r.choice([1, 2, None]), r.randrange(-300, 3000), r.randrange(9)) for _ in range(300)]

@@ -31,7 +31,8 @@ def depth_profile(reads: DataFrame, at: DataFrame | None = None) -> DataFrame:
     good = kind.isin(0, 1, 3, 4)
     whole = reads.select("chr_idx", "start", "end", F.when(good, 1).otherwise(0).alias("coverage"), F.when(good, 1).otherwise(0).alias("normal_spans"), F.when(kind == 5, 1).otherwise(0).alias("low_spans_soft"), F.when((kind == 2) & poor, 1).otherwise(0).alias("low_spans_hard"))
     b = reads.select("chr_idx", "start", kind.alias("kind"), poor.alias("poor"), F.explode("breaks").alias("b"))
-    lost = F.when((c("b.type") == "S") & (c("b.pos") == c("start")), 1).when(c("b.type") == "D", c("b.size"))
+    clipped = (c("b.type") == "S") | ((c("b.type") == "H") & c("kind").isin(2, 5))
+    lost = F.when(clipped & (c("b.pos") == c("start")), 1).when(c("b.type") == "D", c("b.size"))
     less = b.where(lost > 0).select("chr_idx", c("b.pos").alias("start"), (c("b.pos") + lost).alias("end"), F.lit(0).alias("coverage"), *(F.when(w, -1).otherwise(0).alias(n) for n, w in (("normal_spans", c("kind").isin(1, 3)), ("low_spans_soft", c("kind") == 5), ("low_spans_hard", (c("kind") == 2) & c("poor")))))
     names = ["coverage", "normal_spans", "low_spans_soft", "low_spans_hard"]
     return coverage(whole.unionByName(less), ["chr_idx"], "start", "end", {n: c(n) for n in names}, at=at)

@@ -12,7 +12,7 @@ from .adapters import edges as edge_view
 from .adapters import intervals as interval_view
 from .adapters import loci as locus_view
 from .event_view import EV, EVENT
-from . import event_queries, partner_queries, read_view
+from . import event_queries, partner_queries, read_view, table_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -415,3 +415,4 @@ def _add(queries: dict, sql: dict[str, str]) -> None:
 _add(partner_queries.QUERIES, partner_queries.SQL)
 _add(event_queries.QUERIES, event_queries.sql(SQL, UNKNOWN_SCORE, SCORED))
 _add(read_view.QUERIES, read_view.SQL)
+_add(table_queries.QUERIES, table_queries.SQL)

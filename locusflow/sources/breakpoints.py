@@ -57,7 +57,8 @@ def read_breakpoints(spark: SparkSession, paths: str | list[str], panel_only: bo
     return out.where("panel_idx >= 0") if panel_only else out
 
 
-def _line() -> Column:
+def line_of() -> Column:
+    """A row as a line of a breakpoint table."""
     listed = lambda name: F.when(F.col("missing_info"), "#").when(F.size(name) == 0, ".").otherwise(F.array_join(F.transform(name, lambda x: loci.format_locus(x)), ";"))
     over = F.when(F.col("missing_info"), "#").otherwise(F.coalesce("overhangs", F.lit(".")))
     return F.concat_ws("\t", "contig", "pos", F.col("pos") + 1, F.concat_ws(",", *COUNTS), F.concat_ws(",", "left_coverage", "right_coverage"), listed("double_loci"), listed("single_loci"), over)
@@ -65,12 +66,12 @@ def _line() -> Column:
 
 def breakpoint_lines(df: DataFrame) -> DataFrame:
     """value: lines of a breakpoint table."""
-    return df.select(_line().alias("value"))
+    return df.select(line_of().alias("value"))
 
 
 def write_breakpoints(df: DataFrame, path: str) -> None:
     """df as text in order of contig and position, the header first."""
-    keyed = df.select("chr_idx", "pos", _line().alias("value"))
+    keyed = df.select("chr_idx", "pos", line_of().alias("value"))
     header = df.sparkSession.createDataFrame([(-1, -1, HEADER)], "chr_idx int, pos int, value string")
     header.unionByName(keyed.select(F.col("chr_idx").cast("int"), F.col("pos").cast("int"), "value")).orderBy("chr_idx", "pos").select("value").write.text(path)
 
@@ -78,7 +79,7 @@ def write_breakpoints(df: DataFrame, path: str) -> None:
 def write_breakpoint_files(df: DataFrame, path: str) -> None:
     """df as gzip files of a folder, each a table with header, in order of contig and position from one file to the next; either all of them get there or none."""
     df.sparkSession.dataSource.register(NumberedLines)
-    ordered = df.select(F.col("chr_idx").cast("int").alias("chr_idx"), F.col("pos").cast("int").alias("pos"), _line().alias("value")).orderBy("chr_idx", "pos")
+    ordered = df.select(F.col("chr_idx").cast("int").alias("chr_idx"), F.col("pos").cast("int").alias("pos"), line_of().alias("value")).orderBy("chr_idx", "pos")
     ordered.select("value").write.format("numbered_lines").option("header", HEADER).mode("append").save(path)
 
 

@@ -215,7 +215,7 @@ def emitted(bps: DataFrame, support: int = 5) -> DataFrame:
     return made.where(F.col("__as") != "none").withColumn("missing_info", F.col("__as") == "bare").select(*bps.columns, "missing_info")
 
 
-def build_panel(bps: DataFrame, n_samples: int) -> DataFrame:
+def build_panel(bps: DataFrame, n_samples: int, read_length: int = partners.READ_LENGTH) -> DataFrame:
     """Population frequency of breakpoints: contig, panel_idx, pos, file_ids, ratios, loci. bps: read_breakpoints() with file_id.
 
     One aggregation by contig and position over all files; no table with a slot for each base.
@@ -232,5 +232,29 @@ def build_panel(bps: DataFrame, n_samples: int) -> DataFrame:
     of_file = F.array_sort(F.collect_list(F.struct("file_id", own.alias("loci"))), lambda a, b: F.when(a["file_id"] < b["file_id"], -1).when(a["file_id"] > b["file_id"], 1).otherwise(0))
     made = rows.groupBy("contig", "panel_idx", "pos").agg(F.collect_set("file_id").alias("files"), F.collect_list("ratio").alias("ratios"), of_file.alias("of_file"))
     made = made.withColumn("merged", support_ops.merged_list(F.flatten(F.transform("of_file", lambda x: x["loci"])), ids=True))
+    made = _swept(cut(made.drop("of_file")), read_length)
     counted = F.transform("merged", lambda x: x.withField("support", F.size(x["ids"])).dropFields("ids"))
-    return made.select("contig", "panel_idx", "pos", F.array_sort(F.array_union("files", F.flatten(F.transform("merged", lambda x: x["ids"])))).alias("file_ids"), "ratios", counted.alias("loci"))
+    # a position that only loci spoke for goes with the last of them
+    return made.where((F.size("ratios") > 0) | (F.size("merged") > 0)).select("contig", "panel_idx", "pos", F.array_sort(F.array_union("files", F.flatten(F.transform("merged", lambda x: x["ids"])))).alias("file_ids"), "ratios", counted.alias("loci"))
+
+
+def _swept(made: DataFrame, read_length: int) -> DataFrame:
+    """Panel positions whose loci are reduced to one where neighbours tell of one partner: that of most samples stays, with the samples of all."""
+    c = F.col
+    keys = ["panel_idx", "contig_idx", "right_side", "inverted"]
+    long = lambda x: x.cast("long")
+    each = made.select("panel_idx", long(c("pos")).alias("pos"), F.posexplode("merged").alias("k", "x"))
+    each = each.select("pos", "k", "panel_idx", *(c(f"x.{k}").alias(k) for k in keys[1:]), long(c("x.pos")).alias("lo"), long(c("x.ext_pos")).alias("hi"), long(c("x.support")).alias("support"), long(c("x.mates")).alias("mates"), long(c("x.expected")).alias("expected"), c("x.ids").alias("ids"))
+    kept = consensus.defuzz(each, keys, 3 * read_length, 2 * partners.wide(read_length), samples="ids")
+    lists = kept.groupBy("panel_idx", "pos").agg(F.array_sort(F.collect_list(F.struct("k", *(c(k).cast("int").alias(k) for k in ("lo", "hi", "mates", "expected")), "ids"))).alias("__kept"))
+    x = lambda p: F.get("merged", p["k"])
+    kind = made.schema["merged"].dataType.elementType
+
+    def new(p: Column) -> Column:
+        out = x(p)
+        for name, value in {"pos": "lo", "ext_pos": "hi", "mates": "mates", "expected": "expected", "ids": "ids"}.items():
+            out = out.withField(name, p[value].cast(kind[name].dataType))
+        return out
+
+    none = F.filter("merged", lambda y: F.lit(False))
+    return made.join(lists, ["panel_idx", "pos"], "left").withColumn("merged", F.when(c("__kept").isNull(), none).otherwise(F.transform("__kept", new))).drop("__kept")

@@ -46,3 +46,15 @@ def test_panel(spark, tmp_path):
     (tmp_path / "panel.bed").write_text("\n".join("\t".join(x) for x in lines) + "\n")
     back = breakpoints.read_panel(spark, str(tmp_path / "panel.bed"), 3)
     assert sorted((r.contig, r.hits) for r in back.collect()) == [("1", 3), ("Y", 2), ("Y", 2), ("Y", 2)]
+
+
+def test_panel_reduces_loci_of_neighbours(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    line = lambda pos, at, soft: f"1\t{pos}\t{pos + 1}\t{soft},0,0,3,0,0,90,1,0,0,0,0\t99,99\t.\t|5:{at}(6,1,9/9)\t.\n"
+    for k, (pos, at) in enumerate(((1000, 9000), (1010, 9050), (1020, 9100), (9000, 50000))):
+        (tmp_path / f"{k}.bed").write_text(line(pos, at, 20 if k in (1, 3) else 0))
+    bps = breakpoints.read_breakpoints(spark, [str(tmp_path / f"{k}.bed") for k in range(4)]).withColumn("file_id", F.regexp_extract("file", r"(\d)\.bed", 1).cast("int"))
+    got = {r.pos: (r.file_ids, [(x.pos, x.ext_pos, x.support) for x in r.loci]) for r in calling.build_panel(bps, 4).collect()}
+    # the first of three near ones takes in the samples of all; a position that stood for its locus alone goes, one with breaks of its own stays
+    assert got == {1000: ([0, 1, 2], [(9000, 9000, 3)]), 1010: ([1], []), 9000: ([3], [(50000, 50000, 1)])}

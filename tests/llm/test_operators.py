@@ -1,6 +1,7 @@
 """Operators on a small table with hard rows, against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import registry
+from locusflow.llm import jaccard_join, registry
 from locusflow.llm.bpe import byte_pairs
 from locusflow.llm.chunks import library_encoder, split_words, tokenizer, vocabulary
 from locusflow.llm.components import components
@@ -576,3 +577,40 @@ def test_toxicity_held_out(spark):
 def test_quality_keeps_columns(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_words", F.lit("x"))
     assert quality_filter(d).columns == d.columns
+
+
+def test_common_elements_of_unlinked_texts(spark, monkeypatch):
+    """Notices that differ in a late word, and texts made of parts that many share, of which some are alike enough to link."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    r = random.Random(11)
+    notice = [f"w{i}" for i in range(30)]
+    texts = [" ".join(notice[:at] + [f"v{i}"] + notice[at + 1 :]) for i in range(60) for at in [r.choice([4, 20, 29])]]
+    parts = [[f"p{k}x{i}" for i in range(r.choice([6, 9, 25]))] for k in range(8)]
+    texts += [" ".join(sum((parts[k] for k in sorted(r.sample(range(8), r.randint(2, 7)))), [f"u{i}"] * r.randint(0, 3))) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, x.split()) for i, x in enumerate(texts))}
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert len({c for _, c in got.values()}) > 20
+
+
+def test_partnered_keeps_every_posting_that_may_link(spark):
+    r = random.Random(3)
+    rows = [(r.choice([5, 6]), i, n, r.randint(0, n // 4), r.choice([1, 2, i])) for i in range(250) for n in [r.choice([4, 9, 16, 26, 200, 230, r.randint(95, 400)])]]
+    cols = "element long, a long, b long, place int, component long"
+    got = {(x.element, x.a) for x in jaccard_join._partnered(spark.createDataFrame(rows, cols), 75).collect()}
+    fits = lambda x, y: jaccard_join._may_link(*(np.array([v]) for v in (x[2], x[3], y[2], y[3])), 75)[0]
+    want = {x[:2] for x in rows if any(x[0] == y[0] and x[4] != y[4] and fits(x, y) for y in rows)}
+    assert want <= got
+    assert len(got) < len(rows)

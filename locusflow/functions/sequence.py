@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,52 +28,65 @@ def mismatches(a: Column, b: Column, right: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.aggregate(differ, F.lit(0), lambda s, x: s + x))
 
 
-def dust_intervals(seq: str, window: int = 64, threshold: int = 20) -> list[tuple[int, int]]:
-    """Masked stretches (first, last base) of a sequence of A, C, G and T by symmetric DUST.
+def masked_bases(bases: np.ndarray, window: int = 64, threshold: int = 20) -> np.ndarray:
+    """Whether each base is masked by symmetric DUST; bases are 0 to 3, and 4 between pieces, which no interval crosses.
 
     An interval is masked if its triplets score above the threshold, ten times the pairs of equal triplets over their
-    number less one, and no part of it scores more, within a window.
+    number less one, and no part of it scores more, within a window. All intervals of one length are scored at once, from
+    those that are a triplet shorter: the pairs of one without its first triplet, and that triplet's equals.
+    """
+    n = len(bases)
+    if n < 3:
+        return np.zeros(n, bool)
+    gaps = np.r_[np.flatnonzero(bases == 4), n]
+    at = np.arange(n - 2)
+    room = gaps[np.searchsorted(gaps, at)] - 2 - at  # triplets from here to the piece's end
+    code = (bases[:-2].astype(np.int16) << 4) + (bases[1:-1].astype(np.int16) << 2) + bases[2:]
+    equal = pairs = np.zeros(n - 2, np.int64)
+    most = np.zeros(n - 2)
+    edges = np.zeros(n + 1, np.int64)
+    for more in range(1, min(window - 2, int(room.max()))):  # triplets beside the first
+        m = n - 2 - more
+        equal = equal[:m] + (code[:m] == code[more:])
+        pairs = pairs[1 : m + 1] + equal
+        score, inner = pairs / more, np.maximum(most[:m], most[1 : m + 1])
+        hit = np.flatnonzero((10 * pairs > threshold * more) & (score >= inner) & (room[:m] > more))
+        edges[hit] += 1
+        edges[hit + more + 3] -= 1
+        most = np.maximum(score, inner)
+    return np.cumsum(edges[:n]) > 0
+
+
+def masked_ratios(seqs: list[str], held: int = 1 << 20) -> np.ndarray:
+    """Masked share of each sequence; pieces between N are masked each, other letters are skipped; NaN if nothing is left.
+
+    Sequences are masked together, as many at once as have about `held` letters; a longer one goes by itself.
     """
-    codes = [("ACGT".index(a) << 4) | ("ACGT".index(b) << 2) | "ACGT".index(c) for a, b, c in zip(seq, seq[1:], seq[2:])]
-    perfect: deque[tuple[int, int, int, int]] = deque()
-    masked: list[tuple[int, int]] = []
-    most = window - 2
-    for last in range(len(codes)):
-        first = max(0, last - most + 1)
-        counts, pairs, best = [0] * 64, 0, (0, 1)
-        inner = [(s, r, n) for s, e, r, n in perfect if s >= first]
-        perfect = deque(p for p in perfect if p[0] >= first)
-        for at in range(last, first - 1, -1):
-            c = codes[at]
-            pairs += counts[c]
-            counts[c] += 1
-            n = last - at
-            if n and 10 * pairs > threshold * n:
-                for s, r, m in inner:
-                    if s >= at and r * best[1] > best[0] * m:
-                        best = (r, m)
-                if pairs * best[1] >= best[0] * n:
-                    best = (pairs, n)
-                    perfect.append((at, last, pairs, n))
-                    inner.append((at, pairs, n))
-                    a, b = at, last + 2
-                    while masked and masked[-1][1] + 1 >= a and masked[-1][0] <= b:
-                        x, y = masked.pop()
-                        a, b = min(a, x), max(b, y)
-                    masked.append((a, b))
-    return sorted(masked)
+    out = np.full(len(seqs), np.nan)
+    upper = [s.upper() for s in seqs]
+    sizes = np.array([len(s) + 1 for s in upper], np.int64)
+    block = np.cumsum(sizes) // held
+    for b in np.unique(block).tolist():
+        lo, hi = np.searchsorted(block, b), np.searchsorted(block, b, "right")
+        letters = np.frombuffer(("N".join(upper[lo:hi]) + "N").encode("ascii", "replace"), np.uint8)
+        known = _LETTERS[letters]
+        row, bases = np.repeat(np.arange(hi - lo), sizes[lo:hi])[known < 5], known[known < 5]
+        real = bases < 4
+        total = np.bincount(row[real], minlength=hi - lo)
+        hit = np.bincount(row[real & masked_bases(bases)], minlength=hi - lo)
+        out[lo:hi][total > 0] = hit[total > 0] / total[total > 0]
+    return out
 
 
 def masked_ratio(seq: str) -> float:
-    """Masked share of a sequence; pieces between N are masked each, other letters are skipped; NaN if nothing is left."""
-    total = hit = 0
-    for piece in seq.upper().split("N"):
-        piece = "".join(c for c in piece if c in "ACGT")
-        total += len(piece)
-        hit += sum(b - a + 1 for a, b in dust_intervals(piece))
-    return hit / total if total else float("nan")
+    return float(masked_ratios([seq])[0])
+
+
+#: A, C, G, T are 0 to 3, N is 4, and what is skipped 5.
+_LETTERS = np.full(256, 5, np.uint8)
+_LETTERS[np.frombuffer(b"ACGTN", np.uint8)] = np.arange(5)
 
 
 @F.pandas_udf(DoubleType())
 def dust_ratio(seq: pd.Series) -> pd.Series:
-    return seq.map(lambda s: masked_ratio(s or "")).astype("float64")
+    return pd.Series(masked_ratios([s or "" for s in seq]))

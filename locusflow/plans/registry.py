@@ -369,7 +369,16 @@ def overhang_mismatch(spark, d):
     return table(spark, d, "part").select("p_partkey", sequence.mismatches(c("p_type"), c("p_brand"), c("p_size") % 2 == 0).alias("mismatches"))
 
 
-@query(None)
+@query("""WITH RECURSIVE seqs AS (SELECT item_id, regexp_replace(upper(coalesce(text, '')), '[^ACGTN]', '', 'g') AS seq FROM benchmark),
+ pieces AS (SELECT item_id, k, string_split(seq, 'N')[k] AS piece FROM (SELECT item_id, seq, unnest(range(1, len(string_split(seq, 'N')) + 1)) AS k FROM seqs)),
+ cells AS (SELECT item_id, k, piece, unnest(range(1, length(piece) - 1)) AS beg, 0 AS more, 0 AS equal, 0 AS pairs, 0.0::DOUBLE AS most, FALSE AS hit FROM pieces
+  UNION ALL SELECT item_id, k, piece, beg, more + 1, now, left_out + now, greatest(most, beside, (left_out + now)::DOUBLE / (more + 1)),
+   10 * (left_out + now) > 20 * (more + 1) AND (left_out + now)::DOUBLE / (more + 1) >= greatest(most, beside)
+  FROM (SELECT *, lead(pairs) OVER w AS left_out, lead(most) OVER w AS beside, equal + CAST(substr(piece, beg, 3) = substr(piece, beg + more + 1, 3) AS INT) AS now
+   FROM cells WHERE more < 61 WINDOW w AS (PARTITION BY item_id, k ORDER BY beg)) WHERE left_out IS NOT NULL),
+ masked AS (SELECT item_id, count(*) AS hit FROM (SELECT DISTINCT item_id, k, unnest(range(beg, beg + more + 3)) AS base FROM cells WHERE hit) GROUP BY item_id),
+ totals AS (SELECT item_id, sum(length(piece)) AS total FROM pieces GROUP BY item_id)
+ SELECT item_id, CASE WHEN total > 0 THEN round(coalesce(hit, 0)::DOUBLE / total, 6) ELSE -1.0 END AS masked FROM totals LEFT JOIN masked USING (item_id)""")
 def dust_ratio(spark, d):
     seq = F.regexp_replace(F.upper(F.coalesce("text", lit(""))), "[^ACGTN]", "")
     return table(spark, d, "benchmark").select("item_id", F.coalesce(F.round(F.nanvl(sequence.dust_ratio(seq), lit(None)), 6), lit(-1.0)).alias("masked"))
@@ -402,9 +411,12 @@ def contig_last_first_order(spark, d):
     return locus_view(spark, d).select("contig", "pos").distinct().orderBy(F.desc("contig"), "pos")
 
 
-@query("SELECT l_partkey, l_suppkey, printf('%.3f', n / 16.0) AS share FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)")
+@query("""SELECT l_partkey, l_suppkey, printf('%.3f', n / 16.0) AS share, printf('%.3f', price / n / 7.0) AS part, printf('%.5f', -price / 4096.0) AS fine
+ FROM (SELECT l_partkey, l_suppkey, count(*) AS n, CAST(max(l_extendedprice) AS DOUBLE) AS price FROM lineitem GROUP BY ALL)""")
 def fixed_text(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").count().select("l_partkey", "l_suppkey", numeric.fixed3(c("count") / 16.0).alias("share"))
+    rows = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(lit(1)).alias("n"), F.max("l_extendedprice").cast("double").alias("price"))
+    part, fine = numeric.fixed3(c("price") / c("n") / 7.0), numeric.fixed5(-c("price") / 4096.0)
+    return rows.select("l_partkey", "l_suppkey", numeric.fixed3(c("n") / 16.0).alias("share"), part.alias("part"), fine.alias("fine"))
 
 
 def _add(queries: dict, sql: dict[str, str]) -> None:

@@ -1,6 +1,7 @@
 """Functions on fixtures worked out by hand, and against sequential versions."""
 
 import random
+from fractions import Fraction
 
 import pandas as pd
 import pytest
@@ -77,15 +78,38 @@ def test_quality_run(spark):
     assert [r[0] for r in df.select(reads.quality_median(F.col("q"))).collect()] == [-1.0, 40.0, -1.0]
 
 
+def plain_dust(seq):
+    """All intervals of up to 62 triplets; those above the threshold of which no part scores more are masked."""
+    t, masked = [seq[i : i + 3] for i in range(len(seq) - 2)], set()
+    score = {}
+    for a in range(len(t)):
+        for b in range(a + 1, min(len(t), a + 62)):
+            score[a, b] = Fraction(sum(t[i] == t[j] for i in range(a, b + 1) for j in range(a, i)), b - a)
+    most = {}
+    for a, b in sorted(score, key=lambda x: x[1] - x[0]):
+        inner = max(most.get((a, b - 1), 0), most.get((a + 1, b), 0))
+        if score[a, b] > 2 and score[a, b] >= inner:
+            masked |= set(range(a, b + 3))
+        most[a, b] = max(inner, score[a, b])
+    return masked
+
+
 def test_dust():
-    assert sequence.masked_ratio("A" * 40) == 1.0
-    assert sequence.masked_ratio("AC") == 0.0
-    assert sequence.masked_ratio("") != sequence.masked_ratio("")
+    ratio = lambda *s: sequence.masked_ratios(list(s)).tolist()
+    assert ratio("A" * 40, "AC", "acgx") == [1.0, 0.0, 0.0]
+    assert all(x != x for x in ratio("", "N", "xyz", "NNN"))
+    assert ratio() == []
     r = random.Random(1)
     noise = "".join(r.choice("ACGT") for _ in range(60))
-    assert sequence.masked_ratio(noise) < 0.3
-    a, b = sequence.dust_intervals(noise + "CA" * 30 + noise)[0]
-    assert a <= 66 and b >= 113
+    assert ratio(noise)[0] < 0.3
+    seqs = [noise + "CA" * 30 + noise, "A" * 100, "ACG" * 30, "TTTTTT", "TTTTT"]
+    seqs += ["".join(r.choice(["A", "C", "AC", "GGG", "TTTA", "T"]) for _ in range(r.randint(1, 40))) for _ in range(25)]
+    want = [len(plain_dust(s)) / len(s) for s in seqs]
+    assert 0 < sum(0 < x < 1 for x in want)
+    assert ratio(*seqs) == want
+    assert sequence.masked_ratios(seqs, held=50).tolist() == want
+    x, y = seqs[0], seqs[7]
+    assert ratio(f"{x}N{y}", f"{x[:9]}x{x[9:]}") == [(len(plain_dust(x)) + len(plain_dust(y))) / len(x + y), want[0]]
 
 
 def test_sessions(spark):

@@ -391,6 +391,22 @@ def greedy_overhangs(spark, d):
     return consensus.cluster_overhangs(rows.where("length(seq) > 0"), ["locus"], "seq", "right", "item_id")
 
 
+@query("""WITH RECURSIVE seqs AS (SELECT p_partkey // 400 AS locus, p_partkey % 2 = 0 AS right_side, p_partkey, p_name || 'N' || p_type || 'N' || p_brand AS seq FROM part),
+ ranked AS (SELECT locus, right_side, CASE WHEN right_side THEN seq ELSE reverse(seq) END AS seq, row_number() OVER (PARTITION BY locus, right_side ORDER BY length(seq) DESC, p_partkey) AS k FROM seqs),
+ steps AS (SELECT DISTINCT locus, right_side, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(seq VARCHAR, n BIGINT)[]) AS parents FROM ranked
+  UNION ALL SELECT locus, right_side, k, CASE WHEN NOT list_contains(met, TRUE) THEN CASE WHEN length(seq) >= 20 THEN list_append(parents, {'seq': seq, 'n': 1}) ELSE parents END
+   ELSE list_transform(parents, lambda p, i: {'seq': p.seq, 'n': p.n + CAST(met[i] AS BIGINT)}) END
+  FROM (SELECT steps.locus, steps.right_side, ranked.k, seq, parents,
+    list_transform(parents, lambda p: len(list_filter(range(1, length(seq) + 1), lambda i: p.seq[i] <> seq[i] AND p.seq[i] <> 'N' AND seq[i] <> 'N')) <= 2) AS met
+   FROM steps JOIN ranked ON ranked.locus = steps.locus AND ranked.right_side = steps.right_side AND ranked.k = steps.k + 1)),
+ last AS (SELECT locus, right_side, unnest(parents) AS p FROM (SELECT locus, right_side, arg_max(parents, k) AS parents FROM steps GROUP BY ALL))
+ SELECT locus, right_side, CASE WHEN right_side THEN p.seq ELSE reverse(p.seq) END AS parent, p.n AS children FROM last""")
+def overhang_clusters(spark, d):
+    seq = F.concat_ws("N", "p_name", "p_type", "p_brand")
+    rows = table(spark, d, "part").select(F.expr("p_partkey div 400").alias("locus"), "p_partkey", seq.alias("seq"), (c("p_partkey") % 2 == 0).alias("right"))
+    return consensus.cluster_overhangs(rows, ["locus"], "seq", "right", "p_partkey")
+
+
 @query(None)
 def defuzz_consensus(spark, d):
     e = edge_view(spark, d)

@@ -6,24 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed3
-from .intervals import band_join
+from .intervals import band_join, best_within
 
 
 def nearby_hits(rows: DataFrame, panel: DataFrame, row_id: str, within: int, close: int) -> DataFrame:
     """row_id, hits, close_hits, gap: the most hits of a panel position less than `within` away, the most of one at most
     `close` away (0 if there is none), and how far the best one lies (null if none; the nearer, then the left one, of equals).
 
-    rows: row_id, contig, pos; row_id tells rows apart. panel: contig, pos, hits. Hits are reduced by row in the task that
-    finds them before they are shuffled.
+    rows: row_id, contig, pos; row_id tells rows apart. panel: contig, pos, hits. Positions are looked up once each, left and right of them apart, where
+    the best is the one with most hits that lies last or first.
     """
-    marks = panel.select("contig", F.col("pos").alias("p_pos"), F.col("hits").alias("p_hits"))
-    met = band_join(rows.select(row_id, "contig", "pos"), marks, ["contig"], "pos", "p_pos", within - 1)
-    off = F.col("p_pos") - F.col("pos")
-    best = met.groupBy(row_id).agg(
-        F.max(F.struct(F.col("p_hits").alias("hits"), (-F.abs(off)).alias("near"), (-off).alias("left"))).alias("b"),
-        F.max(F.when(F.abs(off) <= close, F.col("p_hits"))).alias("close"),
-    )
-    return rows.select(row_id).join(best, row_id, "left").select(row_id, F.coalesce("b.hits", F.lit(0)).alias("hits"), F.coalesce("close", F.lit(0)).alias("close_hits"), (-F.col("b.left")).alias("gap"))
+    c = F.col
+    ranges = {"l": (within - 1, 0, F.struct("hits", "pos")), "r": (0, within - 1, F.struct("hits", (-c("pos")).alias("pos"))), "close": (close, close, c("hits"))}
+    met = rows.select(row_id, "contig", "pos").join(best_within(rows, panel, ["contig"], ranges), ["contig", "pos"], "left")
+    one = lambda k, off: F.when(c(k).isNotNull(), F.struct(c(k)["hits"].alias("hits"), (-F.abs(off)).alias("near"), (-off).alias("left")))
+    best = met.withColumn("b", F.greatest(one("l", c("l.pos") - c("pos")), one("r", -c("r.pos") - c("pos"))))
+    return best.select(row_id, F.coalesce("b.hits", F.lit(0)).alias("hits"), F.coalesce("close", F.lit(0)).alias("close_hits"), (-c("b.left")).alias("gap"))
 
 
 def better_place(links: DataFrame, panel: DataFrame, within: int, close: int, wide: int) -> DataFrame:

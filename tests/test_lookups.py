@@ -1,5 +1,7 @@
 """Lookups at their edges: distances that just count, ties, nothing to find, empty tables."""
 
+import random
+
 from locusflow.operators import lookups
 from locusflow.plans import adapters, registry
 
@@ -41,3 +43,40 @@ def test_nearest_partner_of_all_nodes(spark):
     got = {r.id: (r.partner_pos, r.widened) for r in registry.QUERIES["nearest_partner"](spark, sf).collect()}
     assert got == {e.id: (want[e.id], abs(want[e.id] - e.b_pos) > 5) for e in edges if want[e.id] is not None}
     assert any(p % 16 for p, _ in got.values())
+
+
+def test_lookups_against_brute_force(spark):
+    """Dense marks with few different values, so that ties and ends of blocks come up everywhere."""
+    rng = random.Random(5)
+    rows = [(k, k % 2, rng.randrange(-40, 300)) for k in range(300)]
+    panel = {(contig, pos): rng.randrange(1, 4) for contig in (0, 1) for pos in rng.sample(range(-60, 330), 120)}
+    marks = spark.createDataFrame([(*at, hits) for at, hits in panel.items()], PANEL)
+    for within, close in ((1, 0), (2, 1), (7, 3), (40, 12)):
+        hits = lambda contig, pos, far: [(-panel[contig, pos + off], abs(off), off) for off in range(-far, far + 1) if (contig, pos + off) in panel]
+        want = {k: (-min(hits(c, p, within - 1), default=(0,))[0], -min(hits(c, p, close), default=(0,))[0], min(hits(c, p, within - 1), default=(None,))[-1]) for k, c, p in rows}
+        assert {r.id: (r.hits, r.close_hits, r.gap) for r in lookups.nearby_hits(spark.createDataFrame(rows, ROWS), marks, "id", within, close).collect()} == want
+
+
+def rows_made(df, kind):
+    """The most rows that an operator of a kind has given out in the run of df."""
+    df.collect()
+    plan, met = df._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
+
+    def walk(node):
+        if hasattr(node, "plan") and node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+        if kind in node.nodeName() and node.metrics().contains("numOutputRows"):
+            met.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(plan)
+    return max(met)
+
+
+def test_lookups_make_no_pairs(spark):
+    """Rows of one place near many panel positions: no join gives more rows than there are rows to look up."""
+    rows = spark.range(2000).selectExpr("id", "1 AS contig", "CAST(id % 50 AS INT) AS pos")
+    panel = spark.range(400).selectExpr("1 AS contig", "CAST(id - 200 AS INT) AS pos", "id % 7 AS hits")
+    assert rows_made(lookups.nearby_hits(rows, panel, "id", 600, 50), "Join") <= 2000

@@ -30,9 +30,9 @@ def better_place(links: DataFrame, panel: DataFrame, within: int, close: int, wi
     links: id, contig, lo, hi. A range wider than `wide` has two candidates, its ends; the one with more hits stays, the low one of equals.
     """
     ends = F.explode(F.when(F.col("hi") - F.col("lo") > wide, F.array("lo", "hi")).otherwise(F.array("lo")))
-    places = links.select("id", "contig", ends.alias("pos")).withColumn("place", F.struct("id", "contig", "pos"))
-    hits = nearby_hits(places, panel, "place", within, close)
-    best = hits.groupBy("place.id").agg(F.max(F.struct("hits", (-F.col("place.pos")).alias("p"))).alias("b"))
+    places = links.select("id", "contig", ends.alias("pos"))
+    met = places.join(best_within(places, panel, ["contig"], {"hits": (within - 1, within - 1, F.col("hits"))}), ["contig", "pos"], "left")
+    best = met.groupBy("id").agg(F.max(F.struct(F.coalesce("hits", F.lit(0)).alias("hits"), (-F.col("pos")).alias("p"))).alias("b"))
     return best.select("id", (-F.col("b.p")).alias("pos"), F.col("b.hits").alias("hits"))
 
 

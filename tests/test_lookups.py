@@ -79,4 +79,6 @@ def test_lookups_make_no_pairs(spark):
     """Rows of one place near many panel positions: no join gives more rows than there are rows to look up."""
     rows = spark.range(2000).selectExpr("id", "1 AS contig", "CAST(id % 50 AS INT) AS pos")
     panel = spark.range(400).selectExpr("1 AS contig", "CAST(id - 200 AS INT) AS pos", "id % 7 AS hits")
+    links = rows.selectExpr("id", "contig", "pos AS lo", "pos + 100 AS hi")
     assert rows_made(lookups.nearby_hits(rows, panel, "id", 600, 50), "Join") <= 2000
+    assert rows_made(lookups.better_place(links, panel, 200, 20, 30), "Join") <= 4000

@@ -42,10 +42,12 @@ def nearest_partner(edges: DataFrame, nodes: DataFrame, within: int, widened: in
 
     edges: id, b_contig, b_pos. nodes: contig, pos.
     """
-    ends = nodes.select(F.col("contig").alias("n_contig"), F.col("pos").alias("n_pos"))
-    met = band_join(edges.select("id", "b_contig", "b_pos"), ends, ["b_contig"], "b_pos", "n_pos", widened * within, b_keys=["n_contig"])
-    best = met.groupBy("id").agg(F.min(F.struct(F.abs(F.col("b_pos") - F.col("n_pos")).alias("far"), F.col("n_pos").alias("pos"))).alias("b"))
-    return best.select("id", F.col("b.pos").alias("partner_pos"), (F.col("b.far") > within).alias("widened"))
+    c, reach = F.col, widened * within
+    ends = edges.select("id", c("b_contig").alias("contig"), c("b_pos").alias("pos"))
+    met = ends.join(best_within(ends, nodes, ["contig"], {"l": (reach, 0, c("pos")), "r": (0, reach, -c("pos"))}), ["contig", "pos"])
+    one = lambda at: F.when(at.isNotNull(), F.struct(F.abs(c("pos") - at).alias("far"), at.alias("pos")))
+    best = met.select("id", F.least(one(c("l")), one(-c("r"))).alias("b")).where(c("b").isNotNull())
+    return best.select("id", c("b.pos").alias("partner_pos"), (c("b.far") > within).alias("widened"))
 
 
 def conservative_hits(rows: DataFrame, panel: DataFrame, row_id: str, close: int, rare: float) -> DataFrame:

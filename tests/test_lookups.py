@@ -55,6 +55,9 @@ def test_lookups_against_brute_force(spark):
         hits = lambda contig, pos, far: [(-panel[contig, pos + off], abs(off), off) for off in range(-far, far + 1) if (contig, pos + off) in panel]
         want = {k: (-min(hits(c, p, within - 1), default=(0,))[0], -min(hits(c, p, close), default=(0,))[0], min(hits(c, p, within - 1), default=(None,))[-1]) for k, c, p in rows}
         assert {r.id: (r.hits, r.close_hits, r.gap) for r in lookups.nearby_hits(spark.createDataFrame(rows, ROWS), marks, "id", within, close).collect()} == want
+    near = {k: min(((abs(off), p + off) for off in range(-6, 7) if (c, p + off) in panel), default=None) for k, c, p in rows}
+    got = lookups.nearest_partner(spark.createDataFrame(rows, "id long, b_contig int, b_pos int"), marks, 2).collect()
+    assert {r.id: (r.partner_pos, r.widened) for r in got} == {k: (x[1], x[0] > 2) for k, x in near.items() if x}
 
 
 def rows_made(df, kind):
@@ -80,5 +83,7 @@ def test_lookups_make_no_pairs(spark):
     rows = spark.range(2000).selectExpr("id", "1 AS contig", "CAST(id % 50 AS INT) AS pos")
     panel = spark.range(400).selectExpr("1 AS contig", "CAST(id - 200 AS INT) AS pos", "id % 7 AS hits")
     links = rows.selectExpr("id", "contig", "pos AS lo", "pos + 100 AS hi")
+    edges = rows.selectExpr("id", "contig AS b_contig", "pos AS b_pos")
     assert rows_made(lookups.nearby_hits(rows, panel, "id", 600, 50), "Join") <= 2000
     assert rows_made(lookups.better_place(links, panel, 200, 20, 30), "Join") <= 4000
+    assert rows_made(lookups.nearest_partner(edges, panel, 50), "Join") <= 2000

@@ -2,7 +2,7 @@
 
 import random
 
-from locusflow.operators import lookups
+from locusflow.operators import lookups, pairs
 from locusflow.plans import adapters, registry
 
 ROWS, PANEL, LINKS = "id long, contig int, pos int", "contig int, pos int, hits long", "id long, contig int, lo int, hi int"
@@ -87,3 +87,23 @@ def test_lookups_make_no_pairs(spark):
     assert rows_made(lookups.nearby_hits(rows, panel, "id", 600, 50), "Join") <= 2000
     assert rows_made(lookups.better_place(links, panel, 200, 20, 30), "Join") <= 4000
     assert rows_made(lookups.nearest_partner(edges, panel, 50), "Join") <= 2000
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(7)
+    links = [(k, rng.randrange(2), rng.randrange(-30, 90), rng.randrange(2), rng.randrange(-30, 90)) for k in range(400)]
+    edges = spark.createDataFrame(links, "id long, a_contig int, a_pos int, b_contig int, b_pos int")
+    nodes = spark.createDataFrame([(x[1], x[2]) for x in links[:20]], "contig int, pos int")
+    for within in (0, 1, 5):
+        want = {(x[0], y[0]) for x in links for y in links if x[0] != y[0] and (x[1], x[3]) == (y[3], y[1]) and abs(x[4] - y[2]) <= within and abs(x[2] - y[4]) <= within}
+        assert sorted(map(tuple, pairs.reciprocal(edges, within).collect())) == sorted(want)
+        two, one = {x for x, _ in want}, {x[0] for x in links if any(x[3] == y[1] and abs(x[4] - y[2]) <= within for y in links[:20])}
+        got = dict(map(tuple, pairs.partner_status(edges, nodes, within).collect()))
+        assert got == {x[0]: "two-sided" if x[0] in two else "one-sided" if x[0] in one else "unknown" for x in links}
+
+
+def test_partner_status_makes_no_pairs(spark):
+    """Each of 1000 links one way has 1000 back within reach."""
+    edges = spark.range(2000).selectExpr("id", "CAST(id % 2 AS INT) AS a_contig", "CAST(id % 5 AS INT) AS a_pos", "CAST((id + 1) % 2 AS INT) AS b_contig", "CAST(id % 7 AS INT) AS b_pos")
+    nodes = edges.selectExpr("a_contig AS contig", "a_pos AS pos")
+    assert rows_made(pairs.partner_status(edges, nodes, 20), "Join") <= 4 * 2000

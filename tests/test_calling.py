@@ -2,10 +2,13 @@
 
 import math
 import random
+import statistics
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from locusflow.functions import reads
 from locusflow.functions.sequence import masked_ratio
 from locusflow.operators import evidence
 from locusflow.operators.consensus import Parents, grouped_overhangs
@@ -485,3 +488,25 @@ def test_excluded_regions(spark):
     mates = spark.createDataFrame([(2, 33_139_999), (2, 33_140_000), (2, 33_149_999), (2, 33_150_000), (3, 33_145_000)], "mate_chr_idx int, mate_pos int")
     regions = spark.createDataFrame(calling.EXCLUDED, "contig int, lo int, hi int")
     assert sorted(map(tuple, evidence.excluded(regions, mates, 1000).collect())) == [(2, 33_139_999), (2, 33_150_000), (3, 33_145_000)]
+
+
+def test_text_median(spark):
+    """Qualities as text: as a list of numbers has them, for odd and even lengths, runs of low ones and nothing."""
+    texts = ["I", "IJ", "I#J", "#####III", "######II", "II######", ",,,,,,J", "-----,J", "JI" * 50 + "!", "5" * 7 + "9" * 7, "~!" * 9]
+    df = spark.createDataFrame([(x,) for x in [*texts, "", None]], "t string")
+    got = df.select("t", reads.text_median(F.col("t")).alias("m")).collect()
+
+    def want(t):
+        q = [ord(x) - 33 for x in t or ""]
+        return statistics.median(q) if q and not any(max(q[i : i + 6]) < 12 for i in range(len(q) - 5)) else -1.0
+
+    assert [r.m for r in got] == [want(r.t) for r in got]
+
+
+def test_reads_are_decoded_once(spark, tmp_path):
+    """The lists of a position need one scan of the alignments, and the shuffle takes no whole sequences."""
+    spark.createDataFrame([("r1\t99\t1\t1000\t60\t60M41S\t=\t1150\t250\t" + "ACGT" * 25 + "A\t" + "I" * 101,)], "value string").write.text(str(tmp_path / "sam"))
+    made = evidence.attached_reads(alignments.read_alignments(spark, str(tmp_path / "sam")), ["start", "name", "flag"])
+    assert [(r.pos, r.kind, r.number, r.overhang) for r in made.collect()] == [(1060, "soft", 0, ("ACGT" * 25 + "A")[60:])]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan text") == 1

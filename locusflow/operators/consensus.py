@@ -109,37 +109,58 @@ def cluster_overhangs(df: DataFrame, keys: list[str], seq: str, right: str, orde
 
 
 def sweep(pdf: pd.DataFrame, reach: int, pad: int, samples: str | None = None) -> pd.DataFrame:
-    """The rows of one segment that survive, see defuzz()."""
+    """The rows of one segment that survive, see defuzz(). Rows that a sweep takes are unlinked, so later ones pass over them without a look."""
     pdf = pdf.sort_values(["pos", "lo", "hi", "support"], kind="stable").reset_index(drop=True)
-    pos, lo_, hi_, support, mates, expected = (pdf[k].to_numpy().copy() for k in ("pos", "lo", "hi", "support", "mates", "expected"))
+    at = pdf["pos"].to_numpy()
+    lo_, hi_, support, mates, expected = (pdf[k].tolist() for k in ("lo", "hi", "support", "mates", "expected"))
     ids = [frozenset(x) for x in pdf[samples]] if samples else []
     n = len(pdf)
+    # places just beyond reach of each row, and the rows left on both sides of it
+    first, last = (np.searchsorted(at, at - reach) - 1).tolist(), np.searchsorted(at, at + reach, "right").tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     gone = np.zeros(n, bool)
     for k in range(n):
         exact_start = lo_[k] == hi_[k] and not (samples and support[k] < 3)
         if gone[k] or exact_start:
             continue
         lo, hi, met = lo_[k], hi_[k], [k]
-        for step in (1, -1):
-            j = k + step
-            while 0 <= j < n:
-                if not gone[j] and lo_[j] <= hi + pad and hi_[j] >= lo - pad:
-                    met.append(j)
-                    if lo_[j] != hi_[j]:
-                        lo, hi = min(lo, lo_[j]), max(hi, hi_[j])
-                elif abs(pos[j] - pos[k]) > reach:
-                    break
-                j += step
+        low, high = lo - pad, hi + pad
+        beyond, i, j = last[k], k, after[k]
+        while j < n and (j < beyond or j == max(i + 1, beyond)):  # beyond reach, a row that is gone ends the sweep as well
+            if lo_[j] <= high and hi_[j] >= low:
+                met.append(j)
+                if lo_[j] != hi_[j]:
+                    lo, hi = min(lo, lo_[j]), max(hi, hi_[j])
+                    low, high = lo - pad, hi + pad
+            elif j >= beyond:
+                break
+            i, j = j, after[j]
+        beyond, i, j = first[k], k, before[k]
+        while j >= 0 and (j > beyond or j == min(i - 1, beyond)):
+            if lo_[j] <= high and hi_[j] >= low:
+                met.append(j)
+                if lo_[j] != hi_[j]:
+                    lo, hi = min(lo, lo_[j]), max(hi, hi_[j])
+                    low, high = lo - pad, hi + pad
+            elif j <= beyond:
+                break
+            i, j = j, before[j]
         exact = [j for j in met if lo_[j] == hi_[j]]
         rank = (lambda j: (len(ids[j]), -j)) if samples else (lambda j: (support[j] if exact else mates[j], -j))
         best = max(exact or met, key=rank)
-        mates[best], expected[best] = mates[met].max(), expected[met].max()
+        mates[best], expected[best] = max(mates[j] for j in met), max(expected[j] for j in met)
         if samples:
             ids[best] = frozenset().union(*(ids[j] for j in met))
         if not exact:
             lo_[best], hi_[best] = lo, hi
-        gone[met] = True
-        gone[best] = False
+        for j in met:
+            if j != best:
+                gone[j] = True
+                a, b = before[j], after[j]
+                if a >= 0:
+                    after[a] = b
+                if b < n:
+                    before[b] = a
     out = pdf.assign(lo=lo_, hi=hi_, support=support, mates=mates, expected=expected)
     if samples:
         out[samples] = pd.Series([sorted(x) for x in ids], index=out.index, dtype=object)
@@ -163,10 +184,12 @@ def segments(df: DataFrame, keys: list[str], reach: int, pad: int) -> DataFrame:
     """df with segment: no sweep that starts in one segment of a key gets into another.
 
     A sweep passes on to a row that lies within `reach` of its start or touches the range it has gathered. So rows more than `reach` apart belong together
-    only if what lies on one side may touch the other: sessions with such gaps are joined to their neighbours while their ranges touch. Only the
-    sessions' ranges of a key are one task's work; there are no more of them than reaches in a contig.
+    only if what lies on one side may touch the other: sessions with such gaps are joined to their neighbours while their ranges touch. Sessions are made
+    of positions with the range of their rows, so that rows are only dealt to their position. Only the sessions' ranges of a key are one task's work;
+    there are no more of them than reaches in a contig.
     """
-    parted = gap_sessions(df, keys, "pos", reach, width=1 << 16)
+    spots = df.groupBy(*keys, "pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    parted = gap_sessions(spots, keys, "pos", reach, width=1 << 16)
     ranges = parted.groupBy(*keys, "session").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +198,11 @@ def segments(df: DataFrame, keys: list[str], reach: int, pad: int) -> DataFrame:
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     named = ranges.groupBy(*keys).applyInPandas(run, f"{kinds}, session long, segment long")
-    return parted.join(named, [*keys, "session"]).drop("session")
+    of_spot = parted.join(named, [*keys, "session"]).select(*(F.col(k).alias(f"__{k}") for k in (*keys, "pos")), "segment")
+    on = F.col("pos").eqNullSafe(F.col("__pos"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return df.join(of_spot, on).select(*df.columns, "segment")
 
 
 def defuzz(df: DataFrame, keys: list[str], reach: int, pad: int, samples: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sweeps over vague loci: segments against whole keys, and the reduced loci of a table."""
 
 import random
+import sys
 
 import pandas as pd
 import pytest
@@ -39,3 +40,23 @@ def test_sessions_that_touch_over_others():
     assert consensus.merged_sessions([0, 100, 20, 500], [10, 120, 101, 501], 9) == [0, 1, 1, 2]
     assert consensus.merged_sessions([0, 100, 5, 500], [10, 120, 101, 501], 9) == [0, 0, 0, 1]
     assert consensus.merged_sessions([], [], 3) == []
+
+
+def test_work_follows_rows_where_loci_are_dense():
+    # 100 places of 40 loci each, all within reach of each other: rows that are taken are not looked at again
+    data = [(1, k % 29, 1000 * (k // 40), 1000 * (k // 40) + 30, 1, k % 7, k % 5) for k in range(4000)]
+    steps = 0
+
+    def local(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return local
+
+    df = pd.DataFrame(data, columns=["key", "pos", "lo", "hi", "support", "mates", "expected"])
+    sys.settrace(lambda frame, event, arg: local if frame.f_code.co_name == "sweep" else None)
+    try:
+        out = consensus.sweep(df, 30, 15)
+    finally:
+        sys.settrace(None)
+    assert len(out) == 100 and (out["mates"] == 6).all() and (out["expected"] == 4).all()
+    assert steps < 400 * len(data)

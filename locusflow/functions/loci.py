@@ -13,22 +13,25 @@ GRAMMAR = r"^(\|?)([^:|]+):(\d+)(?:-(\d+))?(_INV)?(\|?)\((\d+),(\d+),(?:(\d+)(\?
 def parse_locus(text: Column) -> Column:
     """The grammar is matched once, into fields; where it doesn't match, texts are empty and numbers null."""
     fields = F.split(F.regexp_replace(text, GRAMMAR, "$1\t$2\t$3\t$4\t$5\t$6\t$7\t$8\t$9\t$10\t$11\t$12\t$13"), "\t")
+    none = F.array(*[F.lit("")] * 13)
 
-    def of(f: Column) -> Column:
-        good = F.size(f) == 13
-        g = lambda k: F.when(good, F.get(f, F.lit(k - 1))).otherwise("")
-        number = lambda k: g(k).try_cast("int")
-        pos, end = number(3), F.coalesce(number(4), number(3))
-        support, secondary, expected = number(7), number(8), number(12)
-        fuzzy, suspicious = pos != end, g(11) == "!"
+    def stored(f: Column) -> Column:
+        g = lambda k: F.get(f, F.lit(k - 1))
+        number = lambda k: F.when(g(k) != "", g(k).try_cast("int"))
         return F.struct(
-            g(2).alias("contig"), contig_index(g(2)).alias("contig_idx"), pos.alias("pos"), end.alias("ext_pos"), (g(1) == "|").alias("right_side"),
-            (g(5) != "").alias("inverted"), support.alias("support"), secondary.alias("secondary"), F.coalesce(number(9), F.lit(0)).alias("mates"),
-            expected.alias("expected"), suspicious.alias("suspicious"), (g(10) == "?").alias("semi_suspicious"), (g(13) == "#").alias("error_prone"),
-            fuzzy.alias("fuzzy"), (fuzzy | (support + secondary < 3)).alias("strict_fuzzy"), (suspicious | (expected > 0)).alias("distant"),
+            g(2).alias("contig"), contig_index(g(2)).alias("contig_idx"), number(3).alias("pos"), number(4).alias("end"), (g(1) == "|").alias("right_side"), (g(5) != "").alias("inverted"), number(7).alias("support"), number(8).alias("secondary"),
+            F.coalesce(number(9), F.lit(0)).alias("mates"), number(12).alias("expected"), (g(11) == "!").alias("suspicious"), (g(10) == "?").alias("semi_suspicious"), (g(13) == "#").alias("error_prone"),
         )
 
-    return F.transform(F.array(fields), of)[0]
+    def of(x: Column) -> Column:
+        return F.struct(
+            x["contig"].alias("contig"), x["contig_idx"].alias("contig_idx"), x["pos"].alias("pos"), F.coalesce(x["end"], x["pos"]).alias("ext_pos"),
+            *(x[k].alias(k) for k in ("right_side", "inverted", "support", "secondary", "mates", "expected", "suspicious", "semi_suspicious", "error_prone")), (x["pos"] != F.coalesce(x["end"], x["pos"])).alias("fuzzy"),
+            ((x["pos"] != F.coalesce(x["end"], x["pos"])) | (x["support"] + x["secondary"] < 3)).alias("strict_fuzzy"), (x["suspicious"] | (x["expected"] > 0)).alias("distant"),
+        )
+
+    checked = F.transform(F.array(fields), lambda f: F.when(F.size(f) == 13, f).otherwise(none))
+    return F.transform(F.transform(checked, stored), of)[0]
 
 
 def format_locus(s: Column, no_quality: Column | None = None) -> Column:

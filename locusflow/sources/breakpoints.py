@@ -18,6 +18,11 @@ def _loci(text: Column) -> Column:
     return F.transform(loci.parse_loci(text), loci.parse_locus)
 
 
+def _first_field() -> Column:
+    """contig by itself: rows are left out by it before any line is split."""
+    return F.substring_index("value", "\t", 1).alias("contig")
+
+
 def read_list(spark: SparkSession, path: str) -> list[str]:
     """Paths in a list file, one a line; a path's place is its file's number."""
     return [x.strip() for x in spark.read.text(path, wholetext=True).first()[0].splitlines() if x.strip()]
@@ -37,9 +42,9 @@ def read_breakpoints(spark: SparkSession, paths: str | list[str], panel_only: bo
     """
     if line_index:
         read = numbered_lines(spark, [paths] if isinstance(paths, str) else paths)
-        rows = read.select(F.split("value", "\t").alias("f"), "file", "file_id", "line_index")
+        rows = read.select(_first_field(), F.split("value", "\t").alias("f"), "file", "file_id", "line_index")
     else:
-        rows = spark.read.text(paths).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"), F.input_file_name().alias("file"))
+        rows = spark.read.text(paths).where(~F.col("value").startswith("#")).select(_first_field(), F.split("value", "\t").alias("f"), F.input_file_name().alias("file"))
     if strict:
         rows = rows.withColumn("f", F.when(F.size("f") >= 8, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("a row has not eight fields, in "), "file"))))
     f = lambda k: F.get("f", F.lit(k))
@@ -47,7 +52,7 @@ def read_breakpoints(spark: SparkSession, paths: str | list[str], panel_only: bo
     number = lambda x: x.try_cast("int")
     numbers = {"pos": number(f(1))} | {n: number(F.get(counts, F.lit(k))) for k, n in enumerate(COUNTS)} | {f"{side}_coverage": number(F.get(cover, F.lit(k))) for k, side in enumerate(("left", "right"))}
     out = rows.select(
-        *(k for k in rows.columns if k != "f"), f(0).alias("contig"), contigs.contig_index(f(0)).alias("chr_idx"), *(v.alias(k) for k, v in numbers.items()), (f(5) == "#").alias("missing_info"), _loci(f(5)).alias("double_loci"), _loci(f(6)).alias("single_loci"),
+        *(k for k in rows.columns if k not in ("f", "contig")), "contig", contigs.contig_index(F.col("contig")).alias("chr_idx"), *(v.alias(k) for k, v in numbers.items()), (f(5) == "#").alias("missing_info"), _loci(f(5)).alias("double_loci"), _loci(f(6)).alias("single_loci"),
         F.when(f(7).isin(".", "#"), None).otherwise(f(7)).alias("overhangs"),
     )
     if strict:
@@ -91,9 +96,9 @@ def panel_file(root: str, n_samples: int) -> str:
 def read_panel(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
     """Positions of a panel with their number of samples; doubled on Y, of which half the samples have none."""
     f = lambda k: F.get("f", F.lit(k))
-    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
-    hits = F.when(f(0).startswith("Y"), F.least(F.lit(n_samples), 2 * f(3).cast("int"))).otherwise(f(3).cast("int"))
-    return rows.select(f(0).alias("contig"), contigs.panel_index(contigs.contig_index(f(0))).alias("panel_idx"), f(1).cast("int").alias("pos"), hits.alias("hits"), F.transform(_loci(f(8)), lambda x: x.withField("secondary", hits)).alias("loci")).where("panel_idx >= 0")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(_first_field(), F.split("value", "\t").alias("f"))
+    hits = F.when(F.col("contig").startswith("Y"), F.least(F.lit(n_samples), 2 * f(3).cast("int"))).otherwise(f(3).cast("int"))
+    return rows.select("contig", contigs.panel_index(contigs.contig_index(F.col("contig"))).alias("panel_idx"), f(1).cast("int").alias("pos"), hits.alias("hits"), F.transform(_loci(f(8)), lambda x: x.withField("secondary", hits)).alias("loci")).where("panel_idx >= 0")
 
 
 def panel_lines(df: DataFrame, n_samples: int) -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.functions import cigar, loci, numeric, reads, sequence
+from locusflow.functions import cigar, contigs, loci, numeric, reads, sequence
 from locusflow.operators import consensus, intervals
+from locusflow.sources import breakpoints
 
 CIGARS = [
     (1000, "20S81M", 101, 1081, [(1000, "S", 20, False)], [(False, 1000, 0, 20)]),
@@ -151,3 +152,20 @@ def test_tables_without_rows(spark):
     empty = spark.createDataFrame([], "k int, s int, e int")
     assert intervals.coverage(empty, ["k"], "s", "e").count() == 0
     assert isinstance(intervals.gap_sessions(empty, ["k"], "s", 5).toPandas(), pd.DataFrame)
+
+
+def test_contig_numbers_of_odd_names(spark):
+    names = ["1", "22", "007", "1_alt", "9999999999", "1.5", "12345", "hs37d5", "X", "Yq", "GL000191.1", "GLx", "MT", "NC_007605", "phiX174", "chr1", "", "٣", None]
+    got = [r[0] for r in spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").orderBy("k").select(contigs.contig_index(F.col("n"))).collect()]
+    assert got == [1, 22, 7, 1, None, 1, 12345, 999, 40, 41, 191, 1003, 1001, 1000, 1002, 1003, 1003, 1003, 1003]
+
+
+def test_rows_are_left_out_before_lines_are_split(spark, tmp_path):
+    (tmp_path / "p.bed").write_text("Y\t7\t8\t3\t0\t0.1\t0.0\tNA\t|5:10-50_INV(1,2,!/3)#;X:77|(1,0,4?/0)\nchrUn\t1\t2\t1\t0\t0\t0\tNA\t.\n")
+    for read in (breakpoints.read_panel(spark, str(tmp_path / "p.bed"), 7), breakpoints.read_breakpoints(spark, str(tmp_path / "p.bed"))):
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("split(" in line for line in plan.splitlines() if "Filter" in line)
+    got = breakpoints.read_panel(spark, str(tmp_path / "p.bed"), 7).collect()
+    assert [(r.contig, r.panel_idx, r.hits) for r in got] == [("Y", 23, 6)]
+    assert [(x.contig_idx, x.pos, x.ext_pos, x.right_side, x.inverted, x.support, x.secondary, x.mates, x.expected, x.suspicious, x.semi_suspicious, x.error_prone, x.fuzzy, x.strict_fuzzy, x.distant) for x in got[0].loci] == [
+        (5, 10, 50, True, True, 1, 6, 0, 3, True, False, True, True, True, True), (40, 77, 77, False, False, 1, 6, 4, 0, False, True, False, False, True, False)]

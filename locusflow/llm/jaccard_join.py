@@ -9,8 +9,9 @@ similarity share an element among the first n - ceil(t n) + 1 of each. 3. In a g
 document is paired with the one that has fewest rarer elements, among near copies the least edited, the hub. A task first does so
 with its own postings and sends on the hub alone, so that a common element is one posting a task. 4. Links make components; of a
 group whose documents lie in different ones, those pairs are compared next, but for documents that by size and place of the element
-can't link with any of another component. What is left of a large group is dealt out as pairs of its blocks. No pair that may be a link is
-left out, and within a group of near copies few pairs are made.
+can't link with any of another component. What is left of a large group is dealt out as pairs of its blocks, with a bitmap of each set: a bit
+that only one of two sets has is an element that the other lacks, so that pairs with too many of them are left out before their texts meet. No pair that
+may be a link is left out, and within a group of near copies few pairs are made.
 
 Pairs are compared by the prefix tree join: texts go to their hub, where their sets, in global order, are stored in one tree; runs that
 begin alike are one branch. The hub's set walks the tree with the overlap of a branch so far, shared by all sets below it, and leaves a
@@ -42,6 +43,8 @@ from .components import components
 SLOTS = 20
 #: Partners of a hub in one tree, and documents of an element's group in one block.
 TREE, BLOCK = 256, 256
+#: Bytes of a set's bitmap.
+BITS = 256
 _LOW = np.uint64((1 << 56) - 1)
 _MIX = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "big") | 1) for k in range(64)]
 _BYTES = np.frombuffer(hashlib.shake_256(b"words").digest(8 * 256), "<u8")
@@ -339,13 +342,40 @@ def _first_pairs(t: int):
     return run
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """A bit for each slot of a set's elements."""
+    bits = np.zeros(8 * BITS, np.uint8)
+    bits[(_mixed(h) % np.uint64(8 * BITS)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
+def _bitmaps(n: int):
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingles(n)
+        for whole in batches:
+            for b in slices(whole, 1, 2 << 20):
+                made = [bitmap(h).tobytes() for h in own.of(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["id", "bits"])
+
+    return run
+
+
+def bits_allow(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, t: int) -> np.ndarray:
+    """Whether sets of sizes n and m may be similar by their bitmaps, rows of x and y: neither has more bits of its own than elements that need no match."""
+    need = required(n, m, t)
+    return (np.bitwise_count(x & ~y).sum(1, dtype=np.int64) <= n - need) & (np.bitwise_count(y & ~x).sum(1, dtype=np.int64) <= m - need)
+
+
 def _next_pairs(t: int):
-    """Of the cells of one part, pairs that may link, lie in different components and in the blocks of the cell."""
+    """Of the cells of one part, pairs that may link, also by their bitmaps, lie in different components and in the blocks of the cell."""
 
     def run(group: pa.Table) -> pa.Table:
+        known = group.column("bits").is_valid().to_numpy()
+        bits = np.frombuffer(b"".join(x or bytes(BITS) for x in group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 8)
         e, lo, hi, block, d, n, p, c = (group.column(x).to_numpy() for x in ("element", "lo", "hi", "block", "a", "b", "place", "component"))
         by = np.lexsort((_mixed(d.astype(np.uint64)), n, hi, lo, e))
-        e, lo, hi, block, d, n, p, c = (x[by] for x in (e, lo, hi, block, d, n, p, c))
+        e, lo, hi, block, d, n, p, c, bits, known = (x[by] for x in (e, lo, hi, block, d, n, p, c, bits, known))
         cell = np.cumsum(np.r_[False, (e[1:] != e[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         found = [np.zeros((0, 2), np.int64)]
         at, k = np.arange(len(e) - 1), 1
@@ -354,6 +384,7 @@ def _next_pairs(t: int):
             at = at[(cell[at] == cell[at + k]) & (100 * n[at] >= t * n[at + k])]  # sizes rise, so that none farther on fits either
             j = at + k
             ok = at[(c[at] != c[j]) & ((lo[at] == hi[at]) | (block[at] != block[j])) & _may_link(n[at], p[at], n[j], p[j], t)]
+            ok = ok[~(known[ok] & known[ok + k]) | bits_allow(bits[ok], bits[ok + k], n[ok], n[ok + k], t)]
             found.append(np.stack([np.minimum(d[ok], d[ok + k]), np.maximum(d[ok], d[ok + k])], 1))
             k += 1
             if k % 64 == 0:
@@ -533,8 +564,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, t: int = 75, id_col: str = "doc_id
     open_ = written(_partnered(split, t), "open")
     mixed = open_.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("element", "blocks")
     open_ = open_.join(written(mixed, "mixed"), "element").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    several = F.when(F.min("bits") == F.max("bits"), F.min("bits"))  # texts of one identifier have no bitmap in common
+    open_ = written(open_, "open")
+    signs = maybe_in(plain, "id", open_.select("a").distinct(), "a").mapInArrow(_bitmaps(n), "id long, bits binary").groupBy("id").agg(several.alias("bits"))
+    open_ = open_.join(signs.withColumnRenamed("id", "a"), "a", "left")
     cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("element", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "b", F.col("place").cast("long").alias("place"), "component")
+    cells = cells.select("element", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "b", F.col("place").cast("long").alias("place"), "component", "bits")
     more = cells.groupBy(F.pmod(F.xxhash64("element", "lo", "hi"), F.lit(parts)).alias("part")).applyInArrow(_next_pairs(t), "a long, b long")
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(more.distinct().join(known, ["a", "b"], "left_anti"), "pairs")

@@ -614,3 +614,23 @@ def test_partnered_keeps_every_posting_that_may_link(spark):
     want = {x[:2] for x in rows if any(x[0] == y[0] and x[4] != y[4] and fits(x, y) for y in rows)}
     assert want <= got
     assert len(got) < len(rows)
+
+
+def test_bitmaps_leave_out_near_copies_that_differ_too_much():
+    jj, rng = jaccard_join, np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 146, dtype=np.int64).astype(np.uint64)
+    far = [np.unique(np.concatenate([base[:100], rng.integers(0, 1 << 62, 46, dtype=np.int64).astype(np.uint64)])) for _ in range(60)]
+    sets = [*far, np.unique(base), np.unique(np.concatenate([base[:140], far[0][:6]]))]
+
+    def made(bits):
+        k = len(sets)
+        columns = {"element": [7] * k, "lo": [0] * k, "hi": [0] * k, "block": [0] * k, "a": range(k), "b": [len(s) for s in sets], "place": [0] * k, "component": range(k)}
+        got = jj._next_pairs(75)(pa.table({**{n: pa.array(list(c), pa.int64()) for n, c in columns.items()}, "bits": pa.array(bits, pa.binary())}))
+        return set(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+
+    similar = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (x := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - x)}
+    bits = [jj.bitmap(s).tobytes() for s in sets]
+    assert similar and similar <= made(bits)
+    assert len(made(bits)) < 100
+    assert len(made([None] * len(sets))) == 62 * 61 // 2  # without a bitmap no pair is left out
+    assert made([*bits[:-1], None]) >= similar | {(i, 61) for i in range(61)}

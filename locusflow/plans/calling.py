@@ -10,9 +10,9 @@ from ..functions.contigs import LAST_PARTNER
 from ..functions.numeric import ratio
 from ..operators import consensus, evidence, screens
 from ..operators import support as support_ops
-from ..operators.intervals import coverage
+from ..operators.intervals import changes, running_sums
 from ..sources.breakpoints import COUNTS
-from .cuts import cut
+from .cuts import cut, tabled
 
 #: Where mates are not counted: contig, first base, end (fixed values).
 EXCLUDED = [(2, 33_140_000, 33_150_000)]
@@ -24,7 +24,7 @@ def depth_profile(reads: DataFrame, at: DataFrame | None = None) -> DataFrame:
     """chr_idx, pos: coverage, normal_spans and low-quality spans where they change.
 
     Reads add along their interval; a break that begins at a read's start, and the gap of a deletion, take spans away again. at: positions (chr_idx, pos)
-    that have a row besides.
+    that have a row besides. Reads are gone through once; the changes of depth are written before they are added up.
     """
     c = F.col
     kind, poor = c("read_type"), c("low_mapq") | c("null_mapq")
@@ -35,7 +35,7 @@ def depth_profile(reads: DataFrame, at: DataFrame | None = None) -> DataFrame:
     lost = F.when(clipped & (c("b.pos") == c("start")), 1).when(c("b.type") == "D", c("b.size"))
     less = b.where(lost > 0).select("chr_idx", c("b.pos").alias("start"), (c("b.pos") + lost).alias("end"), F.lit(0).alias("coverage"), *(F.when(w, -1).otherwise(0).alias(n) for n, w in (("normal_spans", c("kind").isin(1, 3)), ("low_spans_soft", c("kind") == 5), ("low_spans_hard", (c("kind") == 2) & c("poor")))))
     names = ["coverage", "normal_spans", "low_spans_soft", "low_spans_hard"]
-    return coverage(whole.unionByName(less), ["chr_idx"], "start", "end", {n: c(n) for n in names}, at=at)
+    return running_sums(cut(changes(whole.unionByName(less), ["chr_idx"], "start", "end", {n: c(n) for n in names}, at)), ["chr_idx"], "pos", names)
 
 
 def break_counts(reads: DataFrame) -> DataFrame:
@@ -54,11 +54,15 @@ def break_counts(reads: DataFrame) -> DataFrame:
 
 def breakpoint_counters(reads: DataFrame) -> DataFrame:
     """Positions where clipped reads break, with their counts and the depth left of and at them; before loci are paired."""
-    breaks = break_counts(reads).where("assigned > 0")
-    wanted = breaks.select("chr_idx", F.explode(F.array(F.col("pos") - 1, F.col("pos"))).alias("pos"))
-    at = depth_profile(reads, wanted)
-    left = at.select("chr_idx", (F.col("pos") + 1).alias("pos"), F.col("coverage").alias("left_coverage"))
-    out = breaks.join(at.withColumnRenamed("coverage", "right_coverage"), ["chr_idx", "pos"]).join(left, ["chr_idx", "pos"])
+    c = F.col
+    breaks = cut(break_counts(reads).where("assigned > 0"))
+    wanted = breaks.select("chr_idx", c("pos").alias("of"), F.explode(F.array(c("pos") - 1, c("pos"))).alias("pos"))
+    met = depth_profile(reads, wanted.select("chr_idx", "pos")).join(wanted, ["chr_idx", "pos"])
+    there = lambda k: F.max(F.when(c("pos") == c("of"), c(k)))
+    at = met.groupBy("chr_idx", c("of").alias("pos")).agg(
+        F.max(F.when(c("pos") < c("of"), c("coverage"))).alias("left_coverage"), there("coverage").alias("right_coverage"), *(there(n).alias(n) for n in ("normal_spans", "low_spans_soft", "low_spans_hard")),
+    )
+    out = breaks.join(at, ["chr_idx", "pos"])
     zero = [n for n in COUNTS if n not in out.columns]
     return out.withColumns({n: F.lit(0).cast("long") for n in zero}).select("chr_idx", "pos", *COUNTS, "left_coverage", "right_coverage", "last_start")
 
@@ -77,7 +81,8 @@ def mates_of(reads: DataFrame, regions: DataFrame) -> DataFrame:
 def called_breakpoints(reads: DataFrame, support: int = 5, read_length: int = 101, isize_max: int = 2000, proper_ratio: float | None = None, regions: DataFrame | None = None) -> DataFrame:
     """Breakpoints of position-sorted reads, as read_breakpoints() has them: counts, coverages, loci that reads tell of from both sides and from one, overhangs.
 
-    reads: read_alignments(), which are decoded once and written, since they are gone through several times. proper_ratio: share of proper pairs; if
+    reads: read_alignments(), which are decoded once and written as columns, since they are gone through several times; counts, depths and pools
+    are made once and written, too. proper_ratio: share of proper pairs; if
     it is given, mates that come by error are taken off. regions: where mates are not counted, EXCLUDED if not given. Positions swamped by low quality, or with too
     little around them, are given out without loci or not at all; only the others get pools and lists.
     """
@@ -85,15 +90,16 @@ def called_breakpoints(reads: DataFrame, support: int = 5, read_length: int = 10
     place = evidence.PLACE
     if regions is None:
         regions = spark.createDataFrame(EXCLUDED, "contig int, lo int, hi int")
-    reads = cut(reads.drop("qual", "has_sa"))
+    # of a read's bases only clipped ones are looked at
+    reads = tabled(reads.drop("qual", "has_sa").withColumn("seq", F.when(F.size("overhangs") > 0, c("seq"))))
     counted = breakpoint_counters(reads)
     attached = cut(evidence.attached_reads(reads, ["start", "name", "flag"], isize_max, read_length))
     soft_reads = attached.where("kind = 'soft'").groupBy(*place).agg(F.count(F.lit(1)).alias("soft_reads"))
-    counted = counted.join(soft_reads, place, "left").withColumn("soft_reads", F.coalesce("soft_reads", F.lit(0))).withColumn("swamped", screens.swamped())
+    counted = cut(counted.join(soft_reads, place, "left").withColumn("soft_reads", F.coalesce("soft_reads", F.lit(0))).withColumn("swamped", screens.swamped()))
 
     left, right = round(3 * read_length), round(2.51 * read_length)
-    near = evidence.around(counted.where("not swamped").select(*place, "last_start"), reads, left, right)
-    pool = evidence.pooled(near, mates_of(reads, regions), round(1.11 * read_length), round(0.51 * read_length))
+    near = cut(evidence.around(counted.where("not swamped").select(*place, "last_start"), reads, left, right))
+    pool = cut(evidence.pooled(near, mates_of(reads, regions), round(1.11 * read_length), round(0.51 * read_length)))
     sized = counted.join(evidence.pool_sizes(pool), place, "left").withColumn("largest_pool", F.coalesce("largest_pool", F.lit(0)))
     event = c("unpaired_soft") + c("unpaired_hard") + c("short_indel")
     sized = cut(sized.withColumn("listed", ~c("swamped") & ((event >= support) | (c("largest_pool") >= support))))
@@ -172,14 +178,14 @@ def _paired(lists: DataFrame, full: DataFrame, support: int, read_length: int, p
     hit = F.filter("met", lambda m: F.size(m["hard"]) + F.size(m["poor"]) > 0)
     lone = F.filter("met", lambda m: F.size(m["hard"]) + F.size(m["poor"]) == 0)
     used = lambda k: F.array_distinct(F.flatten(F.transform("met", lambda m: m[k])))
-    rest = lambda ys, k: F.filter(ys, lambda y, i: ~F.array_contains(used(k), i))
+    rest = lambda ys, k: F.transform(F.array_except(F.transform(ys, lambda y, i: i), used(k)), lambda i: F.get(ys, i))
     plain = lambda ms: F.transform(ms, lambda m: m["x"])
     x = x.withColumns({"double": plain(hit), "lone": plain(lone), "left_over": F.concat(rest("hard_loci", "hard"), rest("poor_loci", "poor")), "listed_poor": F.size(F.array_distinct(F.flatten(F.transform(used("poor"), lambda i: F.get("poor_loci", i)["ids2"]))))})
     best = F.coalesce(F.array_max(F.transform(F.concat("double", "lone"), lambda y: y["mapq"])), F.lit(0))
     ids = lambda k: F.size(F.array_distinct(F.flatten(F.transform("double", lambda y: y[k]))))
     x = x.withColumn("best", best).withColumns({"lone": F.filter("lone", lambda y: ~((y["mapq"] > 0) & (y["mapq"] < 13) & (y["mapq"] < c("best")))), "moved_soft": ids("ids"), "moved_hard": ids("ids2"), "second": evidence.merged_secondary(c("left_over"), read_length)})
 
-    x = cut(x.select(*evidence.PLACE, "shown", "grouped", "moved_soft", "moved_hard", "listed_poor", "left_clusters", "right_clusters", "left_total", "right_total", *(k for k in ("left_errors", "right_errors") if k in x.columns), evidence.with_mates(c("double"), support).alias("double"), evidence.with_mates(c("lone"), support).alias("lone"), evidence.with_mates(F.filter("second", lambda y: y["distant"]), support).alias("second")))
+    x = cut(x.select(*evidence.PLACE, "shown", "grouped", "moved_soft", "moved_hard", "listed_poor", "left_clusters", "right_clusters", "left_poor", "right_poor", "left_total", "right_total", *(k for k in ("left_errors", "right_errors") if k in x.columns), evidence.with_mates(c("double"), support).alias("double"), evidence.with_mates(c("lone"), support).alias("lone"), evidence.with_mates(F.filter("second", lambda y: y["distant"]), support).alias("second")))
     seen = F.concat("double", "lone", "second")
     thin = lambda y: y["weak"] | (~y["distant"] & (y["support"] < support)) | ((y["mapq"] == 0) & (y["mates"] == 0) & (y["distinct"] < 2 * support))
     doubtful = F.filter("second", lambda y: (y["mates"] == 0) & (y["low"] | y["nul"] | (y["mapq"] < 13)))

@@ -446,6 +446,31 @@ def test_called_breakpoints(spark, tmp_path, seed, proper):
     assert any(n[0] and n[2] for n in counts) and any(n[1] for n in counts) and any(n[11] for n in counts)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_called_breakpoints_of_equal_mates(spark, tmp_path, seed):
+    """Mates that are the same in all but their names go along as one row with a number."""
+    lines = [x.split("\t", 1) for x in stream(seed)]
+    more = [f"{q}_{k}\t{rest}" for q, rest in lines for k in range(4 if "\t101M\t" in rest else 1)]
+    (tmp_path / "a.sam").write_text("\n".join(more) + "\n")
+    reads = cut(alignments.read_alignments(spark, str(tmp_path / "a.sam")))
+    want = model([r.asDict(recursive=True) for r in reads.collect()], [r.asDict() for r in calling.breakpoint_counters(reads).collect()], None)
+    assert [r.value for r in breakpoints.breakpoint_lines(calling.called_breakpoints(reads).orderBy("chr_idx", "pos")).collect()] == want
+
+
+def test_pools_have_a_row_for_equal_mates(spark):
+    places = spark.createDataFrame([(1, 1000, 700, 1250)], "chr_idx int, pos int, lo int, hi int")
+    mates = spark.createDataFrame([(1, 950, 1051, i % 3 == 0, [], 5, 9000, False) for i in range(300)], "chr_idx int, start int, end int, poor boolean, spots array<int>, mate_chr_idx int, mate_pos int, inverted_mate boolean")
+    pool = evidence.pooled(places, mates, 112, 52)
+    assert sorted((r.right_side, r.poor, r.n) for r in pool.collect()) == [(False, False, 200), (False, True, 100), (True, False, 200), (True, True, 100)]
+    assert [r.largest_pool for r in evidence.pool_sizes(pool).collect()] == [200]
+
+
+def test_counters_do_not_go_back_to_the_reads(spark, tmp_path):
+    (tmp_path / "a.sam").write_text("\n".join(stream(1)) + "\n")
+    made = calling.breakpoint_counters(alignments.read_alignments(spark, str(tmp_path / "a.sam")))
+    assert made.inputFiles() == [] and made.count() > 0
+
+
 def test_nothing_is_called_without_reads(spark, tmp_path):
     (tmp_path / "a.sam").write_text("@HD\n")
     assert calling.called_breakpoints(alignments.read_alignments(spark, str(tmp_path / "a.sam"))).count() == 0
@@ -510,3 +535,11 @@ def test_reads_are_decoded_once(spark, tmp_path):
     assert [(r.pos, r.kind, r.number, r.overhang) for r in made.collect()] == [(1060, "soft", 0, ("ACGT" * 25 + "A")[60:])]
     plan = made._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan text") == 1
+
+
+def test_median_from_is_the_median_held_against_a_number(spark):
+    r = random.Random(4)
+    texts = [None, "", "I", "8", "79", "88", "7997", "!!!!!!IIIIIIII"] + ["".join(chr(33 + r.choice([r.randint(0, 41), r.randint(21, 25)])) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for least in (-1, 0, 12, 23, 24):
+        assert df.where(reads.median_from(F.col("t"), least) != (reads.text_median(F.col("t")) >= least)).count() == 0

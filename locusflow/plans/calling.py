@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import consensus, evidence, screens
 from ..operators import support as support_ops
 from ..operators.intervals import changes, running_sums
 from ..sources.breakpoints import COUNTS
-from .cuts import cut, tabled
+from .cuts import cut, deleted, tabled
 
 #: Where mates are not counted: contig, first base, end (fixed values).
 EXCLUDED = [(2, 33_140_000, 33_150_000)]
@@ -78,11 +80,11 @@ def mates_of(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return evidence.excluded(regions, rows)
 
 
-def called_breakpoints(reads: DataFrame, support: int = 5, read_length: int = 101, isize_max: int = 2000, proper_ratio: float | None = None, regions: DataFrame | None = None) -> DataFrame:
+def called_breakpoints(reads: DataFrame, support: int = 5, read_length: int = 101, isize_max: int = 2000, proper_ratio: float | None = None, regions: DataFrame | None = None, decoded: Callable[[], object] | None = None) -> DataFrame:
     """Breakpoints of position-sorted reads, as read_breakpoints() has them: counts, coverages, loci that reads tell of from both sides and from one, overhangs.
 
-    reads: read_alignments(), which are decoded once and written as columns, since they are gone through several times; counts, depths and pools
-    are made once and written, too. proper_ratio: share of proper pairs; if
+    reads: read_alignments(), which are decoded once and written as columns, since they are gone through several times, and deleted after the last; counts, depths and pools
+    are made once and written, too. decoded: called when `reads` is not read any more, so that text which was only made for it can go. proper_ratio: share of proper pairs; if
     it is given, mates that come by error are taken off. regions: where mates are not counted, EXCLUDED if not given. Positions swamped by low quality, or with too
     little around them, are given out without loci or not at all; only the others get pools and lists.
     """
@@ -90,8 +92,11 @@ def called_breakpoints(reads: DataFrame, support: int = 5, read_length: int = 10
     place = evidence.PLACE
     if regions is None:
         regions = spark.createDataFrame(EXCLUDED, "contig int, lo int, hi int")
-    # of a read's bases only clipped ones are looked at
-    reads = tabled(reads.drop("qual", "has_sa").withColumn("seq", F.when(F.size("overhangs") > 0, c("seq"))))
+    # of a read's bases only clipped ones are looked at, and only reads that break somewhere are told apart by name
+    broken = F.size("breaks") > 0
+    reads = tabled(reads.drop("qual", "has_sa").withColumns({"seq": F.when(F.size("overhangs") > 0, c("seq"))} | {k: F.when(broken, c(k)) for k in ("name", "sa_tag")}))
+    if decoded:
+        decoded()
     counted = breakpoint_counters(reads)
     attached = cut(evidence.attached_reads(reads, ["start", "name", "flag"], isize_max, read_length))
     soft_reads = attached.where("kind = 'soft'").groupBy(*place).agg(F.count(F.lit(1)).alias("soft_reads"))
@@ -108,6 +113,7 @@ def called_breakpoints(reads: DataFrame, support: int = 5, read_length: int = 10
     if proper_ratio is not None:
         lists = lists.join(_candidates(near, reads), place, "left")
     lists = _paired(lists, full, support, read_length, proper_ratio)
+    deleted(spark, reads.written_at)
 
     out = sized.join(lists, place, "left")
     missing = [n for n in COUNTS if n in CHANGED]

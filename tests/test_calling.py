@@ -1,6 +1,7 @@
 """Reads to breakpoint tables, against a model that goes through the reads of each position one after the other."""
 
 import math
+import os
 import random
 import statistics
 from collections import defaultdict
@@ -12,8 +13,8 @@ from locusflow.functions import reads
 from locusflow.functions.sequence import masked_ratio
 from locusflow.operators import evidence
 from locusflow.operators.consensus import Parents, grouped_overhangs
-from locusflow.plans import calling
-from locusflow.plans.cuts import cut
+from locusflow.plans import calling, read_view
+from locusflow.plans.cuts import cut, folder, tabled
 from locusflow.sources import alignments, breakpoints
 
 RL, T = 101, 5
@@ -476,6 +477,46 @@ def test_nothing_is_called_without_reads(spark, tmp_path):
     assert calling.called_breakpoints(alignments.read_alignments(spark, str(tmp_path / "a.sam"))).count() == 0
 
 
+def test_text_and_reads_are_deleted_once_read(spark):
+    there = lambda: {x for x in os.listdir(folder(spark)) if x.startswith(("alignments-", "table-"))}
+    before = there()
+    made = read_view.called_breakpoints(spark, "/root/testdata/sf0.001")
+    assert there() == before and made.count() > 0
+
+
+def test_alignment_text_is_compressed(spark, monkeypatch):
+    monkeypatch.setattr(read_view, "LINES", 1000, raising=False)
+    read_view.reads(spark, "/root/testdata/sf0.001")
+    at = max((f"{folder(spark)}/{x}" for x in os.listdir(folder(spark)) if x.startswith("alignments-")), key=os.path.getmtime)
+    sizes = [os.path.getsize(f"{at}/{x}") for x in os.listdir(at) if x.startswith("part-")]
+    want = read_view.sam_lines(read_view.aligned(spark, "/root/testdata/sf0.001"))
+    got = spark.read.text(at)
+    assert len(sizes) > 3 and 3 * sum(sizes) < want.agg(F.sum(F.length("value") + 1)).first()[0]
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_names_are_held_of_broken_reads_only(spark, tmp_path, monkeypatch):
+    """The table of reads has neither names nor other places of reads that break nowhere; those of the others are whole."""
+    (tmp_path / "a.sam").write_text("\n".join(stream(1)) + "\n")
+    reads = cut(alignments.read_alignments(spark, str(tmp_path / "a.sam")))
+    held = []
+
+    class Held(Exception):
+        pass
+
+    def hold(df):
+        held.append(tabled(df))
+        raise Held
+
+    monkeypatch.setattr(calling, "tabled", hold)
+    with pytest.raises(Held):
+        calling.called_breakpoints(reads)
+    assert held[0].count() == reads.count() and held[0].where("size(breaks) = 0").count() > 0
+    assert held[0].where("size(breaks) = 0 and (name is not null or sa_tag is not null)").count() == 0
+    own = lambda df: df.where("size(breaks) > 0").select("name", "sa_tag", "start")
+    assert own(reads).exceptAll(own(held[0])).count() == 0
+
+
 def test_parents_found_by_pieces():
     r = random.Random(3)
     for _ in range(300):
